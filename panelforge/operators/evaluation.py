@@ -19,12 +19,11 @@ from panelforge.functions.demographics import (
     range_low,
 )
 from panelforge.operators.joins import fits_broadcast
-from panelforge.rules import AGE_BINS, AGE_SCORES, GENDER_SCORES
+from panelforge.rules import AGE_SCORES, GENDER_SCORES
 
 MAX_BROADCAST_PANEL = 1_000_000
 RANGES = [label for _, label in AGE_SCORES]
 GENDERS = [label for _, label in GENDER_SCORES]
-BINS = [name for _, name in AGE_BINS]
 
 
 def decode_predictions(predictions: DataFrame) -> DataFrame:
@@ -59,7 +58,7 @@ def _in_range(age: Column, label: str) -> Column:
     return ~age_misses(age, F.lit(low), F.lit(high))
 
 
-def _prediction_counters(decoded: DataFrame) -> list[Column]:
+def _prediction_counters() -> list[Column]:
     return (
         [F.count("*").alias("m")]
         + [F.count_if(F.col("pred_gender") == g).alias(f"m_{g}") for g in GENDERS]
@@ -74,9 +73,9 @@ def _products(pairs: list[tuple[str, str]]) -> Column:
     return first
 
 
-def _match_counters(panel: DataFrame, key: str, decoded: DataFrame, max_broadcast: int) -> DataFrame:
-    """Counters of both sides side by side, one row per user or, if the panel is small, per prediction."""
-    if fits_broadcast(panel, max_broadcast):
+def _match_counters(truth: DataFrame, key: str, decoded: DataFrame, small: bool) -> DataFrame:
+    """Counters of both sides side by side: per user, or per prediction if the truth is small."""
+    if small:
         # The predictions stay where they are: each row is its own counter.
         per_row = decoded.select(
             "id",
@@ -84,9 +83,9 @@ def _match_counters(panel: DataFrame, key: str, decoded: DataFrame, max_broadcas
             *[(F.col("pred_gender") == g).cast("bigint").alias(f"m_{g}") for g in GENDERS],
             *[(F.col("pred_age_range") == r).cast("bigint").alias(f"m_{r}") for r in RANGES],
         )
-        return per_row.join(F.broadcast(panel), F.col("id") == F.col(key))
-    per_user = decoded.groupBy("id").agg(*_prediction_counters(decoded))
-    return per_user.join(panel, F.col("id") == F.col(key))
+        return per_row.join(F.broadcast(truth), F.col("id") == F.col(key))
+    per_user = decoded.groupBy("id").agg(*_prediction_counters())
+    return per_user.join(truth, F.col("id") == F.col(key))
 
 
 def score_panel(
@@ -96,12 +95,13 @@ def score_panel(
 
     An empty join gives NULL accuracies.
     """
+    small = fits_broadcast(panel, max_broadcast)
     truth = panel.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col(gender) == g).alias(f"n_{g}") for g in GENDERS],
         *[F.count_if(_in_range(F.col(age), r)).alias(f"n_{r}") for r in RANGES],
     )
-    matched = _match_counters(truth, "__key", decoded, max_broadcast)
+    matched = _match_counters(truth, "__key", decoded, small)
     rows = F.sum(_products([("n", "m")]))
     return matched.agg(
         F.coalesce(rows, F.lit(0)).cast("bigint").alias("joined_rows"),
@@ -145,39 +145,28 @@ def score_agreed(
     null_bin: str | None = None,
     max_broadcast: int = MAX_BROADCAST_PANEL,
 ) -> DataFrame:
-    """One row: agreed and other rows of annotations x panel x predictions, and age accuracy on the agreed rows.
+    """One row: agreed rows of annotations x panel x predictions, and the age accuracy on them.
 
     ``panel`` carries ``real_age``; the agreement looks at the age on ``agreed_on``.
     """
+    small = fits_broadcast(panel, max_broadcast)
     first, second = age_bin(F.col("age_1"), null_bin), age_bin(F.col("age_2"), null_bin)
     votes = (
         annotated(annotations)
-        .filter(F.col("user_id").isNotNull())
-        .groupBy("user_id")
-        .agg(
-            F.count("*").alias("a"),
-            *[F.count_if((first == b) & (second == b)).alias(f"a_{b}") for b in BINS],
-        )
+        .filter(first == second)
+        .groupBy("user_id", first.alias("bin"))
+        .agg(F.count("*").alias("a"))
     )
     then = age_bin(age_on(F.col("birth_date"), agreed_on), null_bin)
-    truth = panel.groupBy("user_id").agg(
+    truth = panel.groupBy("user_id", then.alias("bin")).agg(
         F.count("*").alias("n"),
-        *[F.count_if(then == b).alias(f"n_{b}") for b in BINS],
-        *[F.count_if((then == b) & _in_range(F.col("real_age"), r)).alias(f"n_{b}_{r}") for b in BINS for r in RANGES],
-    )
-    agreeing = {r: _products([(f"a_{b}", f"n_{b}_{r}") for b in BINS]) for r in RANGES}
-    both = votes.join(truth, "user_id").select(
-        F.col("user_id").alias("__key"),
-        (F.col("a") * F.col("n")).alias("n"),
-        _products([(f"a_{b}", f"n_{b}") for b in BINS]).alias("agreed"),
-        *[agreeing[r].alias(f"agreed_{r}") for r in RANGES],
+        *[F.count_if(_in_range(F.col("real_age"), r)).alias(f"n_{r}") for r in RANGES],
     )
-    matched = _match_counters(both, "__key", decoded, max_broadcast)
-    agreed = F.sum(_products([("agreed", "m")]))
-    everything = F.sum(_products([("n", "m")]))
-    hits = F.sum(_products([(f"agreed_{r}", f"m_{r}") for r in RANGES]))
+    agreed = votes.join(truth, ["user_id", "bin"])
+    matched = _match_counters(agreed, "user_id", decoded, small)
+    rows = F.sum(F.col("a") * F.col("n") * F.col("m"))
+    hits = F.sum(F.col("a") * _products([(f"n_{r}", f"m_{r}") for r in RANGES]))
     return matched.agg(
-        F.coalesce(agreed, F.lit(0)).cast("bigint").alias("agreed_rows"),
-        F.coalesce(everything - agreed, F.lit(0)).cast("bigint").alias("other_rows"),
-        F.when(agreed > 0, hits.cast("double") / agreed).alias("age_accuracy"),
+        F.coalesce(rows, F.lit(0)).cast("bigint").alias("agreed_rows"),
+        (hits.cast("double") / rows).alias("age_accuracy"),
     )

@@ -44,8 +44,8 @@ def predict(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
         for frame in frames:
-            for start in range(0, len(frame), batch_rows):
-                yield model(frame.iloc[start : start + batch_rows])
+            chunks = [model(frame.iloc[at : at + batch_rows]) for at in range(0, len(frame), batch_rows)]
+            yield chunks[0] if len(chunks) == 1 else pd.concat(chunks)
 
     placed = df if n_partitions is None else df.repartition(n_partitions)
     return placed.mapInPandas(run, schema)

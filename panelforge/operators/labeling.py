@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.functions.disclosure import age_group, by_position, captured, first_match, matches_any
 from panelforge.functions.hashing import shuffle_key
@@ -34,22 +34,36 @@ def distinct_bios(bios: DataFrame) -> DataFrame:
     return bios.select("user_bio", "user_id", "user_screen_name").distinct()
 
 
+def _computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns as one generated row. Filters on them stay above it; filters on plain columns would be moved
+    below and run every regex again, once per mention."""
+    row = F.struct(*[expression.alias(name) for name, expression in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def label_ages(bios: DataFrame, rules: RuleSet = INTENDED) -> DataFrame:
+    """Add the age pattern and the stated age."""
+    bio, at = F.col("user_bio"), F.col("__age_at")
+    return _computed_once(
+        bios.withColumn("__age_at", first_match(bio, rules.age)),
+        age_pattern=by_position(at, UNLABELED_AGE, [r.name for r in rules.age]),
+        age_label=captured(bio, at, UNLABELED_AGE, rules.age),
+    ).drop("__age_at")
+
+
+def label_genders(bios: DataFrame, rules: RuleSet = INTENDED) -> DataFrame:
+    """Add the gender pattern and the gender; both come from one pass over the rules."""
+    at = F.col("__gender_at")
+    return _computed_once(
+        bios.withColumn("__gender_at", first_match(F.col("user_bio"), rules.gender)),
+        gender_pattern=by_position(at, UNLABELED_GENDER, [r.name for r in rules.gender]),
+        gender_label=by_position(at, UNLABELED_GENDER, [r.label for r in rules.gender]),
+    ).drop("__gender_at")
+
+
 def label_bios(bios: DataFrame, rules: RuleSet = INTENDED) -> DataFrame:
-    """Add age pattern and stated age, gender pattern and gender; one pass over each rule list."""
-    bio = F.col("user_bio")
-    age_at, gender_at = F.col("__age_at"), F.col("__gender_at")
-    return (
-        bios.withColumns({"__age_at": first_match(bio, rules.age), "__gender_at": first_match(bio, rules.gender)})
-        .withColumns(
-            {
-                "age_pattern": by_position(age_at, UNLABELED_AGE, [r.name for r in rules.age]),
-                "age_label": captured(bio, age_at, UNLABELED_AGE, rules.age),
-                "gender_pattern": by_position(gender_at, UNLABELED_GENDER, [r.name for r in rules.gender]),
-                "gender_label": by_position(gender_at, UNLABELED_GENDER, [r.label for r in rules.gender]),
-            }
-        )
-        .drop("__age_at", "__gender_at")
-    )
+    """Add age pattern, stated age, gender pattern and gender."""
+    return label_genders(label_ages(bios, rules), rules)
 
 
 def with_age_group(labeled: DataFrame, ref_year: int = DEFAULT_REF_YEAR) -> DataFrame:

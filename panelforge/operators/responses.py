@@ -8,7 +8,12 @@ from panelforge.schemas import EDGE_ITEM, POST_ITEM, USER_ITEM, response_schema
 
 
 def parse_responses(responses: DataFrame, item: str) -> DataFrame:
-    """Replace the body by the struct ``r``; a body that is no JSON object has only missing fields."""
+    """Replace the body by the struct ``r``; a body that is no JSON object has only missing fields.
+
+    The operators below keep rows by outer generators with conditions inside, and drop the empty ones afterwards.
+    A filter on ``r``, or the one that the optimizer derives from a plain ``explode``, would move below the
+    projection and parse every body a second time.
+    """
     return responses.withColumn("r", F.from_json("body", response_schema(item))).drop("body")
 
 
@@ -36,28 +41,36 @@ def response_outcomes(responses: DataFrame) -> DataFrame:
     return parse_responses(responses, EDGE_ITEM).select("user_id", outcome().alias("outcome"))
 
 
+def _items(parsed: DataFrame, items: Column, *keep: str) -> DataFrame:
+    """One row per item, with the item as struct ``item``."""
+    return parsed.select(*keep, F.explode_outer(items).alias("item")).filter(F.col("item").isNotNull())
+
+
 def first_errors(responses: DataFrame) -> DataFrame:
     """One row per failed response: the first error, without the repeated id."""
-    parsed = parse_responses(responses, EDGE_ITEM).filter(has_errors())
-    return parsed.select("user_id", error_text(F.get("r.errors", F.lit(0))["detail"]).alias("detail"))
+    first = _items(parse_responses(responses, EDGE_ITEM), F.slice("r.errors", 1, 1), "user_id")
+    return first.select("user_id", error_text(F.col("item.detail")).alias("detail"))
 
 
 def all_errors(responses: DataFrame) -> DataFrame:
     """One row per listed error, text as it came."""
-    parsed = parse_responses(responses, USER_ITEM).select(F.explode("r.errors").alias("e"))
-    return parsed.select(F.col("e.value").try_cast("bigint").alias("user_id"), F.col("e.detail").alias("detail"))
+    errors = _items(parse_responses(responses, USER_ITEM), F.col("r.errors"))
+    return errors.select(F.col("item.value").try_cast("bigint").alias("user_id"), F.col("item.detail").alias("detail"))
 
 
 def users_from_responses(responses: DataFrame) -> DataFrame:
     """One row per user record, also of responses that list errors."""
-    return parse_responses(responses, USER_ITEM).select(F.inline("r.data"))
+    return _items(parse_responses(responses, USER_ITEM), F.col("r.data")).select("item.*")
+
+
+def data_without_errors() -> Column:
+    return F.when(~has_errors(), F.col("r.data"))
 
 
 def follow_edges(responses: DataFrame) -> DataFrame:
     """(user, followee) pairs of responses without errors."""
-    parsed = parse_responses(responses, EDGE_ITEM).filter(~has_errors())
-    edges = parsed.select("user_id", F.explode("r.data").alias("followee"))
-    return edges.select("user_id", F.col("followee.id").try_cast("bigint").alias("followee_id"))
+    edges = _items(parse_responses(responses, EDGE_ITEM), data_without_errors(), "user_id")
+    return edges.select("user_id", F.col("item.id").try_cast("bigint").alias("followee_id"))
 
 
 def next_tokens(responses: DataFrame) -> DataFrame:
@@ -81,8 +94,7 @@ def page_status(responses: DataFrame) -> DataFrame:
 
 def posts_from_responses(responses: DataFrame) -> DataFrame:
     """One row per post of responses without errors, with typed ids."""
-    parsed = parse_responses(responses, POST_ITEM).filter(~has_errors())
-    posts = parsed.select("user_id", F.inline("r.data"))
+    posts = _items(parse_responses(responses, POST_ITEM), data_without_errors(), "user_id").select("user_id", "item.*")
     return posts.withColumns(
         {c: F.col(c).try_cast("bigint") for c in ("id", "conversation_id", "in_reply_to_user_id")}
     )
@@ -91,19 +103,17 @@ def posts_from_responses(responses: DataFrame) -> DataFrame:
 def routed(responses: DataFrame) -> DataFrame:
     """Rows of every outcome in one frame, so that one write can split them into folders.
 
-    Data gives one row per followee, an error its message, the other outcomes the user alone. The body is parsed
-    and the input scanned once for all outcomes.
+    Data gives one row per followee, an error its message, the other outcomes the user alone. The input is scanned
+    and each body parsed once for all outcomes.
     """
     classified = parse_responses(responses, EDGE_ITEM).withColumn("outcome", outcome())
-    is_data, is_error = F.col("outcome") == "data", F.col("outcome") == "error"
-    # An empty data list writes no edge, but a response without data still needs its own row.
-    return (
-        classified.filter(~is_data | (F.size("r.data") > 0))
-        .select(
-            "outcome",
-            "user_id",
-            F.explode_outer(F.when(is_data, F.col("r.data.id"))).alias("followee"),
-            F.when(is_error, error_text(F.get("r.errors", F.lit(0))["detail"])).alias("detail"),
-        )
-        .select("outcome", "user_id", F.col("followee").try_cast("bigint").alias("followee_id"), "detail")
+    rows = classified.select(
+        "outcome",
+        "user_id",
+        F.explode_outer(F.when(F.col("outcome") == "data", F.col("r.data"))).alias("item"),
+        F.when(F.col("outcome") == "error", error_text(F.get("r.errors", F.lit(0))["detail"])).alias("detail"),
+    )
+    # An empty data list has no edge to write; every other response without data keeps its row.
+    return rows.filter((F.col("outcome") != "data") | F.col("item").isNotNull()).select(
+        "outcome", "user_id", F.col("item.id").try_cast("bigint").alias("followee_id"), "detail"
     )

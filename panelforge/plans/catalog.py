@@ -42,6 +42,14 @@ def labeled_bios(spark: SparkSession, sf_dir: str, rules: RuleSet = INTENDED) ->
     return labeling.label_bios(labeling.distinct_bios(matched_bios(spark, sf_dir, rules)), rules)
 
 
+def ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labeling.label_ages(labeling.distinct_bios(matched_bios(spark, sf_dir)))
+
+
+def genders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labeling.label_genders(labeling.distinct_bios(matched_bios(spark, sf_dir)))
+
+
 def posts_day_range(spark, sf_dir):
     posts = readers.between_days(td.stream_posts(spark, sf_dir), "2024-01-09", "2024-01-31")
     return summaries.counts_by(posts, "ds")
@@ -71,28 +79,28 @@ def bio_labels_literal(spark, sf_dir):
 
 
 def gender_pattern_counts_female(spark, sf_dir):
-    return summaries.counts_by(labeled_bios(spark, sf_dir), "gender_pattern", where="gender_label = 'FEMALE'")
+    return summaries.counts_by(genders(spark, sf_dir), "gender_pattern", where="gender_label = 'FEMALE'")
 
 
 def gender_pattern_counts_male(spark, sf_dir):
-    return summaries.counts_by(labeled_bios(spark, sf_dir), "gender_pattern", where="gender_label = 'MALE'")
+    return summaries.counts_by(genders(spark, sf_dir), "gender_pattern", where="gender_label = 'MALE'")
 
 
 def female_pattern_7_bios(spark, sf_dir):
-    kept = labeled_bios(spark, sf_dir).filter("gender_label = 'FEMALE' AND gender_pattern = 'gender_pattern_7'")
+    kept = genders(spark, sf_dir).filter("gender_label = 'FEMALE' AND gender_pattern = 'gender_pattern_7'")
     return kept.select("user_id", "user_bio")
 
 
 def age_pattern_counts(spark, sf_dir):
-    return summaries.counts_by(labeled_bios(spark, sf_dir), "age_pattern")
+    return summaries.counts_by(ages(spark, sf_dir), "age_pattern")
 
 
 def age_label_counts_sorted(spark, sf_dir):
-    return summaries.counts_by(labeled_bios(spark, sf_dir), "age_label").orderBy("age_label")
+    return summaries.counts_by(ages(spark, sf_dir), "age_label").orderBy("age_label")
 
 
 def age_label_preview(spark, sf_dir):
-    return summaries.first_by(summaries.counts_by(labeled_bios(spark, sf_dir), "age_label"), "age_label", 100)
+    return summaries.first_by(summaries.counts_by(ages(spark, sf_dir), "age_label"), "age_label", 100)
 
 
 def age_groups(spark, sf_dir):
@@ -101,7 +109,7 @@ def age_groups(spark, sf_dir):
 
 def age_groups_sql(spark, sf_dir):
     register_functions(spark)
-    readers.register(labeled_bios(spark, sf_dir), "labeled_set")
+    readers.register(ages(spark, sf_dir), "labeled_set")
     return spark.sql(
         """
         SELECT user_id, age_label, validate_and_group_age(age_label) AS age_group FROM labeled_set
@@ -111,7 +119,7 @@ def age_groups_sql(spark, sf_dir):
 
 
 def age_group_counts(spark, sf_dir):
-    return summaries.counts_by(age_groups(spark, sf_dir), "age_group")
+    return summaries.counts_by(labeling.with_age_group(ages(spark, sf_dir)), "age_group")
 
 
 def age_gender_overlap(spark, sf_dir):
@@ -120,13 +128,13 @@ def age_gender_overlap(spark, sf_dir):
 
 def validation_age_export(spark, sf_dir):
     path = run_folder(spark, "validation-age")
-    writers.export_table(labeling.validation_age(labeled_bios(spark, sf_dir), seed=SEED), path, mode="overwrite")
+    writers.export_table(labeling.validation_age(ages(spark, sf_dir), seed=SEED), path, mode="overwrite")
     return readers.read_table(spark, path, schemas.VALIDATION_AGE)
 
 
 def validation_gender_export(spark, sf_dir):
     path = run_folder(spark, "validation-gender")
-    writers.export_table(labeling.validation_gender(labeled_bios(spark, sf_dir), seed=SEED), path)
+    writers.export_table(labeling.validation_gender(genders(spark, sf_dir), seed=SEED), path)
     return readers.read_table(spark, path, schemas.VALIDATION_GENDER)
 
 
@@ -164,7 +172,8 @@ def panel_embeddings(spark, sf_dir):
     posts = readers.flat_posts(td.panel_posts(spark, sf_dir), "full_text", "user_id_bucket")
     kept = joins.posts_of_panel(posts, td.panel_uids(spark, sf_dir))
     path = run_folder(spark, "panel-embeddings")
-    writers.write_parquet(hash_embed(kept, "full_text"), path, "append", ("user_id_bucket",))
+    placed = incremental.clustered(kept, spark.sparkContext.defaultParallelism, "user_id_bucket", files=4)
+    writers.write_parquet(hash_embed(placed, "full_text"), path, "append", ("user_id_bucket",))
     return _long_form(readers.read_parquet(spark, path), "id", "user_id", "full_text", "user_id_bucket")
 
 
@@ -174,15 +183,16 @@ def embed_batches_udf(spark, sf_dir):
     return _long_form(encoding.embed(posts, "text", encoding.hash_encoder(), n_partitions=n), "id")
 
 
+def _encode_by_day(df: DataFrame) -> DataFrame:
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return hash_embed(incremental.clustered(df, n, "ds", files=4), "text").drop("text")
+
+
 def embed_increment(spark, sf_dir):
     """Two runs over overlapping calendars; the second does the rest."""
     posts, sink = td.document_posts(spark, sf_dir), run_folder(spark, "embed-by-day")
-
-    def encode(df: DataFrame) -> DataFrame:
-        return hash_embed(df, "text").drop("text")
-
-    incremental.embed_days(posts, sink, "2024-01-01", "2024-01-12", encode)
-    incremental.embed_days(posts, sink, "2024-01-01", "2024-01-31", encode)
+    incremental.embed_days(posts, sink, "2024-01-01", "2024-01-12", _encode_by_day)
+    incremental.embed_days(posts, sink, "2024-01-01", "2024-01-31", _encode_by_day)
     done = readers.read_parquet(spark, sink)
     return _day_sums(done)
 
@@ -190,12 +200,8 @@ def embed_increment(spark, sf_dir):
 def embed_increment_by_id(spark, sf_dir):
     """A first run over the posts of a few days, a second over all posts."""
     posts, sink = td.document_posts(spark, sf_dir), run_folder(spark, "embed-by-id")
-
-    def encode(df: DataFrame) -> DataFrame:
-        return hash_embed(df, "text").drop("text")
-
-    incremental.embed_new_ids(readers.between_days(posts, "2024-01-05", "2024-01-20"), sink, encode)
-    incremental.embed_new_ids(posts, sink, encode)
+    incremental.embed_new_ids(readers.between_days(posts, "2024-01-05", "2024-01-20"), sink, _encode_by_day)
+    incremental.embed_new_ids(posts, sink, _encode_by_day)
     return _day_sums(readers.read_parquet(spark, sink))
 
 
@@ -321,7 +327,8 @@ def toy_model():
 
 def _predicted(spark, sf_dir) -> DataFrame:
     users = inference.model_input(td.user_profiles(spark, sf_dir))
-    return inference.predict(users, toy_model(), schemas.PREDICTIONS)
+    n = spark.sparkContext.defaultParallelism
+    return inference.predict(users, toy_model(), schemas.PREDICTIONS, batch_rows=1000, n_partitions=n)
 
 
 def predict_table(spark, sf_dir):

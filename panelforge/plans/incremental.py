@@ -50,6 +50,15 @@ def missing_days(spark: SparkSession, sink: str, first: str, last: str) -> list[
     return sorted(row.ds for row in days.collect())
 
 
+def clustered(df: DataFrame, n_partitions: int, by: str, row_id: str = "id", files: int = 16) -> DataFrame:
+    """Partitions for a write with ``partitionBy(by)``: a folder's rows go to at most ``files`` tasks.
+
+    That bounds the number of files per folder and still splits a folder that holds most of the rows. The encoder
+    then runs on these partitions, so one shuffle serves both.
+    """
+    return df.repartition(n_partitions, F.col(by), F.pmod(F.xxhash64(row_id), F.lit(files)))
+
+
 def embed_days(
     posts: DataFrame, sink: str, first: str, last: str, encode: Callable[[DataFrame], DataFrame]
 ) -> list[str]:

@@ -283,10 +283,10 @@ ORACLE: dict[str, str] = {
     "agreement_counts": _select(_agreement(), "SELECT annot_goodness, count(*) AS n FROM agreement GROUP BY 1"),
     "agreed_accuracy": _select(
         f"{DECODED}, {_agreement()}",
-        """SELECT count(*) FILTER (annot_goodness) AS agreed_rows, count(*) FILTER (NOT annot_goodness) AS other_rows,
-               round(avg(CASE WHEN min_age > real_age OR max_age < real_age THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END)
-                   FILTER (annot_goodness), 6) AS age_accuracy
-           FROM agreement JOIN decoded ON id = user_id""",
+        """SELECT count(*) AS agreed_rows,
+               round(avg(CASE WHEN min_age > real_age OR max_age < real_age THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6)
+                   AS age_accuracy
+           FROM agreement JOIN decoded ON id = user_id WHERE annot_goodness""",
     ),
     "default_image_flag": _select(PROFILES, f"SELECT uid, {_DEFAULT_IMAGE} AS default_profile_image FROM profiles"),
     "predict_table": _select(

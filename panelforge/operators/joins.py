@@ -53,7 +53,7 @@ def posts_of_followees(
     (key,) = followees.columns
     wanted = in_buckets(followees, key, low, high).select(key)
     kept = match_ids(posts, "user_id", wanted, "left_semi", max_broadcast)
-    return kept.withColumn("user_id_bucket", user_bucket(F.col("user_id"))).distinct()
+    return kept.distinct().withColumn("user_id_bucket", user_bucket(F.col("user_id")))
 
 
 def posts_of_panel(posts: DataFrame, panel: DataFrame, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:

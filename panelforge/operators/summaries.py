@@ -24,7 +24,7 @@ def contingency(df: DataFrame, rows: str, columns: str, pivot_values: list[str]
     """Counts per pair of values, or a cross table when the column values are named."""
     if pivot_values is None:
         return counts_by(df, rows, columns)
-    return df.groupBy(rows).pivot(columns, pivot_values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(rows).pivot(columns, pivot_values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def first_by(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -1,0 +1,103 @@
+import json
+
+import pytest
+from conftest import TESTDATA, rows
+from pyspark.sql import functions as F
+
+from panelforge import schemas
+from panelforge.operators import batching
+from panelforge.plans import testdata as td
+from panelforge.session import run_folder
+from panelforge.sources import readers, writers
+
+
+def test_null_columns_survive_json(spark, tmp_path):
+    df = spark.createDataFrame([(1, "n", None, "2024-01-01")], schemas.MATCHED_BIOS)
+    writers.write_json(df, str(tmp_path / "j"), partition_by=("ds",))
+    back = readers.read_json(spark, str(tmp_path / "j"), schemas.MATCHED_BIOS)
+    assert back.schema == df.schema  # ds is still text
+    assert rows(back) == rows(df)
+
+
+def test_day_filters(spark):
+    df = spark.createDataFrame([(f"2024-01-{d:02d}",) for d in range(1, 11)], "ds STRING")
+    assert readers.between_days(df, "2024-01-03", "2024-01-05").count() == 2
+    assert readers.on_day(df, "2024-01-03").count() == 1
+
+
+def test_panel_partition_is_pruned_and_keeps_its_columns(spark, tmp_path):
+    posts = td.panel_posts(spark, f"{TESTDATA}/sf0.001")
+    writers.write_json(posts, str(tmp_path / "p"), partition_by=("created_at_bucket", "user_id_bucket"), compression=None)
+    part = readers.read_panel_posts(spark, str(tmp_path / "p"), "2024-01-16", 3)
+    expected = posts.filter("created_at_bucket = '2024-01-16' AND user_id_bucket = 3").select(part.columns)
+    assert rows(part) == rows(expected) != []
+    assert {r.user_id_bucket for r in part.collect()} == {3}
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_at_bucket" in plan
+
+
+def _raw(folder, name, text):
+    (folder / name).write_text(text, encoding="utf-8")
+
+
+def test_raw_posts_of_both_formats(spark, tmp_path):
+    _raw(tmp_path, "a.json", json.dumps({"id": 1, "user_id": 10, "text": "x\ty"}) + "\n")
+    _raw(tmp_path, "b.csv", '2\t20\t"say ""hi"""\n3\t30\tplain\n')
+    assert rows(readers.read_raw_posts(spark, str(tmp_path))) == [(1, 10, "x\ty"), (2, 20, 'say "hi"'), (3, 30, "plain")]
+    assert readers.read_raw_posts(spark, str(tmp_path / "a.json")).count() == 1
+    assert readers.read_raw_posts(spark, str(tmp_path / "b.csv")).count() == 2
+
+
+def test_unknown_extension_is_refused(spark, tmp_path):
+    _raw(tmp_path, "a.json", "{}\n")
+    _raw(tmp_path, "b.txt", "1\n")
+    with pytest.raises(ValueError, match="only .json and .csv"):
+        readers.read_raw_posts(spark, str(tmp_path))
+
+
+def test_id_lines_keep_file_order(spark, tmp_path):
+    _raw(tmp_path, "ids.csv", "30\n 10 \n\nheader\n20\t\n30\n")
+    ids = readers.read_id_lines(spark, str(tmp_path / "ids.csv"))
+    batches = batching.id_batches(ids, "user_id", *readers.FILE_ORDER, size=3).orderBy("batch_no").collect()
+    assert [r.ids for r in batches] == ["30,10,20", "30"]
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([(2, "(18-30)", "25", "age_pattern_2"), (1, None, "x\ty", '"q"')], schemas.VALIDATION_AGE)
+    path = str(tmp_path / "one")
+    writers.export_table(df.orderBy("user_id"), path, single_file=True)
+    files = list((tmp_path / "one").glob("part-*"))
+    assert len(files) == 1 and files[0].name.endswith(".csv.gz")
+    assert rows(readers.read_table(spark, path, schemas.VALIDATION_AGE)) == rows(df)
+    with pytest.raises(Exception, match="(?i)already exists"):
+        writers.export_table(df, path)
+    writers.export_table(df, path, mode="overwrite")
+    assert readers.read_table(spark, path, schemas.VALIDATION_AGE).count() == 2
+
+
+def test_single_file_export_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "MAX_SINGLE_FILE_ROWS", 5)
+    with pytest.raises(ValueError, match="without single_file"):
+        writers.export_table(spark.range(6), str(tmp_path / "big"), single_file=True)
+
+
+def test_sorted_export_writes_files_in_order(spark, tmp_path):
+    df = spark.range(5000).withColumn("key", F.md5(F.col("id").cast("string"))).orderBy("key")
+    writers.export_table(df, str(tmp_path / "s"), compression=None, header=False)
+    files = sorted((tmp_path / "s").glob("part-*"))
+    keys = [line.split("\t")[1] for f in files for line in f.read_text().splitlines()]
+    assert len(keys) == 5000 and keys == sorted(keys)
+
+
+def test_vector_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2, [0.5, -1.25])], "id BIGINT, user_id BIGINT, embed ARRAY<DOUBLE>")
+    writers.export_vectors(df, str(tmp_path / "v"))
+    writers.export_vectors(df, str(tmp_path / "v"))
+    assert rows(readers.read_vectors(spark, str(tmp_path / "v"))) == [(1, 2, [0.5, -1.25])] * 2
+
+
+def test_run_folders_lie_in_the_shared_folder(spark):
+    first, second = run_folder(spark, "x"), run_folder(spark, "x")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert first != second
+    assert named is None or first.startswith(named)

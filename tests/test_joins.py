@@ -1,0 +1,79 @@
+import pytest
+from conftest import rows
+
+from panelforge.operators import batching, joins, summaries
+
+
+@pytest.fixture(scope="module")
+def posts(spark):
+    """User 1 wrote a third of the posts; one post is an exact copy; one has no author."""
+    data = [(i, 1 if i % 3 == 0 else i % 7 - 1, f"t{i}") for i in range(60)] + [(0, 1, "t0"), (99, None, "x")]
+    return spark.createDataFrame(data, "id BIGINT, user_id BIGINT, text STRING")
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_both_join_paths_agree_with_brute_force(spark, posts, how, limit):
+    ids = spark.createDataFrame([(1,), (1,), (3,), (-1,), (None,)], "uid BIGINT")
+    got = joins.match_ids(posts, "user_id", ids, how, max_broadcast=limit)
+    assert got.columns == posts.columns
+    wanted = {1, 3, -1}
+    keep = [tuple(r) for r in posts.collect() if (r.user_id in wanted) == (how == "left_semi")]
+    assert rows(got) == sorted(keep, key=repr)
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_followee_posts_are_distinct_with_their_bucket(spark, posts, limit):
+    ids = spark.createDataFrame([(1,), (1,), (-1,), (4,)], "followee_uid BIGINT")
+    got = joins.posts_of_followees(posts, ids, 0, 3, limit)
+    expected = {(r.id, 1, r.text, 1) for r in posts.collect() if r.user_id == 1}
+    assert rows(got) == sorted(expected, key=repr)
+    high = joins.posts_of_followees(posts, ids, 39, 39, limit)
+    assert {r.user_id_bucket for r in high.collect()} == {39}
+
+
+def test_panel_posts_keep_copies(spark, posts):
+    ids = spark.createDataFrame([(1,), (1,)], "panel_uid BIGINT")
+    got = joins.posts_of_panel(posts, ids)
+    assert got.count() == sum(r.user_id == 1 for r in posts.collect())
+
+
+def test_not_done(spark):
+    todo = spark.createDataFrame([(i,) for i in [5, 1, 2, 2, 9]], "user_id BIGINT")
+    done = spark.createDataFrame([(1,), (9,), (9,)], "uid BIGINT")
+    assert rows(joins.not_done(todo, "user_id", done)) == [(2,), (2,), (5,)]
+
+
+@pytest.mark.parametrize("n", [1, 99, 100, 101, 1234])
+def test_batches_of_one_hundred(spark, n):
+    ids = spark.range(n).selectExpr("id * 3 AS user_id").repartition(7)
+    got = batching.id_batches(ids, "user_id").orderBy("batch_no").collect()
+    expected = [[str(3 * i) for i in range(s, min(s + 100, n))] for s in range(0, n, 100)]
+    assert [r.ids.split(",") for r in got] == expected
+    assert [r.batch_no for r in got] == list(range(len(expected)))
+    assert [r.n_ids for r in got] == [len(e) for e in expected]
+
+
+def test_batches_with_one_id_repeated_often(spark):
+    ids = spark.range(900).selectExpr("IF(id % 3 = 0, 7, id) AS user_id").repartition(5)
+    got = batching.id_batches(ids, "user_id").collect()
+    assert sorted(r.n_ids for r in got) == [100] * 9
+    everything = [int(x) for r in sorted(got) for x in r.ids.split(",")]
+    assert everything == sorted(7 if i % 3 == 0 else i for i in range(900))
+
+
+def test_numbering_has_no_gaps(spark):
+    numbered = batching.numbered(spark.range(1000).selectExpr("(id * 37) % 1000 AS v").repartition(6), "v")
+    assert [(r.v, r.position) for r in numbered.orderBy("position").collect()] == [(i, i) for i in range(1000)]
+
+
+def test_union_and_counts(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id INT, g STRING")
+    b = spark.createDataFrame([("x", 1)], "g STRING, id INT")
+    both = summaries.union_all(a, b)
+    assert rows(both) == [(1, "x"), (1, "x"), (2, "y")]
+    assert [tuple(r) for r in summaries.value_counts(both, "g").collect()] == [("x", 2), ("y", 1)]
+    assert summaries.total(both).first().n == 3
+    cross = summaries.contingency(both, "g", "id", [1, 2])
+    assert rows(cross) == [("x", 2, 0), ("y", 0, 1)]
+    assert rows(summaries.first_by(both, "g", 1), "g") == [("x",)]

@@ -48,3 +48,13 @@ def hash_embed(df: DataFrame, text: str, dim: int = DEFAULT_DIM, output: str = "
 def shuffle_key(*columns: str, seed: int = 0) -> Column:
     """Random-looking sort key that repeats for equal rows and equal seeds, unlike ``rand``."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+
+
+def spreading_salt(salts: int, *columns: str) -> Column:
+    """Salt 0..salts-1 from the row's content and its input partition.
+
+    Content alone would give all copies of a row one salt. Unlike ``rand``, a task that runs again after a lost
+    executor assigns the same salts.
+    """
+    content = F.pmod(F.xxhash64(*columns), F.lit(salts))
+    return F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int")

@@ -74,7 +74,10 @@ def _products(pairs: list[tuple[str, str]]) -> Column:
 
 
 def _match_counters(truth: DataFrame, key: str, decoded: DataFrame, small: bool) -> DataFrame:
-    """Counters of both sides side by side: per user, or per prediction if the truth is small."""
+    """Counters of both sides side by side: per user, or per prediction if the truth is small.
+
+    ``truth`` has at most one row per panel row, so the checked size of the panel bounds the broadcast.
+    """
     if small:
         # The predictions stay where they are: each row is its own counter.
         per_row = decoded.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from panelforge.functions.demographics import user_bucket
+from panelforge.functions.hashing import spreading_salt
 
 # 4 million 8-byte ids make a hash table of about 100 MB on each executor.
 MAX_BROADCAST_IDS = 4_000_000
@@ -22,15 +23,17 @@ def match_ids(
     """Join ``df`` on ``key`` with a one-column id list: ``left_semi`` keeps listed rows, ``left_anti`` the others.
 
     A list of checked size is broadcast and ``df`` is not shuffled at all. A longer list is repeated once per salt,
-    and the rows of one busy key spread over the salts by their own content; exact copies of one row that still
-    meet in one partition are split by adaptive execution.
+    over which the rows of one busy key spread. Keys that are nearly unique, like post ids, need no repeated list:
+    with ``salts=1`` only adaptive execution splits what skew remains.
     """
     (id_column,) = ids.columns
     listed = ids.select(F.col(id_column).alias("__id")).filter(F.col("__id").isNotNull())
-    if fits_broadcast(listed, max_broadcast):
+    if fits_broadcast(ids, max_broadcast):
         return df.join(F.broadcast(listed.distinct()), F.col(key) == F.col("__id"), how)
+    if salts == 1:
+        return df.join(listed.distinct(), F.col(key) == F.col("__id"), how)
     salted_ids = listed.distinct().withColumn("__id_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    salted = df.withColumn("__salt", spreading_salt(salts, *df.columns))
     return salted.join(
         salted_ids, (F.col(key) == F.col("__id")) & (F.col("__salt") == F.col("__id_salt")), how
     ).drop("__salt")
@@ -63,4 +66,4 @@ def posts_of_panel(posts: DataFrame, panel: DataFrame, max_broadcast: int = MAX_
 
 def not_done(todo: DataFrame, key: str, done: DataFrame, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
     """Rows of ``todo`` whose key has no finished result: how an interrupted job resumes."""
-    return match_ids(todo, key, done, "left_anti", max_broadcast)
+    return match_ids(todo, key, done, "left_anti", max_broadcast, salts=1)

@@ -76,13 +76,18 @@ def with_gender(labeled: DataFrame) -> DataFrame:
     return labeled.filter(F.col("gender_pattern") != UNLABELED_GENDER)
 
 
+def _shuffled(labeled: DataFrame, seed: int, *columns: str) -> DataFrame:
+    """Columns in a random order that repeats for the same seed. The key covers the whole bio: rows that look alike
+    in the exported columns neither stay together nor fall into one sort partition."""
+    key = shuffle_key("user_id", "user_screen_name", "user_bio", seed=seed)
+    return labeled.withColumn("__key", key).orderBy("__key").select(*columns)
+
+
 def validation_age(labeled: DataFrame, ref_year: int = DEFAULT_REF_YEAR, seed: int = 0) -> DataFrame:
-    """Age validation set in a random order that repeats for the same seed."""
-    columns = ["user_id", "age_group", "age_label", "age_pattern"]
-    return with_age_group(labeled, ref_year).select(*columns).orderBy(shuffle_key(*columns, seed=seed))
+    """Age validation set in random order."""
+    return _shuffled(with_age_group(labeled, ref_year), seed, "user_id", "age_group", "age_label", "age_pattern")
 
 
 def validation_gender(labeled: DataFrame, seed: int = 0) -> DataFrame:
-    """Gender validation set in a random order that repeats for the same seed."""
-    columns = ["user_id", "gender_pattern", "gender_label"]
-    return with_gender(labeled).select(*columns).orderBy(shuffle_key(*columns, seed=seed))
+    """Gender validation set in random order."""
+    return _shuffled(with_gender(labeled), seed, "user_id", "gender_pattern", "gender_label")

@@ -215,7 +215,7 @@ def _day_sums(done: DataFrame) -> DataFrame:
 
 def work_calendar_gaps(spark, sf_dir):
     done = td.table(spark, sf_dir, "events").select(
-        F.date_format("ts", "yyyy-MM-dd").alias("ds"), user_bucket(F.col("user_id")).alias("user_id_bucket")
+        F.col("ts").cast("date").cast("string").alias("ds"), user_bucket(F.col("user_id")).alias("user_id_bucket")
     )
     return incremental.missing_units(incremental.work_units(spark, *CALENDAR), done)
 
@@ -452,14 +452,14 @@ def labels_json_round_trip(spark, sf_dir):
 
 def posts_json_scan(spark, sf_dir):
     path = run_folder(spark, "posts")
-    writers.write_json(td.stream_posts(spark, sf_dir), path, partition_by=("ds",))
+    writers.write_json(td.stream_posts(spark, sf_dir), path, partition_by=("ds",), compression=None)
     return readers.flat_posts(readers.between_days(readers.read_posts(spark, path), "2023-12-31", "2024-01-31"), "text", "ds")
 
 
 def panel_partition_scan(spark, sf_dir):
     """Every partition of the panel posts, and one of them read on its own."""
     path = run_folder(spark, "panel-posts")
-    writers.write_json(td.panel_posts(spark, sf_dir), path, partition_by=("created_at_bucket", "user_id_bucket"))
+    writers.write_json(td.panel_posts(spark, sf_dir), path, partition_by=("created_at_bucket", "user_id_bucket"), compression=None)
     everything = readers.read_panel_posts(spark, path)
     one = readers.read_panel_posts(spark, path, "2024-01-16", 7)
     columns = ["created_at_bucket", "user_id_bucket"]
@@ -481,7 +481,8 @@ def raw_posts_any_format(spark, sf_dir):
 
 def embedding_csv_export(spark, sf_dir):
     path = run_folder(spark, "vectors")
-    vectors = hash_embed(td.document_posts(spark, sf_dir), "text").select("id", "user_id", "embed")
+    posts = encoding.spread(td.document_posts(spark, sf_dir), spark.sparkContext.defaultParallelism)
+    vectors = hash_embed(posts, "text").select("id", "user_id", "embed")
     writers.export_vectors(vectors, path)
     return _long_form(readers.read_vectors(spark, path), "id", "user_id")
 

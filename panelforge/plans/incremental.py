@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelforge.functions.hashing import spreading_salt
 from panelforge.operators.joins import MAX_BROADCAST_IDS, not_done
 from panelforge.rules import USER_BUCKETS
 from panelforge.sources.writers import replace_partitions, write_parquet
@@ -17,7 +18,7 @@ def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     days = spark.range(1).select(
         F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day")
     )
-    return days.select(F.date_format("day", "yyyy-MM-dd").alias("ds"))
+    return days.select(F.col("day").cast("string").alias("ds"))
 
 
 def work_units(spark: SparkSession, first: str, last: str, buckets: int = USER_BUCKETS) -> DataFrame:
@@ -56,7 +57,8 @@ def clustered(df: DataFrame, n_partitions: int, by: str, row_id: str = "id", fil
     That bounds the number of files per folder and still splits a folder that holds most of the rows. The encoder
     then runs on these partitions, so one shuffle serves both.
     """
-    return df.repartition(n_partitions, F.col(by), F.pmod(F.xxhash64(row_id), F.lit(files)))
+    salted = df.withColumn("__salt", spreading_salt(files, row_id))
+    return salted.repartition(n_partitions, by, "__salt").drop("__salt")
 
 
 def embed_days(

@@ -61,7 +61,7 @@ def stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("screen_name"),
             _bio(position).alias("description"),
         ).alias("user"),
-        F.date_format("ts", "yyyy-MM-dd").alias("ds"),
+        F.col("ts").cast("date").cast("string").alias("ds"),
     )
 
 
@@ -84,9 +84,7 @@ def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"),
         author.cast("bigint").alias("user_id"),
         "text",
-        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")), "yyyy-MM-dd").alias(
-            "ds"
-        ),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).cast("string").alias("ds"),
     )
 
 

@@ -17,13 +17,15 @@ def write_parquet(df: DataFrame, path: str, mode: str = "append", partition_by:
     df.write.partitionBy(*partition_by).mode(mode).parquet(path, compression="gzip")
 
 
-def replace_partitions(df: DataFrame, path: str, partition_by: tuple[str, ...]):
+def replace_partitions(df: DataFrame, path: str, partition_by: tuple[str, ...], fmt: str = "parquet"):
     """Replace the partitions that ``df`` has rows for and leave the others: a rerun adds nothing."""
     (
         df.write.partitionBy(*partition_by)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .parquet(path, compression="gzip")
+        .option("compression", "gzip" if fmt == "parquet" else "bzip2")
+        .format(fmt)
+        .save(path)
     )
 
 

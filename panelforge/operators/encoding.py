@@ -9,8 +9,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark import SparkFiles, cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.functions.hashing import DEFAULT_DIM
 
@@ -51,6 +51,21 @@ def hash_encoder(dim: int = DEFAULT_DIM) -> Callable[[], Encoder]:
     return load
 
 
+def shipped(spark: SparkSession, path: str, build: Callable[[str], Encoder]) -> Callable[[], Encoder]:
+    """Factory of an encoder that is built from a model file or folder.
+
+    Spark copies ``path`` to every executor once; ``build`` gets the local copy's path there, so the model itself
+    never passes through the driver's memory or a closure.
+    """
+    spark.sparkContext.addFile(path, recursive=True)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+
+    def load() -> Encoder:
+        return build(SparkFiles.get(name))
+
+    return load
+
+
 def spread(df: DataFrame, n_partitions: int | None) -> DataFrame:
     """Partitions of equal row counts, whoever wrote the posts; encoders are slow per row, not per byte."""
     return df if n_partitions is None else df.repartition(n_partitions)

@@ -18,7 +18,7 @@ from panelforge.functions.demographics import (
     range_high,
     range_low,
 )
-from panelforge.operators.joins import fits_broadcast
+from panelforge.operators.joins import fits_broadcast, join_rows
 from panelforge.rules import AGE_SCORES, GENDER_SCORES
 
 MAX_BROADCAST_PANEL = 1_000_000
@@ -38,9 +38,8 @@ def with_real_age(panel: DataFrame, as_of: Column) -> DataFrame:
 
 
 def join_predictions(panel: DataFrame, key: str, decoded: DataFrame, max_broadcast: int = MAX_BROADCAST_PANEL):
-    """Panel rows with their decoded prediction, for inspection; the panel is broadcast if its size allows."""
-    small = F.broadcast(panel) if fits_broadcast(panel, max_broadcast) else panel
-    return decoded.join(small, F.col(key) == F.col("id"))
+    """Panel rows with their decoded prediction, for inspection."""
+    return join_rows(decoded, panel, F.col(key) == F.col("id"), max_broadcast)
 
 
 def age_misses(age: Column, low: Column, high: Column) -> Column:
@@ -129,15 +128,11 @@ def annotation_agreement(
 
     ``null_bin='age_>=40'`` counts a missing age as the oldest bin, which is how the rule was first run.
     """
-    small = F.broadcast(panel) if fits_broadcast(panel, max_broadcast) else panel
-    return (
-        annotated(annotations)
-        .join(small, "user_id")
-        .withColumn(
-            "annot_goodness",
-            annotators_agree(F.col("age_1"), F.col("age_2"), age_on(F.col("birth_date"), as_of), null_bin),
-        )
-    )
+    truth = panel.withColumnRenamed("user_id", "__panel_id")
+    joined = join_rows(annotated(annotations), truth, F.col("user_id") == F.col("__panel_id"), max_broadcast)
+    true_age = age_on(F.col("birth_date"), as_of)
+    flag = annotators_agree(F.col("age_1"), F.col("age_2"), true_age, null_bin)
+    return joined.drop("__panel_id").withColumn("annot_goodness", flag)
 
 
 def score_agreed(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.functions.demographics import user_bucket
 from panelforge.functions.hashing import spreading_salt
@@ -17,26 +17,35 @@ def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_IDS) -> bool:
     return df.count() <= max_rows
 
 
+def _salted_join(left: DataFrame, right: DataFrame, on: Column, how: str, salts: int) -> DataFrame:
+    """Join after repeating ``right`` once per salt, over which the rows of one busy left key spread."""
+    repeated = right.withColumn("__right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = left.withColumn("__salt", spreading_salt(salts, *left.columns))
+    return salted.join(repeated, on & (F.col("__salt") == F.col("__right_salt")), how).drop("__salt", "__right_salt")
+
+
+def join_rows(left: DataFrame, right: DataFrame, on: Column, max_broadcast: int, salts: int = SALTS) -> DataFrame:
+    """Inner join. ``right`` is broadcast if its checked size allows, otherwise repeated per salt."""
+    if fits_broadcast(right, max_broadcast):
+        return left.join(F.broadcast(right), on)
+    return _salted_join(left, right, on, "inner", salts)
+
+
 def match_ids(
     df: DataFrame, key: str, ids: DataFrame, how: str, max_broadcast: int = MAX_BROADCAST_IDS, salts: int = SALTS
 ) -> DataFrame:
     """Join ``df`` on ``key`` with a one-column id list: ``left_semi`` keeps listed rows, ``left_anti`` the others.
 
-    A list of checked size is broadcast and ``df`` is not shuffled at all. A longer list is repeated once per salt,
-    over which the rows of one busy key spread. Keys that are nearly unique, like post ids, need no repeated list:
-    with ``salts=1`` only adaptive execution splits what skew remains.
+    A list of checked size is broadcast and ``df`` is not shuffled at all. A longer list is repeated once per salt.
+    Keys that are nearly unique, like post ids, need no repeated list: with ``salts=1`` only adaptive execution
+    splits what skew remains.
     """
     (id_column,) = ids.columns
-    listed = ids.select(F.col(id_column).alias("__id")).filter(F.col("__id").isNotNull())
+    listed = ids.select(F.col(id_column).alias("__id")).filter(F.col("__id").isNotNull()).distinct()
+    on = F.col(key) == F.col("__id")
     if fits_broadcast(ids, max_broadcast):
-        return df.join(F.broadcast(listed.distinct()), F.col(key) == F.col("__id"), how)
-    if salts == 1:
-        return df.join(listed.distinct(), F.col(key) == F.col("__id"), how)
-    salted_ids = listed.distinct().withColumn("__id_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn("__salt", spreading_salt(salts, *df.columns))
-    return salted.join(
-        salted_ids, (F.col(key) == F.col("__id")) & (F.col("__salt") == F.col("__id_salt")), how
-    ).drop("__salt")
+        return df.join(F.broadcast(listed), on, how)
+    return df.join(listed, on, how) if salts == 1 else _salted_join(df, listed, on, how, salts)
 
 
 def in_buckets(ids: DataFrame, key: str, low: int, high: int) -> DataFrame:

@@ -13,7 +13,7 @@ from panelforge.functions.hashing import hash_embed
 from panelforge.functions.registry import register_functions
 from panelforge.operators import batching, encoding, evaluation, inference, joins, labeling, responses, summaries
 from panelforge.plans import incremental, testdata as td
-from panelforge.rules import INTENDED, LITERAL, RuleSet
+from panelforge.rules import INTENDED, LITERAL, UNLABELED_GENDER, RuleSet
 from panelforge.session import run_folder
 from panelforge.sources import readers, writers
 from panelforge.streaming import labels as streaming_labels
@@ -126,6 +126,11 @@ def age_gender_overlap(spark, sf_dir):
     return summaries.contingency(age_groups(spark, sf_dir), "age_pattern", "gender_pattern")
 
 
+def age_gender_cross_table(spark, sf_dir):
+    grouped = age_groups(spark, sf_dir)
+    return summaries.contingency(grouped, "age_pattern", "gender_label", ["MALE", "FEMALE", UNLABELED_GENDER])
+
+
 def validation_age_export(spark, sf_dir):
     path = run_folder(spark, "validation-age")
     writers.export_table(labeling.validation_age(ages(spark, sf_dir), seed=SEED), path, mode="overwrite")
@@ -529,6 +534,7 @@ QUERIES: dict[str, Query] = {
     "age_groups_sql": age_groups_sql,
     "age_group_counts": age_group_counts,
     "age_gender_overlap": age_gender_overlap,
+    "age_gender_cross_table": age_gender_cross_table,
     "validation_age_export": validation_age_export,
     "validation_gender_export": validation_gender_export,
     "id_bucket_filter": id_bucket_filter,

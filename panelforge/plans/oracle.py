@@ -218,6 +218,13 @@ ORACLE: dict[str, str] = {
     "age_gender_overlap": _select(
         _grouped(), "SELECT age_pattern, gender_pattern, count(*) AS n FROM grouped GROUP BY 1, 2"
     ),
+    "age_gender_cross_table": _select(
+        _grouped(),
+        """SELECT age_pattern, count(*) FILTER (gender_label = 'MALE') AS "MALE",
+               count(*) FILTER (gender_label = 'FEMALE') AS "FEMALE",
+               count(*) FILTER (gender_label = 'unlabeled_gender') AS unlabeled_gender
+           FROM grouped GROUP BY 1""",
+    ),
     "validation_age_export": _select(_grouped(), "SELECT user_id, age_group, age_label, age_pattern FROM grouped"),
     "validation_gender_export": _select(
         _labeled(),

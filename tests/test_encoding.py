@@ -53,6 +53,21 @@ def test_encoder_gets_batches_and_loads_once_per_task(spark):
     assert got == [(8.0, 1.0)] * 8 + [(8.0, 2.0)] * 8 + [(4.0, 3.0)] * 4
 
 
+def test_shipped_model_file(spark, tmp_path):
+    (tmp_path / "weights.json").write_text('{"a": 2.0, "b": -1.0}')
+
+    def build(path):
+        import json
+
+        with open(path) as file:
+            weights = json.load(file)
+        return lambda texts: [[sum(weights.get(t, 0.0) for t in text.split())] for text in texts]
+
+    df = spark.createDataFrame([(1, "a a b"), (2, "c")], "id BIGINT, text STRING").repartition(2)
+    load = encoding.shipped(spark, str(tmp_path / "weights.json"), build)
+    assert _vectors(encoding.embed(df, "text", load)) == {1: [3.0], 2: [0.0]}
+
+
 def test_text_can_be_kept(texts):
     kept = encoding.embed(texts, "text", encoding.hash_encoder(4), drop_text=False, output="v")
     assert kept.columns == ["id", "text", "v"]

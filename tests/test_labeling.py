@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from conftest import TESTDATA, rows
 from pyspark.sql import functions as F
@@ -106,6 +109,42 @@ def test_anchors_never_hide_a_match(spark, rules):
     assert df.filter(regex_only).count() == df.filter(matches_any(F.col("t"), all_rules)).count() > 40
 
 
+FRAGMENTS = [
+    "I'm a ", "Im a ", "I AM A ", "guy", "girl", "wife", "mother of ", "Father to ", "husband of ", "wife of ", "mom,",
+    ", dad,", "born in ", "1985", "03", "41 years old", "23 yo ", "23 y/o ", "man", "lady", " and ", "coffee", ", ", "é",
+]
+
+
+@pytest.mark.parametrize("rules", [INTENDED, LITERAL])
+def test_random_bios_equal_python_regexes(spark, rules):
+    """Labels of random texts, against the rules applied one after the other in plain Python."""
+    rng = random.Random(7)
+    bios = ["".join(rng.choices(FRAGMENTS, k=rng.randrange(1, 7))) for _ in range(1500)]
+
+    def first(candidates, text):
+        return next(((r, m) for r in candidates if (m := re.search(r.regex, text))), (None, None))
+
+    expected = []
+    for k, text in enumerate(bios):
+        age, stated = first(rules.age, text)
+        gender, _ = first(rules.gender, text)
+        kept = first(rules.first_stage(), text)[0] is not None
+        expected.append(
+            (
+                k,
+                kept,
+                age.name if age else "unlabeled_age",
+                stated.group(1) if age else "unlabeled_age",
+                gender.name if gender else "unlabeled_gender",
+                gender.label if gender else "unlabeled_gender",
+            )
+        )
+    df = spark.createDataFrame(list(enumerate(bios)), "k INT, user_bio STRING")
+    labeled = labeling.label_bios(df, rules).withColumn("kept", matches_any(F.col("user_bio"), rules.first_stage()))
+    got = rows(labeled, "k", "kept", "age_pattern", "age_label", "gender_pattern", "gender_label")
+    assert got == sorted(expected, key=repr)
+
+
 AGE_CASES = [
     ("1923", "[40-99)"), ("1922", None), ("2014", None), ("2013", "<=18"), ("98", "[40-99)"), ("99", None),
     ("08", "<=18"), ("07", None), ("18", "<=18"), ("19", "(18-30)"), ("29", "(18-30)"), ("30", "[30-40)"),

@@ -66,8 +66,8 @@ def embed_days(
 ) -> list[str]:
     """Embed the days the sink lacks, in one job, and return them.
 
-    The days become a literal list, so the scan prunes to their partitions. Whole days are written and replaced:
-    a rerun after a crash rewrites a half-written day instead of adding to it.
+    The days become a literal list, so the scan prunes to their partitions. Whole days are written: a day's folder
+    moves into the sink when the job commits, so a crashed job leaves a day either complete or missing.
     """
     days = missing_days(posts.sparkSession, sink, first, last)
     if days:

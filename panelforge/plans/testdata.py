@@ -187,11 +187,13 @@ def follow_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per order: orders of a customer are its pages, the supplier-like number its followee."""
-    followee = F.col("o_orderkey") % 50
-    token = F.when(F.col("o_orderstatus") == "O", F.format_string(',"next_token":"t%d"', "o_orderkey")).otherwise("")
+    followee, order = (F.col("o_orderkey") % 50).cast("string"), F.col("o_orderkey").cast("string")
+    token = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit(',"next_token":"t'), order, F.lit('"'))).otherwise("")
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("user_id"),
-        F.format_string('{"data":[{"id":"%d"}],"meta":{"result_count":1%s}}', followee, token).alias("body"),
+        F.concat(
+            F.lit('{"data":[{"id":"'), followee, F.lit('"}],"meta":{"result_count":1'), token, F.lit("}}")
+        ).alias("body"),
     )
 
 

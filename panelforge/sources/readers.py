@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelforge import schemas
@@ -18,11 +21,19 @@ def read_posts(spark: SparkSession, root: str, schema: str = schemas.STREAM_POST
 
 
 def between_days(df: DataFrame, after: str, upto: str, day: str = "ds") -> DataFrame:
-    """Days after the first bound, up to and including the second; days are text in ``yyyy-MM-dd`` order."""
+    """Days after the first bound, up to and including the second.
+
+    Days are text, compared as text, so a bound like ``2020-11-31`` works; one like ``2020-8-1`` is refused.
+    """
+    for bound in (after, upto):
+        if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", bound):
+            raise ValueError(f"{bound!r} is not of the form yyyy-MM-dd")
     return df.filter((F.col(day) > after) & (F.col(day) <= upto))
 
 
 def on_day(df: DataFrame, which: str, day: str = "ds") -> DataFrame:
+    """One day, which must exist in the calendar; any other text would silently select nothing."""
+    datetime.date.fromisoformat(which)
     return df.filter(F.col(day) == which)
 
 

@@ -23,6 +23,11 @@ def test_day_filters(spark):
     df = spark.createDataFrame([(f"2024-01-{d:02d}",) for d in range(1, 11)], "ds STRING")
     assert readers.between_days(df, "2024-01-03", "2024-01-05").count() == 2
     assert readers.on_day(df, "2024-01-03").count() == 1
+    assert readers.between_days(df, "2023-11-31", "2024-01-02").count() == 2
+    with pytest.raises(ValueError):
+        readers.between_days(df, "2024-1-1", "2024-01-05")
+    with pytest.raises(ValueError):
+        readers.on_day(df, "2024-06-31")
 
 
 def test_panel_partition_is_pruned_and_keeps_its_columns(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelforge import schemas
 from panelforge.functions.demographics import age_on, is_default_image, user_bucket
@@ -26,7 +26,7 @@ ANNOTATED_ON = "2018-08-01"
 CALENDAR = ("2023-12-28", "2024-02-03")
 
 
-def _date(text: str) -> F.Column:
+def _date(text: str) -> Column:
     return F.lit(text).cast("date")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelforge.functions.demographics import user_bucket
 from panelforge.rules import DEFAULT_PROFILE_IMAGE
@@ -45,8 +47,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _bio(position) -> F.Column:
-    return F.get(F.array(*[F.lit(b) for b in BIOS]), position.cast("int"))
+def _bio(position: Column) -> Column:
+    bios = F.expr(f"array({', '.join('NULL' if b is None else json.dumps(b) for b in BIOS)})")
+    return F.get(bios, position.cast("int"))
 
 
 def stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +170,7 @@ def follow_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stored page per customer, of six kinds."""
     c = F.col("c_custkey")
 
-    def body(template: str) -> F.Column:
+    def body(template: str) -> Column:
         return F.format_string(template, *[c + n for n in range(4)])
 
     return table(spark, sf_dir, "customer").select(

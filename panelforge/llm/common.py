@@ -69,7 +69,12 @@ def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse modulo 2**64."""
     base = _BASES[which] | 1
     inverse = pow(base, -1, 1 << 64)
-    grow = lambda b: np.concatenate(([1], np.full(size, b, dtype=np.uint64))).astype(np.uint64).cumprod(dtype=np.uint64)
+
+    def grow(factor: int) -> np.ndarray:
+        out = np.full(size + 1, factor, dtype=np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
     return grow(base), grow(inverse)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import bpe, simhash
+from panelforge.llm import bpe, simhash, substrings
 from panelforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +26,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed_words(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
+    "op4_substrings": op4_substrings,
 }
 
 ORACLE: dict[str, str] = {}

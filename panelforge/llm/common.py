@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,10 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: computed once, safe against lost executors."""
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """The rows written to the shared folder and read again: computed once, safe against lost executors.
+
+    ``tidy`` has the shuffle files of finished steps dropped now and not at the driver's next garbage collection.
+    """
     path = run_folder(df.sparkSession, name)
     df.write.parquet(path)
+    if tidy:
+        # Without references left, Spark's cleaner drops the shuffle files that led to this table.
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -91,15 +91,15 @@ def _position(ordinal):
 
 
 def shared_anchors(texts: DataFrame) -> DataFrame:
-    """Per document with any: ``id`` and ``spots``, the places of anchors that another text has too.
+    """Per document with any: ``id`` and ``spots``, the places of anchors that another id has too.
 
     ``spots`` are positions, doubled, plus one where a document with a smaller id holds the anchor.
     """
-    held = texts.select("id", "seq", F.posexplode("anchors").alias("ordinal", "anchor"))
+    held = texts.select("id", F.posexplode("anchors").alias("ordinal", "anchor"))
     twice = (
         held.groupBy("anchor")
-        .agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.min("id").alias("least"))
-        .where("low <> high")
+        .agg(F.min("id").alias("least"), F.max("id").alias("last"))
+        .where("least <> last")
         .select("anchor", "least")
     )
     spots = held.select("id", "ordinal", "anchor").join(twice, "anchor")
@@ -148,7 +148,7 @@ def _candidates(df: DataFrame, spots: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(df: DataFrame, spots: DataFrame, window: int) -> DataFrame:
     """Per document with any: ``id`` and ``starts``, where windows start that a document with a smaller id holds too."""
-    found = stored(_candidates(df, spots, window), "windows")
+    found = stored(_candidates(df, spots, window), "windows", tidy=True)
     held = found.select("id", F.explode(F.arrays_zip("at", "late", "h", "h2")).alias("w")).select("id", "w.*")
     # One row per window hash: its smallest id with the second hash there, and whether another id holds it.
     first = held.groupBy("h").agg(F.min(F.struct("id", "h2")).alias("first"), F.max("id").alias("last")).where("first.id < last")
@@ -169,8 +169,9 @@ def judged(df: DataFrame, window: int = 50, text: str = "text", key: str = "doc_
     )
     rows = stored(rows, "rows")
     whole = rows.where("copy").select("id").distinct()
-    first = texts.where(F.size("anchors") > 0).select("id", "seq", "anchors").join(whole, "id", "left_anti")
-    starts = stored(repeated_windows(slim, shared_anchors(first), window), "starts")
+    first = texts.where(F.size("anchors") > 0).select("id", "anchors").join(whole, "id", "left_anti")
+    spots = stored(shared_anchors(first), "spots", tidy=True)
+    starts = stored(repeated_windows(slim, spots, window), "starts", tidy=True)
     return rows, starts
 
 

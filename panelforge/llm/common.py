@@ -33,7 +33,16 @@ def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
         # Without references left, Spark's cleaner drops the shuffle files that led to this table.
         gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by ``stored`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(column: str = "doc_id", parts: int = 5) -> Column:

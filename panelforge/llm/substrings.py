@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from panelforge.llm.common import hashed_words, sequence_hash, slices, stored, utf8, window_hashes, word_spans
+from panelforge.llm.common import discard, hashed_words, sequence_hash, slices, stored, utf8, window_hashes, word_spans
 
 #: A perfect difference cover: every distance modulo 31 is a difference of two of its members.
 PERIOD = 31
@@ -96,11 +96,13 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
     ``spots`` are positions, doubled, plus one where a document with a smaller id holds the anchor.
     """
     held = texts.select("id", F.posexplode("anchors").alias("ordinal", "anchor"))
-    twice = (
+    twice = stored(
         held.groupBy("anchor")
         .agg(F.min("id").alias("least"), F.max("id").alias("last"))
         .where("least <> last")
-        .select("anchor", "least")
+        .select("anchor", "least"),
+        "twice",
+        tidy=True,
     )
     spots = held.select("id", "ordinal", "anchor").join(twice, "anchor")
     spot = _position(F.col("ordinal")) * 2 + (F.col("least") < F.col("id")).cast("int")
@@ -146,9 +148,8 @@ def _candidates(df: DataFrame, spots: DataFrame, window: int) -> DataFrame:
     return df.join(spots, "id").select("id", "text", "spots").mapInArrow(run, schema)
 
 
-def repeated_windows(df: DataFrame, spots: DataFrame, window: int) -> DataFrame:
+def repeated_windows(found: DataFrame) -> DataFrame:
     """Per document with any: ``id`` and ``starts``, where windows start that a document with a smaller id holds too."""
-    found = stored(_candidates(df, spots, window), "windows", tidy=True)
     held = found.select("id", F.explode(F.arrays_zip("at", "late", "h", "h2")).alias("w")).select("id", "w.*")
     # One row per window hash: its smallest id with the second hash there, and whether another id holds it.
     first = held.groupBy("h").agg(F.min(F.struct("id", "h2")).alias("first"), F.max("id").alias("last")).where("first.id < last")
@@ -171,7 +172,10 @@ def judged(df: DataFrame, window: int = 50, text: str = "text", key: str = "doc_
     whole = rows.where("copy").select("id").distinct()
     first = texts.where(F.size("anchors") > 0).select("id", "anchors").join(whole, "id", "left_anti")
     spots = stored(shared_anchors(first), "spots", tidy=True)
-    starts = stored(repeated_windows(slim, spots, window), "starts", tidy=True)
+    discard(texts)
+    found = stored(_candidates(slim, spots, window), "windows", tidy=True)
+    starts = stored(repeated_windows(found), "starts", tidy=True)
+    discard(found)
     return rows, starts
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import bpe, simhash, substrings
+from panelforge.llm import binarycodes, bpe, multiindex, simhash, substrings
 from panelforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +30,20 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_words(table(spark, sf_dir, "documents"))
 
 
+def op5_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.nearest_rows(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_binarycodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binarycodes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op4_substrings": op4_substrings,
+    "op5_multiindex": op5_multiindex,
+    "op9_binarycodes": op9_binarycodes,
 }
 
 ORACLE: dict[str, str] = {}

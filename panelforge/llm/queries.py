@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import binarycodes, bpe, multiindex, simhash, substrings
+from panelforge.llm import binarycodes, bpe, density, mixing, multiindex, simhash, substrings
 from panelforge.llm.common import table
+from panelforge.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +29,26 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Targets of the mix: even sources, languages and topics by share.
+TOPICS = {"action": ("tion", "ci\u00f3n", "ung"), "being": ("ing", "ment", "heit")}
+TARGETS: mixing.Targets = {
+    "source": {f"src{n}": 1.0 for n in range(20)},
+    "lang": {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11},
+    "topic": {"action": 0.5, "being": 0.45, "none": 0.05},
+}
+KEEP = 0.6
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"), TOPICS)}
+    return mixing.sample(docs, margins, TARGETS, mixing.count_words(F.col("text")), KEEP)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = mixed(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("__m0").alias("source"), F.col("__m1").alias("lang"), F.col("__m2").alias("topic"), F.round("probability", 6).alias("probability"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_words(table(spark, sf_dir, "documents"))
 
@@ -34,6 +57,10 @@ def op5_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.nearest_rows(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_binarycodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binarycodes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -41,9 +68,11 @@ def op9_binarycodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
     "op4_substrings": op4_substrings,
     "op5_multiindex": op5_multiindex,
+    "op6_density": op6_density,
     "op9_binarycodes": op9_binarycodes,
 }
 
-ORACLE: dict[str, str] = {}
+

@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from panelforge.session import cut_lineage, run_folder
 
@@ -50,6 +50,15 @@ def fold(column: str = "doc_id", parts: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def sampled(rows: DataFrame, most: int) -> list[Row]:
+    """At most ``most`` rows of a table with column ``id``, those with the smallest hashes of the id; alike on every run."""
+    place = F.xxhash64("id", F.lit(11))
+    bound = rows.select(place.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if bound is None:
+        return []
+    return sorted(rows.where(place <= bound).limit(most).collect(), key=repr)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in pieces of about ``limit`` bytes of ``column``; a longer value makes a piece of its own."""
     for batch in batches:

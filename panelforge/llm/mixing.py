@@ -24,7 +24,9 @@ Targets = dict[str, dict[str, float]]
 
 
 def count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+    """Token weight of a text: its spaces and line feeds, plus one; zero for null and empty text."""
+    gaps = cue_counts(text, (" ", "\n"))
+    return F.when(F.length(text) > 0, gaps + 1).otherwise(0).cast("bigint")
 
 
 def cue_counts(text: Column, cues: tuple[str, ...]) -> Column:

@@ -19,7 +19,7 @@ cues AS (
     CASE WHEN source IN (SELECT value FROM wanted WHERE margin = 'source') THEN source ELSE '(other)' END AS source,
     CASE WHEN lang IN (SELECT value FROM wanted WHERE margin = 'lang') THEN lang ELSE '(other)' END AS lang,
     coalesce({hits(('tion', 'ción', 'ung'))}, 0) AS action, coalesce({hits(('ing', 'ment', 'heit'))}, 0) AS being,
-    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens
+    CASE WHEN length(text) > 0 THEN 1 + len(regexp_extract_all(text, '[ \\n]')) ELSE 0 END AS tokens
   FROM documents
 ),
 docs AS (

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import binarycodes, bpe, density, mixing, multiindex, simhash, substrings
-from panelforge.llm.common import table
+from panelforge.llm import binarycodes, bpe, density, langcrf, mixing, multiindex, simhash, substrings
+from panelforge.llm.common import fold, stored, table
 from panelforge.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -45,7 +45,10 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = mixed(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    slim = docs.select("doc_id", "source", "lang", mixing.topic(F.col("text"), TOPICS).alias("topic"), mixing.count_words(F.col("text")).alias("tokens"))
+    margins = {m: F.col(m) for m in TARGETS}
+    kept = mixing.sample(stored(slim, "margins"), margins, TARGETS, F.col("tokens"), KEEP)
     return kept.select("doc_id", F.col("__m0").alias("source"), F.col("__m1").alias("lang"), F.col("__m2").alias("topic"), F.round("probability", 6).alias("probability"))
 
 
@@ -65,6 +68,13 @@ def op9_binarycodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binarycodes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_langcrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tagger = langcrf.fit(docs, fold("doc_id", 3) != 1)
+    found = langcrf.predict(docs.select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out")), tagger)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "n_switches")
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -73,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op5_multiindex": op5_multiindex,
     "op6_density": op6_density,
     "op9_binarycodes": op9_binarycodes,
+    "op10_langcrf": op10_langcrf,
 }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import binarycodes, bpe, density, langcrf, mixing, multiindex, simhash, substrings
+from panelforge.llm import binarycodes, bpe, density, langcrf, mixing, multiindex, quality, simhash, substrings
 from panelforge.llm.common import fold, stored, table
 from panelforge.llm.oracle import ORACLE
 
@@ -64,6 +64,13 @@ def op6_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = quality.fit(docs, table(spark, sf_dir, "labels"), fold("id", 5) != 0)
+    scored = quality.score(docs.select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out")), scorer)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op9_binarycodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binarycodes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op4_substrings": op4_substrings,
     "op5_multiindex": op5_multiindex,
     "op6_density": op6_density,
+    "op7_quality": op7_quality,
     "op9_binarycodes": op9_binarycodes,
     "op10_langcrf": op10_langcrf,
 }

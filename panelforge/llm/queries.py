@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import binarycodes, bpe, density, langcrf, mixing, multiindex, quality, simhash, substrings
+from panelforge.llm import binarycodes, bpe, density, langcrf, lm, mixing, multiindex, quality, simhash, substrings
 from panelforge.llm.common import fold, stored, table
 from panelforge.llm.oracle import ORACLE
 
@@ -71,6 +71,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    return lm.scores(docs, ~F.col("held_out"), vocabulary("byte_bpe_50k.json"))
+
+
 def op9_binarycodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binarycodes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op5_multiindex": op5_multiindex,
     "op6_density": op6_density,
     "op7_quality": op7_quality,
+    "op8_lm": op8_lm,
     "op9_binarycodes": op9_binarycodes,
     "op10_langcrf": op10_langcrf,
 }

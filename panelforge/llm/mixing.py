@@ -102,10 +102,12 @@ def draw(key: Column, seed: int = SEED) -> Column:
 def sample(
     df: DataFrame, margins: dict[str, Column], targets: Targets, tokens: Column, keep: float = 0.5, key: str = "doc_id", seed: int = SEED
 ) -> DataFrame:
-    """The sampled rows with their columns and ``__m0``... (margin values) and ``probability``."""
+    """The sampled rows as struct ``__row``, with their margin values ``__m0``, ... and their ``probability``."""
     places = [f"__m{n}" for n in range(len(margins))]
     cells = stored(_classes(df, margins, targets).groupBy(*places).agg(F.sum(tokens).alias("tokens")), "cells")
     chances = probabilities(rake(cells, targets), keep).select(*places, "probability")
-    marked = _classes(df, margins, targets)
+    packed = df.select(F.struct(*df.columns).alias("__row"), *[m.alias(f"__v{n}") for n, m in enumerate(margins.values())], F.col(key).alias("__key"))
+    marked = _classes(packed, {name: F.col(f"__v{n}") for n, name in enumerate(margins)}, targets)
     # Broadcast: the cells are at most the product of the targets' sizes.
-    return marked.join(F.broadcast(stored(chances, "chances")), places).where(draw(F.col(key), seed) < F.col("probability"))
+    drawn = marked.join(F.broadcast(stored(chances, "chances")), places).where(draw(F.col("__key"), seed) < F.col("probability"))
+    return drawn.select("__row", *places, "probability")

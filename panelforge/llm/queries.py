@@ -41,7 +41,7 @@ KEEP = 0.6
 
 def mixed(docs: DataFrame) -> DataFrame:
     margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"), TOPICS)}
-    return mixing.sample(docs, margins, TARGETS, mixing.count_words(F.col("text")), KEEP)
+    return mixing.sample(docs, margins, TARGETS, mixing.count_words(F.col("text")), KEEP).select("__row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = docs.select("doc_id", "source", "lang", mixing.topic(F.col("text"), TOPICS).alias("topic"), mixing.count_words(F.col("text")).alias("tokens"))
     margins = {m: F.col(m) for m in TARGETS}
     kept = mixing.sample(stored(slim, "margins"), margins, TARGETS, F.col("tokens"), KEEP)
-    return kept.select("doc_id", F.col("__m0").alias("source"), F.col("__m1").alias("lang"), F.col("__m2").alias("topic"), F.round("probability", 6).alias("probability"))
+    return kept.select("__row.doc_id", F.col("__m0").alias("source"), F.col("__m1").alias("lang"), F.col("__m2").alias("topic"), F.round("probability", 6).alias("probability"))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

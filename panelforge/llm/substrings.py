@@ -8,7 +8,8 @@ and only those windows are hashed and compared. Two 64-bit hashes decide that tw
 Texts of the same words are told by their sequence hash first: all but the one with the smallest id lose every word of
 their windows at once. Null and word-free texts have no words. Minima are combined before every shuffle, so that a
 passage in a third of all documents costs one row per task; documents are never paired. Windows are judged on the input.
-Ids should be unique; rows that repeat an id (or whose id is null) are judged against other ids only.
+Ids should be unique: rows that repeat an id are judged against other ids only, and what is found for one is cut from all;
+rows without an id lose nothing.
 """
 
 from __future__ import annotations
@@ -136,6 +137,9 @@ def _candidates(df: DataFrame, spots: DataFrame, window: int) -> DataFrame:
             parts, offsets = [], [0]
             for i, (_, _, _, words) in enumerate(_per_document(utf8(batch, "text"))):
                 spot = marks[i].values.to_numpy()
+                spot = spot[(spot >> 1) + window - PERIOD < len(words)]
+                if len(words) < window:
+                    spot, words = spot[:0], np.zeros(window, dtype=np.uint64)
                 place = spot >> 1
                 near = np.flatnonzero(_near(place, len(words), window))
                 late = _near(place[spot & 1 == 1], len(words), window)[near]
@@ -179,10 +183,9 @@ def judged(df: DataFrame, window: int = 50, text: str = "text", key: str = "doc_
     return rows, starts
 
 
-def _cut(df: DataFrame, window: int, digest: bool) -> DataFrame:
-    """Removed words and the rest (its digest or its text) of documents that come with window starts."""
-    rest = "kept_sha256" if digest else "kept"
-    schema = T.StructType([T.StructField("id", df.schema["id"].dataType), T.StructField("n_removed", T.LongType()), T.StructField(rest, T.StringType())])
+def _cut(df: DataFrame, window: int) -> DataFrame:
+    """``df(row, text, starts)``: the row with the number of removed words and the kept text."""
+    schema = T.StructType([df.schema["row"], T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -191,22 +194,23 @@ def _cut(df: DataFrame, window: int, digest: bool) -> DataFrame:
             for i, (text, starts, ends, words) in enumerate(_per_document(utf8(batch, "text"))):
                 edges = np.zeros(len(words) + 1, dtype=np.int64)
                 at = marks[i].values.to_numpy()
+                at = at[at + window <= len(words)]
                 np.add.at(edges, at, 1)
                 np.add.at(edges, at + window, -1)
                 gone = np.cumsum(edges[:-1]) > 0
-                left = _kept_text(text, starts, ends, ~gone)
                 removed.append(int(gone.sum()))
-                kept.append(sha256(left).hexdigest() if digest else left.decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
+                kept.append(_kept_text(text, starts, ends, ~gone).decode("utf-8"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
-    return df.select("id", "text", "starts").mapInArrow(run, schema)
+    return df.select("row", "text", "starts").mapInArrow(run, schema)
 
 
 def removed_words(df: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, ``n_words``, ``n_removed`` and ``kept_sha256`` of the kept words joined by one space."""
     rows, starts = judged(df, window, text, key)
     slim = df.select(df[key].alias("id"), df[text].alias("text"))
-    cuts = _cut(slim.join(starts, "id"), window, digest=True)
+    cuts = _cut(slim.join(starts, "id").withColumnRenamed("id", "row"), window)
+    cuts = cuts.select(F.col("row").alias("id"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     empty = F.lit(sha256(b"").hexdigest())
     plain = (
         rows.join(starts.select("id"), "id", "left_anti")
@@ -217,11 +221,12 @@ def removed_words(df: DataFrame, window: int = 50, text: str = "text", key: str
 
 
 def without_repeats(df: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``df`` with repeated passages cut out of ``text``; rows that lose every word go, others keep their text as it is."""
+    """``df`` with repeated passages cut out of ``text``; rows that lose every word go, untouched ones keep their text as it is."""
     rows, starts = judged(df, window, text, key)
-    slim = df.select(df[key].alias("id"), df[text].alias("text"))
-    cuts = _cut(slim.join(starts, "id"), window, digest=False).where("kept <> ''").select(F.col("id").alias(key), "kept")
     touched = rows.where("copy").select("id").unionByName(starts.select("id")).distinct().withColumnRenamed("id", key)
     same = df.join(touched, key, "left_anti").select(df.columns)
-    new = df.drop(text).join(cuts.withColumnRenamed("kept", text), key).select(df.columns)
+    packed = df.select(df[key].alias("id"), df[text].alias("text"), F.struct(*df.columns).alias("row"))
+    copies = rows.where("copy").select("id").distinct()
+    cuts = _cut(packed.join(starts, "id").join(copies, "id", "left_anti"), window).where("kept <> ''")
+    new = cuts.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])
     return same.unionByName(new)

@@ -73,7 +73,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
-    return lm.scores(docs, ~F.col("held_out"), vocabulary("byte_bpe_50k.json"))
+    return lm.scores(docs, ~F.col("held_out"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op9_binarycodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Words kept per worker; bounds memory only. A table that has grown beyond starts anew.
-MOST_WORDS = 250_000
+MOST_WORDS = 350_000
 
 
 class _Numbered(dict):

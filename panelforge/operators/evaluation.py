@@ -123,11 +123,15 @@ def annotation_agreement(
     as_of: Column,
     null_bin: str | None = None,
     max_broadcast: int = MAX_BROADCAST_PANEL,
+    decoded: DataFrame | None = None,
 ) -> DataFrame:
-    """Annotated panel rows with the flag that both annotators and the age at ``as_of`` share one bin.
+    """Annotated panel rows, of users in ``decoded`` predictions if given, with the flag that both annotators and the age at ``as_of`` share one bin.
 
     ``null_bin='age_>=40'`` counts a missing age as the oldest bin, which is how the rule was first run.
     """
+    if decoded is not None:
+        predicted = decoded.select(F.col("id").alias("user_id")).distinct()
+        panel = panel.join(predicted, "user_id", "left_semi")
     truth = panel.withColumnRenamed("user_id", "__panel_id")
     joined = join_rows(annotated(annotations), truth, F.col("user_id") == F.col("__panel_id"), max_broadcast)
     true_age = age_on(F.col("birth_date"), as_of)

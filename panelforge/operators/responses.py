@@ -84,12 +84,16 @@ def edges_over_pages(responses: DataFrame) -> DataFrame:
 
 
 def page_status(responses: DataFrame) -> DataFrame:
-    """Per user: stored pages, and whether the last page is among them."""
-    return (
-        next_tokens(responses)
-        .groupBy("user_id")
-        .agg(F.count("*").alias("n_pages"), F.bool_or(F.col("next_token").isNull()).alias("is_complete"))
+    """Per user: stored pages, and whether all are there.
+
+    Complete means that no page failed (an error, no data, or a body that cannot be read) and that a page without a
+    token for the next one is among them.
+    """
+    pages = parse_responses(responses, EDGE_ITEM).select(
+        "user_id", F.col("r.meta.next_token").alias("next_token"), outcome().isin("data", "empty").alias("fine")
     )
+    whole = F.bool_and("fine") & F.bool_or(F.col("fine") & F.col("next_token").isNull())
+    return pages.groupBy("user_id").agg(F.count("*").alias("n_pages"), whole.alias("is_complete"))
 
 
 def posts_from_responses(responses: DataFrame) -> DataFrame:

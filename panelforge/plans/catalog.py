@@ -177,7 +177,7 @@ def panel_embeddings(spark, sf_dir):
     posts = readers.flat_posts(td.panel_posts(spark, sf_dir), "full_text", "user_id_bucket")
     kept = joins.posts_of_panel(posts, td.panel_uids(spark, sf_dir))
     path = run_folder(spark, "panel-embeddings")
-    placed = incremental.clustered(kept, spark.sparkContext.defaultParallelism, "user_id_bucket", files=4)
+    placed = incremental.clustered(kept, spark.sparkContext.defaultParallelism, "user_id_bucket", folders=40)
     writers.write_parquet(hash_embed(placed, "full_text"), path, "append", ("user_id_bucket",))
     return _long_form(readers.read_parquet(spark, path), "id", "user_id", "full_text", "user_id_bucket")
 
@@ -190,7 +190,7 @@ def embed_batches_udf(spark, sf_dir):
 
 def _encode_by_day(df: DataFrame) -> DataFrame:
     n = df.sparkSession.sparkContext.defaultParallelism
-    return hash_embed(incremental.clustered(df, n, "ds", files=4), "text").drop("text")
+    return hash_embed(incremental.clustered(df, n, "ds", folders=30), "text").drop("text")
 
 
 def embed_increment(spark, sf_dir):
@@ -206,7 +206,27 @@ def embed_increment_by_id(spark, sf_dir):
     """A first run over the posts of a few days, a second over all posts."""
     posts, sink = td.document_posts(spark, sf_dir), run_folder(spark, "embed-by-id")
     incremental.embed_new_ids(readers.between_days(posts, "2024-01-05", "2024-01-20"), sink, _encode_by_day)
-    incremental.embed_new_ids(posts, sink, _encode_by_day)
+    unnamed = posts.withColumn("id", F.lit(None).cast("bigint"))
+    for _ in range(2):  # repeated ids and missing ones add nothing, nor does a third run
+        incremental.embed_new_ids(posts.unionByName(posts).unionByName(unnamed), sink, _encode_by_day)
+    return _day_sums(readers.read_parquet(spark, sink))
+
+
+def embed_bucket_halves(spark, sf_dir):
+    """Two halves of the user buckets into one sink; a third run over all of them adds nothing."""
+    posts, sink = td.document_posts(spark, sf_dir), run_folder(spark, "embed-halves")
+    for buckets in ((0, 19), (20, 39), (0, 39)):
+        incremental.embed_days(posts, sink, "2024-01-01", "2024-01-31", _encode_by_day, buckets)
+    return _day_sums(readers.read_parquet(spark, sink))
+
+
+def embed_grown_id_list(spark, sf_dir):
+    """A list of a few users, then all of them: units that are done take the new users' posts by id."""
+    posts, sink = td.document_posts(spark, sf_dir), run_folder(spark, "embed-grown")
+    incremental.embed_days(posts.filter("user_id % 7 = 0"), sink, "2024-01-01", "2024-01-31", _encode_by_day)
+    for _ in range(2):
+        placed = posts.withColumn("user_id_bucket", user_bucket(F.col("user_id")))
+        incremental.embed_new_ids(placed, sink, _encode_by_day, partition_by=("ds", "user_id_bucket"))
     return _day_sums(readers.read_parquet(spark, sink))
 
 
@@ -271,7 +291,8 @@ def annotation_filter(spark, sf_dir):
 
 def _agreement(spark, sf_dir, null_bin=None) -> DataFrame:
     return evaluation.annotation_agreement(
-        td.annotations(spark, sf_dir), td.panel_sample(spark, sf_dir), _date(ANNOTATED_ON), null_bin
+        td.annotations(spark, sf_dir), td.panel_sample(spark, sf_dir), _date(ANNOTATED_ON), null_bin,
+        decoded=_decoded(spark, sf_dir),
     )
 
 
@@ -429,6 +450,15 @@ def _id_file(spark, sf_dir) -> DataFrame:
     return readers.read_id_lines(spark, path)
 
 
+def rejected_id_lines(spark, sf_dir):
+    """Lines of an id list that hold no number."""
+    path = run_folder(spark, "bad-ids")
+    c = F.col("c_custkey")
+    line = F.when(c % 50 == 0, F.concat(F.lit("n/a "), c)).when(c % 50 == 1, "").otherwise(c.cast("string"))
+    writers.write_id_lines(td.table(spark, sf_dir, "customer").select(line.alias("line")), path, "line")
+    return readers.rejected_id_lines(spark, path).select("line")
+
+
 def resume_ids(spark, sf_dir):
     """Listed customers without an order yet."""
     done = td.table(spark, sf_dir, "orders").select("o_custkey").distinct()
@@ -552,6 +582,9 @@ QUERIES: dict[str, Query] = {
     "panel_accuracy": panel_accuracy,
     "panel5k_accuracy": panel5k_accuracy,
     "annotation_filter": annotation_filter,
+    "embed_bucket_halves": embed_bucket_halves,
+    "embed_grown_id_list": embed_grown_id_list,
+    "rejected_id_lines": rejected_id_lines,
     "annotation_agreement": annotation_agreement,
     "annotation_agreement_old_bin": annotation_agreement_old_bin,
     "agreement_counts": agreement_counts,

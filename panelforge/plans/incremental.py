@@ -1,4 +1,4 @@
-"""Embed posts once: by whole days, or by post id."""
+"""Embed posts once: by day and user bucket, or by post id."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelforge.functions.demographics import user_bucket
 from panelforge.functions.hashing import spreading_salt
 from panelforge.operators.joins import MAX_BROADCAST_IDS, not_done
 from panelforge.rules import USER_BUCKETS
@@ -42,43 +43,77 @@ def _sink(spark: SparkSession, sink: str) -> DataFrame | None:
         raise
 
 
-def missing_days(spark: SparkSession, sink: str, first: str, last: str) -> list[str]:
-    """Days of the calendar that the sink lacks; at most one short string per calendar day reaches the driver."""
-    days = calendar(spark, first, last)
-    done = _sink(spark, sink)
-    if done is not None:
-        days = missing_units(days, done.withColumn("ds", F.col("ds").cast("string")))
-    return sorted(row.ds for row in days.collect())
+def clustered(df: DataFrame, n_partitions: int, by: str, row_id: str = "id", folders: int = 1) -> DataFrame:
+    """Even partitions for an encoder and a write with ``partitionBy(by)`` into about ``folders`` folders.
 
-
-def clustered(df: DataFrame, n_partitions: int, by: str, row_id: str = "id", files: int = 16) -> DataFrame:
-    """Partitions for a write with ``partitionBy(by)``: a folder's rows go to at most ``files`` tasks.
-
-    That bounds the number of files per folder and still splits a folder that holds most of the rows. The encoder
-    then runs on these partitions, so one shuffle serves both.
+    A folder's rows get four keys for each partition that is its share. A single folder therefore keeps nearly all
+    partitions busy, and many folders have few files each; one shuffle serves both.
     """
-    salted = df.withColumn("__salt", spreading_salt(files, row_id))
+    keys = 4 * -(-n_partitions // max(1, folders))
+    salted = df.withColumn("__salt", spreading_salt(keys, row_id))
     return salted.repartition(n_partitions, by, "__salt").drop("__salt")
 
 
+def _finished(sink: str) -> str:
+    """Where the units of a sink are recorded, also those without any row."""
+    return sink.rstrip("/") + "_finished"
+
+
+def open_units(spark: SparkSession, sink: str, first: str, last: str, buckets: tuple[int, int]) -> DataFrame:
+    """The (day, user bucket) cells asked for that no earlier run has finished."""
+    units = work_units(spark, first, last).filter(F.col("user_id_bucket").between(*buckets))
+    done = _sink(spark, _finished(sink))
+    if done is None:
+        return units
+    return missing_units(units, done.select(F.col("ds").cast("string").alias("ds"), F.col("user_id_bucket").cast("int").alias("user_id_bucket")))
+
+
 def embed_days(
-    posts: DataFrame, sink: str, first: str, last: str, encode: Callable[[DataFrame], DataFrame]
+    posts: DataFrame,
+    sink: str,
+    first: str,
+    last: str,
+    encode: Callable[[DataFrame], DataFrame],
+    buckets: tuple[int, int] = (0, USER_BUCKETS - 1),
+    user_id: str = "user_id",
 ) -> list[str]:
-    """Embed the days the sink lacks, in one job, and return them.
+    """Embed the (day, user bucket) units that no earlier run has finished, in one job; returns their days.
 
-    The days become a literal list, so the scan prunes to their partitions. Whole days are written: a day's folder
-    moves into the sink when the job commits, so a crashed job leaves a day either complete or missing.
+    The sink is partitioned by both, so that a later bucket range adds to a day and replaces nothing of it. ``encode``
+    keeps ``ds`` and ``user_id_bucket``. Units are recorded after the job has committed: a crashed job repeats its
+    units and replaces what they left; a unit without posts is not scanned again. The units are calendar cells, a few
+    dozen per day, and the days become a literal list, so that the scan prunes to their partitions.
     """
-    days = missing_days(posts.sparkSession, sink, first, last)
-    if days:
-        replace_partitions(encode(posts.filter(F.col("ds").isin(days))), sink, ("ds",))
+    spark = posts.sparkSession
+    cells = [(row.ds, row.user_id_bucket) for row in open_units(spark, sink, first, last, buckets).collect()]
+    if not cells:
+        return []
+    days = sorted({ds for ds, _ in cells})
+    units = spark.createDataFrame(cells, "ds STRING, user_id_bucket INT")
+    placed = posts.filter(F.col("ds").isin(days)).withColumn("user_id_bucket", user_bucket(F.col(user_id)))
+    todo = placed.join(F.broadcast(units), ["ds", "user_id_bucket"], "left_semi")
+    replace_partitions(encode(todo), sink, ("ds", "user_id_bucket"))
+    write_parquet(units.coalesce(1), _finished(sink), "append")
     return days
 
 
 def embed_new_ids(
-    posts: DataFrame, sink: str, encode: Callable[[DataFrame], DataFrame], max_broadcast: int = MAX_BROADCAST_IDS
+    posts: DataFrame,
+    sink: str,
+    encode: Callable[[DataFrame], DataFrame],
+    max_broadcast: int = MAX_BROADCAST_IDS,
+    partition_by: tuple[str, ...] = ("ds",),
 ) -> None:
-    """Embed the posts whose id the sink lacks and append them; a second run appends nothing."""
+    """Embed the posts whose id the sink lacks and append them; a second run appends nothing.
+
+    An id that the input holds more than once is embedded once. Posts without an id are left to ``without_id``.
+    """
     done = _sink(posts.sparkSession, sink)
-    todo = posts if done is None else not_done(posts, "id", done.select("id"), max_broadcast)
-    write_parquet(encode(todo), sink, "append", ("ds",))
+    named = posts.filter(F.col("id").isNotNull())
+    todo = named if done is None else not_done(named, "id", done.select("id"), max_broadcast)
+    write_parquet(encode(todo.dropDuplicates(["id"])), sink, "append", partition_by)
+
+
+def without_id(posts: DataFrame) -> DataFrame:
+    """Posts that cannot be embedded once, because they have no id."""
+    return posts.filter(F.col("id").isNull())

@@ -10,7 +10,7 @@ from panelforge import schemas
 from panelforge.functions.demographics import user_bucket
 from panelforge.operators import encoding, evaluation, inference, joins, labeling, responses
 from panelforge.plans import incremental
-from panelforge.rules import INTENDED, RuleSet
+from panelforge.rules import INTENDED, USER_BUCKETS, RuleSet
 from panelforge.sources import readers, writers
 
 EncoderFactory = Callable[[], encoding.Encoder]
@@ -55,15 +55,23 @@ def embed_followee_posts(
     buckets: tuple[int, int] = (0, 39),
     batch_rows: int = encoding.BATCH_ROWS,
 ) -> list[str]:
-    """Vectors of the listed users' posts for the days that the sink lacks; returns those days."""
+    """Vectors of the listed users' posts for the days and buckets not yet done; returns those days.
+
+    A second pass over the range appends posts of users who joined the list after their days were done.
+    """
+
+    def embedded(kept: DataFrame) -> DataFrame:
+        return encoding.embed(incremental.clustered(kept, n_partitions, "ds"), "text", load_encoder, batch_rows)
 
     def encode(posts: DataFrame) -> DataFrame:
-        flat = readers.flat_posts(posts, "text", "ds")
-        kept = joins.posts_of_followees(flat, followees, *buckets)
-        placed = incremental.clustered(kept, n_partitions, "ds")
-        return encoding.embed(placed, "text", load_encoder, batch_rows)
+        return embedded(joins.posts_of_followees(readers.flat_posts(posts, "text", "ds"), followees, *buckets))
 
-    return incremental.embed_days(readers.read_posts(spark, posts_root), sink, first, last, encode)
+    posts = readers.read_posts(spark, posts_root)
+    days = incremental.embed_days(posts, sink, first, last, encode, buckets, "user.id")
+    in_range = readers.flat_posts(posts.filter(F.col("ds").between(first, last)), "text", "ds")
+    listed = joins.posts_of_followees(in_range, followees, *buckets)
+    incremental.embed_new_ids(listed, sink, embedded, partition_by=("ds", "user_id_bucket"))
+    return days
 
 
 def embed_panel_posts(
@@ -82,7 +90,7 @@ def embed_panel_posts(
     """
     posts = readers.read_panel_posts(spark, posts_root, created_at_bucket)
     flat = readers.flat_posts(posts, "full_text", "created_at_bucket", "user_id_bucket")
-    placed = incremental.clustered(joins.posts_of_panel(flat, panel), n_partitions, "user_id_bucket")
+    placed = incremental.clustered(joins.posts_of_panel(flat, panel), n_partitions, "user_id_bucket", folders=USER_BUCKETS)
     vectors = encoding.embed(placed, "full_text", load_encoder, batch_rows, drop_text=False)
     writers.replace_partitions(vectors, sink, ("created_at_bucket", "user_id_bucket"))
 

@@ -80,7 +80,7 @@ def _vectors(source: str, keys: str, text: str = "text") -> str:
 
 
 PREDICTIONS = """predictions AS (
-    SELECT c_custkey AS id, (c_custkey * 7) % 11 AS s0, (c_custkey * 5) % 13 AS s1, (c_custkey * 3) % 17 AS s2,
+    SELECT CASE WHEN c_custkey % 8 = 3 THEN c_custkey + 10000000 ELSE c_custkey END AS id, (c_custkey * 7) % 11 AS s0, (c_custkey * 5) % 13 AS s1, (c_custkey * 3) % 17 AS s2,
            (c_custkey * 2) % 19 AS s3, (c_custkey * 13) % 101 AS male, 100 - (c_custkey * 13) % 101 AS female
     FROM customer)"""
 DECODED = f"""{PREDICTIONS}, ranged AS (
@@ -129,7 +129,7 @@ def _agreement(null_bin: str | None = None) -> str:
     first, second, then = (_bin(a, null_bin) for a in ("age_1", "age_2", "age_then"))
     return f"""{SAMPLE}, {ANNOTATIONS}, agreement AS (
     SELECT *, coalesce({first} = {second} AND {first} = {then}, FALSE) AS annot_goodness
-    FROM annotations JOIN sample USING (user_id))"""
+    FROM annotations JOIN sample USING (user_id) WHERE user_id % 8 <> 3)"""
 
 
 _ACCURACY = """count(*) AS joined_rows,
@@ -262,6 +262,9 @@ ORACLE: dict[str, str] = {
     ),
     "embed_increment": _day_sums(),
     "embed_increment_by_id": _day_sums(),
+    "embed_bucket_halves": _day_sums(),
+    "embed_grown_id_list": _day_sums(),
+    "rejected_id_lines": "SELECT 'n/a ' || c_custkey AS line FROM customer WHERE c_custkey % 50 = 0",
     "work_calendar_gaps": f"""
         SELECT ds, user_id_bucket FROM (
             SELECT strftime(day, '%Y-%m-%d') AS ds, CAST(unnest(range(40)) AS INTEGER) AS user_id_bucket
@@ -334,9 +337,10 @@ ORACLE: dict[str, str] = {
     "api_next_tokens": _select(
         FOLLOW_RESPONSES, "SELECT user_id, json_extract_string(body, '$.meta.next_token') AS next_token FROM classified"
     ),
-    "api_pages_edges": "SELECT DISTINCT o_custkey AS user_id, o_orderkey % 50 AS followee_id FROM orders",
+    "api_pages_edges": "SELECT DISTINCT o_custkey AS user_id, o_orderkey % 50 AS followee_id FROM orders WHERE o_orderkey % 97 > 2",
     "api_pages_complete": """
-        SELECT o_custkey AS user_id, count(*) AS n_pages, bool_or(coalesce(o_orderstatus, '') <> 'O') AS is_complete
+        SELECT o_custkey AS user_id, count(*) AS n_pages,
+               min(o_orderkey % 97) > 2 AND bool_or(coalesce(o_orderstatus, '') <> 'O') AS is_complete
         FROM orders GROUP BY 1""",
     "api_posts": """
         SELECT conv_id AS user_id, conv_id * 1000 + turn AS id, text, '2024-01-01T00:00:00.000Z' AS created_at,

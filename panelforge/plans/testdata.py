@@ -102,7 +102,13 @@ def panel_uids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores that need not add up to one; some tie."""
+    """Predictions of which one in eight belongs to an unknown user, so that a customer lacks it."""
+    c = F.col("id").cast("bigint")
+    return all_predictions(spark, sf_dir).withColumn("id", F.when(c % 8 == 3, c + 10_000_000).otherwise(c).cast("string"))
+
+
+def all_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every customer that need not add up to one; some tie."""
     c = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
         c.cast("string").alias("id"),
@@ -189,14 +195,21 @@ def follow_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per order: orders of a customer are its pages, the supplier-like number its followee."""
+    """One page per order: orders of a customer are its pages, the supplier-like number its followee.
+
+    Some pages are errors, some bodies are no JSON, some are missing.
+    """
     followee, order = (F.col("o_orderkey") % 50).cast("string"), F.col("o_orderkey").cast("string")
     token = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit(',"next_token":"t'), order, F.lit('"'))).otherwise("")
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("user_id"),
-        F.concat(
-            F.lit('{"data":[{"id":"'), followee, F.lit('"}],"meta":{"result_count":1'), token, F.lit("}}")
-        ).alias("body"),
+        F.when(F.col("o_orderkey") % 97 == 0, '{"errors":[{"value":"1","detail":"Over capacity"}]}')
+        .when(F.col("o_orderkey") % 97 == 1, "<html>Bad gateway</html>")
+        .when(F.col("o_orderkey") % 97 == 2, None)
+        .otherwise(
+            F.concat(F.lit('{"data":[{"id":"'), followee, F.lit('"}],"meta":{"result_count":1'), token, F.lit("}}"))
+        )
+        .alias("body"),
     )
 
 

@@ -98,7 +98,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_id_lines(spark: SparkSession, path: str, column: str = "user_id") -> DataFrame:
     """One id per line, with its place (file, block, row) so that file order can be restored.
 
-    Blank lines and lines that hold no number are left out.
+    Blank lines and lines that hold no number are left out here; ``rejected_id_lines`` returns the latter.
     """
     lines = spark.read.text(path).select(
         F.trim(F.col("value"), F.lit(" \t\r\n")).try_cast("bigint").alias(column),
@@ -109,6 +109,13 @@ def read_id_lines(spark: SparkSession, path: str, column: str = "user_id") -> Da
     return lines.filter(F.col(column).isNotNull())
 
 
+def rejected_id_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of an id list that are neither blank nor a number, with their file."""
+    text = F.trim(F.col("value"), F.lit(" \t\r\n"))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), text.alias("text"), F.col("_metadata.file_path").alias("file"))
+    return lines.filter((F.col("text") != "") & F.col("text").try_cast("bigint").isNull()).select("line", "file")
+
+
 FILE_ORDER = ("file", "block", "row")
 
 

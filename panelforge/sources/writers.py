@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A single file is written by one task, so it is only for exports of checked size.
-MAX_SINGLE_FILE_ROWS = 1_000_000
-
 
 def write_json(df: DataFrame, path: str, mode: str = "append", partition_by: tuple[str, ...] = (), compression="bzip2"):
     """JSON lines; bzip2 files can still be split by a later scan."""
@@ -35,11 +32,9 @@ def export_table(
 ):
     """Delimited text. Sorted frames give files in that order.
 
-    ``single_file`` puts everything into one file and refuses frames too large for one task.
+    ``single_file`` has one task write everything into one file: for exports that one reader takes whole.
     """
     if single_file:
-        if df.count() > MAX_SINGLE_FILE_ROWS:
-            raise ValueError(f"more than {MAX_SINGLE_FILE_ROWS} rows; export without single_file")
         df = df.coalesce(1)
     df.write.mode(mode).csv(path, sep=sep, header=header, compression=compression, escape='"')
 

@@ -81,7 +81,7 @@ def _known_fixture(spark):
         F.when(c % 13 == 0, None).otherwise(guess).cast("double").alias("age_1"),
         F.when(c % 17 == 0, None).otherwise(guess + c % 3 - 1).cast("double").alias("age_2"),
     )
-    decoded = evaluation.decode_predictions(td.predictions(spark, sf))
+    decoded = evaluation.decode_predictions(td.all_predictions(spark, sf))
     as_of, then = F.lit("2021-06-30").cast("date"), F.lit("2018-08-01").cast("date")
     return evaluation.with_real_age(panel, as_of), annotations, decoded, then
 

@@ -80,12 +80,6 @@ def test_exports(spark, tmp_path):
     assert readers.read_table(spark, path, schemas.VALIDATION_AGE).count() == 2
 
 
-def test_single_file_export_is_bounded(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(writers, "MAX_SINGLE_FILE_ROWS", 5)
-    with pytest.raises(ValueError, match="without single_file"):
-        writers.export_table(spark.range(6), str(tmp_path / "big"), single_file=True)
-
-
 def test_sorted_export_writes_files_in_order(spark, tmp_path):
     df = spark.range(5000).withColumn("key", F.md5(F.col("id").cast("string"))).orderBy("key")
     writers.export_table(df, str(tmp_path / "s"), compression=None, header=False)

@@ -10,7 +10,7 @@ from panelforge.streaming import labels as streaming
 
 
 def _encode(df):
-    return hash_embed(incremental.clustered(df, 4, "ds", files=2), "text", 4).drop("text")
+    return hash_embed(incremental.clustered(df, 4, "ds", folders=8), "text", 4).drop("text")
 
 
 def _posts(spark):
@@ -46,9 +46,28 @@ def test_new_ids_once(spark, tmp_path):
 
 def test_clustered_bounds_files_per_folder(spark, tmp_path):
     posts = _posts(spark)
-    writers.write_parquet(incremental.clustered(posts, 8, "ds", files=2), str(tmp_path / "c"), partition_by=("ds",))
+    writers.write_parquet(incremental.clustered(posts, 8, "ds", folders=30), str(tmp_path / "c"), partition_by=("ds",))
     for folder in (tmp_path / "c").glob("ds=*"):
-        assert 1 <= len(list(folder.glob("part-*"))) <= 2
+        assert 1 <= len(list(folder.glob("part-*"))) <= 4
+
+
+def test_one_day_keeps_the_encoder_partitions_busy(spark):
+    day = spark.range(5000).withColumn("ds", F.lit("2024-01-01"))
+    placed = incremental.clustered(day, 120, "ds").select(F.spark_partition_id().alias("p"))
+    assert placed.distinct().count() > 100
+
+
+def test_bucket_ranges_add_up_and_copies_count_once(spark, tmp_path):
+    posts, sink = _posts(spark), str(tmp_path / "halves")
+    for buckets, n in (((0, 19), 3), ((20, 39), 3), ((0, 39), 0)):
+        assert len(incremental.embed_days(posts, sink, "2024-01-01", "2024-01-03", _encode, buckets)) == n
+    assert rows(readers.read_parquet(spark, sink), "id") == rows(posts.filter("ds <= '2024-01-03'"), "id")
+    copies = posts.unionByName(posts).unionByName(posts.withColumn("id", F.lit(None).cast("bigint")))
+    ids = str(tmp_path / "ids")
+    for _ in range(3):
+        incremental.embed_new_ids(copies, ids, _encode)
+    assert rows(readers.read_parquet(spark, ids), "id") == rows(posts, "id")
+    assert incremental.without_id(copies).count() == posts.count()
 
 
 def test_days_are_pruned_by_name(spark, tmp_path):

@@ -13,7 +13,6 @@ Without any labelled document everything is ``und``. Rows are independent of eac
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -33,10 +32,14 @@ PIECE = 24
 PIECES = 3
 SLICE = 1 << 23
 
-_LETTER = re.compile(r"[^\W\d_]")
 _EDGES = ".,;:!?\"'()[]{}|*%$#&-"
 
 
+def has_letter(word: str) -> bool:
+    """Whether any character is a letter to Unicode; digits set high or low and number signs are none."""
+    return any(map(str.isalpha, word))
+
+
 def features(word: str) -> list[int]:
     """Slots of a word's features."""
     core = word.strip(_EDGES).lower() or word
@@ -68,7 +71,7 @@ class Tagger:
         flat = self.weights[np.concatenate(slots)]
         out = np.empty((len(words), len(self.labels) + 1), dtype=np.float32)
         out[:, :-1] = np.add.reduceat(flat, np.cumsum(sizes) - sizes)
-        out[:, -1] = [_LETTER.search(w) is not None for w in words]
+        out[:, -1] = [has_letter(w) for w in words]
         return out
 
     def words(self) -> WordTable:
@@ -121,7 +124,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 4, rate: float = 0.3
     index: dict[str, int] = {}
     pieces = []
     for text, lang in zip(texts, langs):
-        ids = [index.setdefault(w, len(index)) for w in text.split() if _LETTER.search(w)]
+        ids = [index.setdefault(w, len(index)) for w in text.split() if has_letter(w)]
         pieces += [(np.array(ids[i : i + PIECE]), number[lang]) for i in range(0, len(ids), PIECE)]
     if not pieces or k < 2:
         return tagger

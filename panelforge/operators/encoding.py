@@ -6,6 +6,7 @@ import hashlib
 import re
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -52,16 +53,19 @@ def hash_encoder(dim: int = DEFAULT_DIM) -> Callable[[], Encoder]:
 
 
 def shipped(spark: SparkSession, path: str, build: Callable[[str], Encoder]) -> Callable[[], Encoder]:
-    """Factory of an encoder that is built from a model file or folder.
+    """Factory of an encoder that is built from a model file, folder or archive.
 
-    Spark copies ``path`` to every executor once; ``build`` gets the local copy's path there, so the model itself
-    never passes through the driver's memory or a closure.
+    An archive (``.zip``, ``.tar.gz``, ``.tgz``, ``.jar``) in a store that all machines read is fetched from there and
+    unpacked once by each executor. Any other ``path`` must be mounted on all machines and is opened in place. ``build``
+    gets the path; each task builds one encoder, at its first batch. Models of equal names do not collide.
     """
-    spark.sparkContext.addFile(path, recursive=True)
-    name = path.rstrip("/").rsplit("/", 1)[-1]
+    name = f"model-{crc32(path.encode()):08x}"
+    archive = path.endswith((".zip", ".tar.gz", ".tgz", ".jar"))
+    if archive:
+        spark.sparkContext.addArchive(f"{path}#{name}")
 
     def load() -> Encoder:
-        return build(SparkFiles.get(name))
+        return build(SparkFiles.get(name) if archive else path)
 
     return load
 

@@ -39,7 +39,7 @@ def with_real_age(panel: DataFrame, as_of: Column) -> DataFrame:
 
 def join_predictions(panel: DataFrame, key: str, decoded: DataFrame, max_broadcast: int = MAX_BROADCAST_PANEL):
     """Panel rows with their decoded prediction, for inspection."""
-    return join_rows(decoded, panel, F.col(key) == F.col("id"), max_broadcast)
+    return join_rows(decoded, panel, "id", key, max_broadcast)
 
 
 def age_misses(age: Column, low: Column, high: Column) -> Column:
@@ -133,7 +133,7 @@ def annotation_agreement(
         predicted = decoded.select(F.col("id").alias("user_id")).distinct()
         panel = panel.join(predicted, "user_id", "left_semi")
     truth = panel.withColumnRenamed("user_id", "__panel_id")
-    joined = join_rows(annotated(annotations), truth, F.col("user_id") == F.col("__panel_id"), max_broadcast)
+    joined = join_rows(annotated(annotations), truth, "user_id", "__panel_id", max_broadcast)
     true_age = age_on(F.col("birth_date"), as_of)
     flag = annotators_agree(F.col("age_1"), F.col("age_2"), true_age, null_bin)
     return joined.drop("__panel_id").withColumn("annot_goodness", flag)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelforge.functions.demographics import user_bucket
 from panelforge.functions.hashing import spreading_salt
@@ -10,6 +10,8 @@ from panelforge.functions.hashing import spreading_salt
 # 4 million 8-byte ids make a hash table of about 100 MB on each executor.
 MAX_BROADCAST_IDS = 4_000_000
 SALTS = 16
+# A key with more than one in so many rows is spread over the salts.
+HEAVY = 1_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_IDS) -> bool:
@@ -17,18 +19,31 @@ def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_IDS) -> bool:
     return df.count() <= max_rows
 
 
-def _salted_join(left: DataFrame, right: DataFrame, on: Column, how: str, salts: int) -> DataFrame:
-    """Join after repeating ``right`` once per salt, over which the rows of one busy left key spread."""
-    repeated = right.withColumn("__right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = left.withColumn("__salt", spreading_salt(salts, *left.columns))
+def heavy_keys(df: DataFrame, key: str, one_in: int = HEAVY) -> list:
+    """Keys that hold more than one in ``one_in`` of the rows: fewer than ``one_in``, however large the table is."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return [r.key for r in counts.filter(F.col("n") * one_in > df.count()).collect()]
+
+
+def _salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, salts: int) -> DataFrame:
+    """Join in which the rows of busy left keys spread over salts; only their rows of ``right`` are repeated."""
+    on = F.col(left_key) == F.col(right_key)
+    heavy = heavy_keys(left, left_key)
+    if not heavy:
+        return left.join(right, on, how)
+    last = F.when(F.col(right_key).isin(heavy), salts - 1).otherwise(0)
+    repeated = right.withColumn("__right_salt", F.explode(F.sequence(F.lit(0), last)))
+    salt = F.when(F.col(left_key).isin(heavy), spreading_salt(salts, *left.columns)).otherwise(0)
+    salted = left.withColumn("__salt", salt)
     return salted.join(repeated, on & (F.col("__salt") == F.col("__right_salt")), how).drop("__salt", "__right_salt")
 
 
-def join_rows(left: DataFrame, right: DataFrame, on: Column, max_broadcast: int, salts: int = SALTS) -> DataFrame:
-    """Inner join. ``right`` is broadcast if its checked size allows, otherwise repeated per salt."""
+def join_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str, max_broadcast: int, salts: int = SALTS) -> DataFrame:
+    """Inner join on keys of different names. ``right`` is broadcast if its checked size allows, otherwise joined by key
+    with busy keys salted."""
     if fits_broadcast(right, max_broadcast):
-        return left.join(F.broadcast(right), on)
-    return _salted_join(left, right, on, "inner", salts)
+        return left.join(F.broadcast(right), F.col(left_key) == F.col(right_key))
+    return _salted_join(left, right, left_key, right_key, "inner", salts)
 
 
 def match_ids(
@@ -36,16 +51,17 @@ def match_ids(
 ) -> DataFrame:
     """Join ``df`` on ``key`` with a one-column id list: ``left_semi`` keeps listed rows, ``left_anti`` the others.
 
-    A list of checked size is broadcast and ``df`` is not shuffled at all. A longer list is repeated once per salt.
-    Keys that are nearly unique, like post ids, need no repeated list: with ``salts=1`` only adaptive execution
-    splits what skew remains.
+    A list of checked size is broadcast and ``df`` is not shuffled at all. A longer list is joined by key, with the rows
+    of busy keys spread over salts. Keys that are nearly unique, like post ids, have no busy ones: ``salts=1`` spares
+    the count.
     """
     (id_column,) = ids.columns
     listed = ids.select(F.col(id_column).alias("__id")).filter(F.col("__id").isNotNull()).distinct()
-    on = F.col(key) == F.col("__id")
     if fits_broadcast(ids, max_broadcast):
-        return df.join(F.broadcast(listed), on, how)
-    return df.join(listed, on, how) if salts == 1 else _salted_join(df, listed, on, how, salts)
+        return df.join(F.broadcast(listed), F.col(key) == F.col("__id"), how)
+    if salts == 1:
+        return df.join(listed, F.col(key) == F.col("__id"), how)
+    return _salted_join(df, listed, key, "__id", how, salts)
 
 
 def in_buckets(ids: DataFrame, key: str, low: int, high: int) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelforge import schemas
 from panelforge.functions.demographics import age_on, is_default_image, user_bucket
 from panelforge.functions.hashing import hash_embed
 from panelforge.functions.registry import register_functions
 from panelforge.operators import batching, encoding, evaluation, inference, joins, labeling, responses, summaries
-from panelforge.plans import incremental, testdata as td
+from panelforge.plans import incremental, jobs, testdata as td
 from panelforge.rules import INTENDED, LITERAL, UNLABELED_GENDER, RuleSet
 from panelforge.session import run_folder
 from panelforge.sources import readers, writers
@@ -51,12 +51,12 @@ def genders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts_day_range(spark, sf_dir):
-    posts = readers.between_days(td.stream_posts(spark, sf_dir), "2024-01-09", "2024-01-31")
+    posts = readers.between_days(td.stream_posts(spark, sf_dir, ("2024-01-10", "2024-01-31")), "2024-01-09", "2024-01-31")
     return summaries.counts_by(posts, "ds")
 
 
 def posts_on_day(spark, sf_dir):
-    posts = readers.on_day(td.stream_posts(spark, sf_dir), "2024-01-16")
+    posts = readers.on_day(td.stream_posts(spark, sf_dir, ("2024-01-16", "2024-01-16")), "2024-01-16")
     return readers.flat_posts(posts, "text", "ds")
 
 
@@ -100,7 +100,9 @@ def age_label_counts_sorted(spark, sf_dir):
 
 
 def age_label_preview(spark, sf_dir):
-    return summaries.first_by(summaries.counts_by(ages(spark, sf_dir), "age_label"), "age_label", 100)
+    """The first five labels in order, with their place."""
+    first = summaries.first_by(summaries.counts_by(ages(spark, sf_dir), "age_label"), "age_label", 5)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("age_label")).cast("bigint"))
 
 
 def age_groups(spark, sf_dir):
@@ -404,6 +406,12 @@ def api_users(spark, sf_dir):
         "verified",
         "public_metrics.followers_count",
         "public_metrics.following_count",
+        "public_metrics.tweet_count",
+        "public_metrics.listed_count",
+        "profile_image_url",
+        "url",
+        F.array_join("withheld.country_codes", ",").alias("withheld_in"),
+        F.col("withheld.scope").alias("withheld_scope"),
     )
 
 
@@ -435,6 +443,8 @@ def api_posts(spark, sf_dir):
         "lang",
         "public_metrics.reply_count",
         "public_metrics.like_count",
+        "public_metrics.retweet_count",
+        "public_metrics.quote_count",
     )
 
 
@@ -460,8 +470,8 @@ def rejected_id_lines(spark, sf_dir):
 
 
 def resume_ids(spark, sf_dir):
-    """Listed customers without an order yet."""
-    done = td.table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    """Listed customers without a finished order yet."""
+    done = td.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_custkey")
     return joins.not_done(_id_file(spark, sf_dir), "user_id", done).select("user_id")
 
 
@@ -507,13 +517,38 @@ def panel_partition_scan(spark, sf_dir):
 def raw_posts_any_format(spark, sf_dir):
     """Documents of the first days as JSON lines, the others as headerless TSV, all read from one folder."""
     path = run_folder(spark, "raw-posts")
-    posts = td.document_posts(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[\t\r\n]+", " "))
+    posts = td.document_posts(spark, sf_dir)
     writers.write_json(posts.filter("ds <= '2024-01-15'").drop("ds"), path, compression=None)
     late = posts.filter("ds > '2024-01-15'").drop("ds")
     writers.export_table(late, path, mode="append", header=False, compression=None)
     return readers.read_raw_posts(spark, path)
 
 
+def bios_tsv_round_trip(spark, sf_dir):
+    """Profile texts with tabs, quotes, line breaks and backslashes through TSV, with breaks in quotes and escaped."""
+    bio = F.concat(F.coalesce("description", F.lit("none")), F.lit('\t"'), F.col("uid"), F.lit('"\r\n\\n '))
+    profiles = td.user_profiles(spark, sf_dir).select("uid", bio.alias("description"))
+
+    def back(breaks: str) -> DataFrame:
+        path = run_folder(spark, f"bios-{breaks}")
+        writers.export_table(profiles, path, compression=None, breaks=breaks)
+        return readers.read_table(spark, path, "uid STRING, description STRING", breaks=breaks).withColumn("breaks", F.lit(breaks))
+
+    return summaries.union_all(back("quoted"), back("escaped"))
+
+
+def replaced_days(spark, sf_dir):
+    """The matching job over all days, and again over ten days after a correction that emptied all profile texts of two."""
+    first, second, matched = (run_folder(spark, name) for name in ("landed", "corrected", "matched"))
+    posts = td.stream_posts(spark, sf_dir)
+    emptied = F.when(~F.col("ds").isin("2024-01-12", "2024-01-16"), F.col("user.description"))
+    writers.write_json(posts, first, partition_by=("ds",), compression=None)
+    writers.write_json(posts.withColumn("user", F.col("user").withField("description", emptied)), second, partition_by=("ds",), compression=None)
+    jobs.match_bios(spark, first, matched, "2023-12-31", "2024-01-31")
+    jobs.match_bios(spark, second, matched, "2024-01-09", "2024-01-19")
+    return readers.read_json(spark, matched, schemas.MATCHED_BIOS)
+
+
 def embedding_csv_export(spark, sf_dir):
     path = run_folder(spark, "vectors")
     posts = encoding.spread(td.document_posts(spark, sf_dir), spark.sparkContext.defaultParallelism)
@@ -610,6 +645,8 @@ QUERIES: dict[str, Query] = {
     "posts_json_scan": posts_json_scan,
     "panel_partition_scan": panel_partition_scan,
     "raw_posts_any_format": raw_posts_any_format,
+    "bios_tsv_round_trip": bios_tsv_round_trip,
+    "replaced_days": replaced_days,
     "embedding_csv_export": embedding_csv_export,
     "predictions_csv_round_trip": predictions_csv_round_trip,
     "profiles_to_json_lines": profiles_to_json_lines,

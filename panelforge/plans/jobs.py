@@ -21,11 +21,12 @@ def match_bios(
 ) -> None:
     """Authors of posts in a range of days whose profile text matches a rule, as day-partitioned JSON.
 
-    The days of the range are replaced, so that a rerun does not double them.
+    The days of the range are replaced, so that a rerun does not double them; a day without matches any more goes.
     """
     posts = readers.between_days(readers.read_posts(spark, posts_root), after, upto)
     bios = labeling.match_any(labeling.profile_of_author(posts), "user_bio", rules.first_stage())
-    writers.replace_partitions(bios, matched, ("ds",), "json")
+    in_range = (F.col("ds") > after) & (F.col("ds") <= upto)
+    writers.replace_range(bios, matched, ("ds",), in_range, "json")
 
 
 def label_matched(spark: SparkSession, matched: str, labeled: str, rules: RuleSet = INTENDED, mode: str = "overwrite"):
@@ -86,13 +87,15 @@ def embed_panel_posts(
 ) -> None:
     """Vectors of the panel's posts of one half-month, all user buckets in one job, text kept.
 
-    The sink is partitioned by half-month and user bucket, and the half-month's partitions are replaced.
+    The sink is partitioned by half-month and user bucket, and the half-month's partitions are replaced, also those of
+    buckets without posts any more.
     """
     posts = readers.read_panel_posts(spark, posts_root, created_at_bucket)
     flat = readers.flat_posts(posts, "full_text", "created_at_bucket", "user_id_bucket")
     placed = incremental.clustered(joins.posts_of_panel(flat, panel), n_partitions, "user_id_bucket", folders=USER_BUCKETS)
     vectors = encoding.embed(placed, "full_text", load_encoder, batch_rows, drop_text=False)
-    writers.replace_partitions(vectors, sink, ("created_at_bucket", "user_id_bucket"))
+    in_half = F.col("created_at_bucket") == created_at_bucket
+    writers.replace_range(vectors, sink, ("created_at_bucket", "user_id_bucket"), in_half)
 
 
 def embed_files(spark: SparkSession, posts: str, out: str, load_encoder: EncoderFactory, n_partitions: int | None = None):

@@ -210,7 +210,7 @@ ORACLE: dict[str, str] = {
         _labeled(), "SELECT age_label, count(*) AS n FROM labeled GROUP BY 1 ORDER BY 1"
     ),
     "age_label_preview": _select(
-        _labeled(), "SELECT age_label, count(*) AS n FROM labeled GROUP BY 1 ORDER BY 1 LIMIT 100"
+        _labeled(), "SELECT age_label, count(*) AS n, row_number() OVER (ORDER BY age_label) AS place FROM labeled GROUP BY 1 ORDER BY 1 LIMIT 5"
     ),
     "age_groups": _select(_grouped(), f"SELECT {LABEL_COLUMNS}, age_group FROM grouped"),
     "age_groups_sql": _select(_grouped(), "SELECT user_id, age_label, age_group FROM grouped"),
@@ -331,7 +331,11 @@ ORACLE: dict[str, str] = {
         SELECT CAST(c_custkey AS VARCHAR) AS id, concat('user_', c_custkey) AS username, c_name AS name,
                {_bio('c_custkey')} AS description, '2020-01-01T00:00:00.000Z' AS created_at, c_mktsegment AS location,
                c_custkey % 2 = 0 AS protected, c_custkey % 5 = 0 AS verified,
-               c_custkey % 100 AS followers_count, c_custkey % 70 AS following_count
+               c_custkey % 100 AS followers_count, c_custkey % 70 AS following_count, c_custkey % 60 AS tweet_count,
+               c_custkey % 7 AS listed_count, concat('https://img.example/', c_custkey, '.jpg') AS profile_image_url,
+               CASE WHEN c_custkey % 3 = 0 THEN concat('https://example.org/', c_custkey) END AS url,
+               CASE WHEN c_custkey % 50 = 0 THEN 'DE,FR' END AS withheld_in,
+               CASE WHEN c_custkey % 50 = 0 THEN 'user' END AS withheld_scope
         FROM customer WHERE c_custkey % 9 <> 0""",
     "follow_edges": _select(FOLLOW_RESPONSES, "SELECT user_id, followee_id FROM edges"),
     "api_next_tokens": _select(
@@ -345,7 +349,8 @@ ORACLE: dict[str, str] = {
     "api_posts": """
         SELECT conv_id AS user_id, conv_id * 1000 + turn AS id, text, '2024-01-01T00:00:00.000Z' AS created_at,
                conv_id AS conversation_id, CASE WHEN turn > 0 THEN conv_id END AS in_reply_to_user_id, 'en' AS lang,
-               turn AS reply_count, length(text) AS like_count
+               turn AS reply_count, length(text) AS like_count, (conv_id * 1000 + turn) % 7 AS retweet_count,
+               (conv_id * 1000 + turn) % 3 AS quote_count
         FROM conversations""",
     "routed_outcomes": _select(
         FOLLOW_RESPONSES,
@@ -353,7 +358,7 @@ ORACLE: dict[str, str] = {
            UNION ALL SELECT 'error', user_id, NULL, detail FROM errors
            UNION ALL SELECT outcome, user_id, NULL, NULL FROM classified WHERE outcome IN ('empty', 'unknown')""",
     ),
-    "resume_ids": "SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "resume_ids": "SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "id_batches_100": """
         SELECT batch_no, count(*) AS n_ids, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) AS ids
         FROM (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) AS place,
@@ -368,10 +373,13 @@ ORACLE: dict[str, str] = {
                    CAST(user_id % 40 AS INTEGER) AS user_id_bucket, count(*) AS n FROM events GROUP BY ALL)
         SELECT *, 'all' AS scan FROM parts
         UNION ALL SELECT *, 'one' FROM parts WHERE created_at_bucket = '2024-01-16' AND user_id_bucket = 7""",
-    "raw_posts_any_format": _select(
-        DOCUMENT_POSTS,
-        "SELECT id, user_id, regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g') AS text FROM document_posts",
+    "raw_posts_any_format": _select(DOCUMENT_POSTS, "SELECT id, user_id, text FROM document_posts"),
+    "bios_tsv_round_trip": _select(
+        PROFILES,
+        """SELECT uid, concat(coalesce(description, 'none'), chr(9), '"', uid, '"', chr(13), chr(10), '\\n ') AS description, breaks
+           FROM profiles, (VALUES ('quoted'), ('escaped')) AS ways(breaks)""",
     ),
+    "replaced_days": _select(_matched(INTENDED), "SELECT * FROM matched WHERE ds NOT IN ('2024-01-12', '2024-01-16')"),
     "embedding_csv_export": _select(
         f"{DOCUMENT_POSTS}, {_vectors('document_posts', 'id, user_id')}", "SELECT id, user_id, pos, value FROM vectors"
     ),

@@ -52,9 +52,16 @@ def _bio(position: Column) -> Column:
     return F.get(bios, position.cast("int"))
 
 
-def stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One post per event; its author has up to three bios."""
+def stream_posts(spark: SparkSession, sf_dir: str, days: tuple[str, str] | None = None) -> DataFrame:
+    """One post per event, of all days or of a range of days; its author has up to three bios.
+
+    ``ds`` is computed here, so that a filter on it would not reach the scan; the range does.
+    """
     events = table(spark, sf_dir, "events")
+    if days:
+        kind = events.schema["ts"].dataType
+        end = F.date_add(F.lit(days[1]).cast("date"), 1).cast(kind)
+        events = events.filter((F.col("ts") >= F.lit(days[0]).cast("date").cast(kind)) & (F.col("ts") < end))
     position = (F.col("user_id") * 7 + F.col("event_id") % 3) % len(BIOS)
     return events.select(
         F.col("event_id").alias("id"),
@@ -224,9 +231,14 @@ def user_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         _bio(c % len(BIOS)).alias("description"),
         F.lit("2020-01-01T00:00:00.000Z").alias("created_at"),
         F.col("c_mktsegment").alias("location"),
+        F.concat(F.lit("https://img.example/"), uid, F.lit(".jpg")).alias("profile_image_url"),
+        F.when(c % 3 == 0, F.concat(F.lit("https://example.org/"), uid)).alias("url"),
+        F.when(c % 50 == 0, F.struct(F.array(F.lit("DE"), F.lit("FR")).alias("country_codes"), F.lit("user").alias("scope"))).alias("withheld"),
         (c % 2 == 0).alias("protected"),
         (c % 5 == 0).alias("verified"),
-        F.struct((c % 100).alias("followers_count"), (c % 70).alias("following_count")).alias("public_metrics"),
+        F.struct(
+            (c % 100).alias("followers_count"), (c % 70).alias("following_count"), (c % 60).alias("tweet_count"), (c % 7).alias("listed_count")
+        ).alias("public_metrics"),
     )
     missing = F.struct(uid.alias("value"), F.format_string("Could not find user with ids: [%d].", c).alias("detail"))
     return table(spark, sf_dir, "customer").select(
@@ -250,7 +262,9 @@ def post_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("conversation_id"),
         F.when(F.col("turn") > 0, F.col("conv_id").cast("string")).alias("in_reply_to_user_id"),
         F.lit("en").alias("lang"),
-        F.struct(F.col("turn").alias("reply_count"), F.length("text").alias("like_count")).alias("public_metrics"),
+        F.struct(
+            F.col("turn").alias("reply_count"), F.length("text").alias("like_count"), (number % 7).alias("retweet_count"), (number % 3).alias("quote_count")
+        ).alias("public_metrics"),
     )
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("user_id"),

@@ -8,20 +8,31 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "panelforge", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with adaptive execution on. ``master`` stays unset on a cluster, where spark-submit names it."""
+def build_session(
+    app: str = "panelforge", master: str | None = None, shuffle_partitions: int | None = None, shuffled_gb: float | None = None
+) -> SparkSession:
+    """A session with adaptive execution on. ``master`` stays unset on a cluster, where spark-submit names it.
+
+    ``shuffled_gb`` is the largest shuffle to expect: it is cut into partitions of about 128 MB at first, which adaptive
+    execution only merges. Batches sent to Python are bounded in rows and in bytes.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master).config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffled_gb:
+        first = max(200, round(shuffled_gb * 8))
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(first))
     return builder.getOrCreate()
 
 

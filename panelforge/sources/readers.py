@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge import schemas
+from panelforge.functions import breaks as line_breaks
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -62,32 +63,47 @@ def read_panel_posts(
     return posts
 
 
-def read_table(spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = True) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = True, breaks: str = "quoted", line_end: str = "\n"
+) -> DataFrame:
     """TSV by default; ``sep=','`` for CSV, ``header=False`` for files that start with data.
 
+    ``breaks`` says where fields may hold line breaks: ``"quoted"`` in quotes, which keeps a file in one task;
+    ``"escaped"`` as ``export_table`` escapes them and ``"none"`` nowhere, both of which let files be split.
     An empty field is a missing value.
     """
-    return spark.read.schema(schema).csv(path, sep=sep, header=header, escape='"')
+    return _delimited(spark.read.schema(schema), path, sep, header, breaks, line_end)
+
 
+def _delimited(reader, path: str, sep: str, header: bool, breaks: str, line_end: str) -> DataFrame:
+    if breaks not in ("quoted", "escaped", "none"):
+        raise ValueError(f"breaks={breaks!r}")
+    df = reader.csv(path, sep=sep, header=header, escape='"', multiLine=breaks == "quoted", lineSep=line_end)
+    return line_breaks.in_strings(df, line_breaks.unescaped) if breaks == "escaped" else df
 
-def _files_with(spark: SparkSession, path: str, condition: Column) -> bool:
-    """Whether a file under ``path`` meets the condition; only names are listed, no content is read."""
-    return not spark.read.format("binaryFile").load(path).select("path").filter(condition).isEmpty()
 
+_RAW_NAME = r"\.(json|csv)(\.bz2|\.gz)?$"
 
-def read_raw_posts(spark: SparkSession, path: str) -> DataFrame:
-    """All posts of a file or folder: ``.json`` holds JSON lines, ``.csv`` headerless tab-separated rows."""
-    is_json, is_csv = F.col("path").endswith(".json"), F.col("path").endswith(".csv")
-    if _files_with(spark, path, ~is_json & ~is_csv):
+
+def read_raw_posts(spark: SparkSession, path: str, breaks: str = "quoted", line_end: str = "\n") -> DataFrame:
+    """All posts of a file or folder: ``.json`` holds JSON lines, ``.csv`` headerless tab-separated rows; both may be
+    compressed. ``breaks`` and ``line_end`` are those of ``read_table``."""
+    # One listing; names only, and one row per kind.
+    kind = F.regexp_extract("path", _RAW_NAME, 1).alias("kind")
+    kinds = {r.kind for r in spark.read.format("binaryFile").load(path).select(kind).distinct().collect()}
+    if "" in kinds:
         raise ValueError(f"{path}: only .json and .csv files can be read")
-    parts = []
-    if _files_with(spark, path, is_json):
-        parts.append(spark.read.schema(schemas.RAW_POSTS).option("pathGlobFilter", "*.json").json(path))
-    if _files_with(spark, path, is_csv):
-        csv = spark.read.schema(schemas.RAW_POSTS).option("pathGlobFilter", "*.csv")
-        parts.append(csv.csv(path, sep="\t", escape='"'))
-    if not parts:
+    if not kinds:
         raise ValueError(f"{path}: no .json or .csv file")
+
+    def reader(kind: str):
+        return spark.read.schema(schemas.RAW_POSTS).option("pathGlobFilter", f"*.{{{kind},{kind}.bz2,{kind}.gz}}")
+
+    parts = []
+    if "json" in kinds:
+        parts.append(reader("json").json(path))
+    if "csv" in kinds:
+        parts.append(_delimited(reader("csv"), path, "\t", False, breaks, line_end))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

@@ -53,6 +53,35 @@ def test_raw_posts_of_both_formats(spark, tmp_path):
     assert readers.read_raw_posts(spark, str(tmp_path / "b.csv")).count() == 2
 
 
+@pytest.mark.parametrize("breaks", ["quoted", "escaped"])
+def test_line_breaks_and_edge_spaces_survive(spark, tmp_path, breaks):
+    texts = ["a\nb", "a\r\nb\t", "\r", " x ", "\\n", "\\", "\\b\n\\\r", 'say "hi"\n"', None, "\\\\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id BIGINT, text STRING").repartition(3)
+    path = str(tmp_path / "t")
+    writers.export_table(df, path, compression=None, breaks=breaks)
+    assert dict(readers.read_table(spark, path, "id BIGINT, text STRING", breaks=breaks).collect()) == dict(enumerate(texts))
+    with pytest.raises(ValueError, match="breaks"):
+        readers.read_table(spark, path, "id BIGINT", breaks="no")
+
+
+def test_foreign_files_with_both_line_ends_and_compressed_json(spark, tmp_path):
+    _raw(tmp_path, "b.csv", '2\t20\t"say\r\n ""hi"""\r\n3\t30\tplain\r\n')
+    got = rows(readers.read_raw_posts(spark, str(tmp_path), line_end="\r\n"))
+    assert [r[:2] for r in got] == [(2, 20), (3, 30)] and got[0][2].startswith("say") and got[1][2] == "plain"
+    posts = spark.createDataFrame([(1, 10, "x\ny")], schemas.RAW_POSTS)
+    writers.write_json(posts, str(tmp_path / "j"))
+    assert rows(readers.read_raw_posts(spark, str(tmp_path / "j"))) == [(1, 10, "x\ny")]
+
+
+def test_replaced_range_drops_emptied_partitions_only(spark, tmp_path):
+    sink, inside = str(tmp_path / "s"), F.col("ds").between("2024-01-02", "2024-01-03")
+    days = spark.createDataFrame([(d, f"2024-01-0{d}") for d in range(1, 5)], "id INT, ds STRING")
+    writers.replace_range(days, sink, ("ds",), F.lit(True))
+    writers.replace_range(days.filter("id <> 2"), sink, ("ds",), inside)
+    kept = spark.read.schema("id INT, ds STRING").parquet(sink)
+    assert rows(kept) == [(1, "2024-01-01"), (3, "2024-01-03"), (4, "2024-01-04")]
+
+
 def test_unknown_extension_is_refused(spark, tmp_path):
     _raw(tmp_path, "a.json", "{}\n")
     _raw(tmp_path, "b.txt", "1\n")

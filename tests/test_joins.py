@@ -22,6 +22,14 @@ def test_both_join_paths_agree_with_brute_force(spark, posts, how, limit):
     assert rows(got) == sorted(keep, key=repr)
 
 
+def test_only_busy_keys_are_repeated(spark, posts):
+    assert joins.heavy_keys(posts, "user_id", 4) == [1]
+    assert joins.heavy_keys(posts.filter("id < 0"), "user_id") == []
+    ids = spark.createDataFrame([(1,), (3,)], "uid BIGINT")
+    plan = joins.match_ids(spark.range(5000).withColumnRenamed("id", "user_id"), "user_id", ids, "left_semi", max_broadcast=0)
+    assert "salt" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() == 2
+
+
 @pytest.mark.parametrize("limit", [100, 0])
 def test_followee_posts_are_distinct_with_their_bucket(spark, posts, limit):
     ids = spark.createDataFrame([(1,), (1,), (-1,), (4,)], "followee_uid BIGINT")

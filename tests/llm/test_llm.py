@@ -290,3 +290,34 @@ def test_pipeline_equals_brute_force(spark):
     assert sorted(r.doc_id for r in now.select("doc_id").collect()) == kept and now.columns == docs.columns
     done = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in done} <= set(kept) and 0.3 < len(done) / len(kept) < 0.9
+
+
+def test_attention_gives_every_id_its_own_probability(monkeypatch):
+    monkeypatch.setattr(attention, "HEAD", 6)
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.integers(1, 60, 40), 1) for _ in range(4)]
+    model = attention.train(texts, 60, steps=20)
+    assert model.cuts == [6, 24, 60]
+    o = rng.standard_normal((1, attention.WIDTH)).astype(np.float32)
+    logs = model.log_probs(np.repeat(o, 60, axis=0), np.arange(60))
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5) and len(set(logs.tolist())) == 60
+    # Gradients of both steps against differences of the loss.
+    for name in model.NAMES:
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    windows, targets, _ = attention.windowed(texts[:2])
+    _, grads = model.step(windows, targets)
+    for name, at in (("out", (3, 2)), ("out", (3, 40)), ("bias", (50,)), ("turn", (2, 1)), ("turn_bias", (0,)), ("w2", (5, 5)), ("embed", (int(texts[0][0]), 3))):
+        values, losses = getattr(model, name), []
+        for d in (1e-4, -2e-4):
+            values[at] += d
+            losses.append(model.step(windows, targets)[0])
+        values[at] += 1e-4
+        assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(grads[name][at], rel=1e-3, abs=1e-6)
+
+
+def test_every_first_id_of_the_training_texts_is_a_class():
+    words = [chr(c).encode() + b"x" for c in range(97, 123)] + [f"{i:03d}z".encode() for i in range(400)]
+    spelling = lm.Spelling(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    spelling.learn(words, np.ones(len(words)))
+    first = {i[0] for i in spelling.ids(words)}
+    assert len(first) > 125 and len({int(spelling.classes[i]) for i in first} - {lm.REST}) == len(first)

@@ -318,6 +318,38 @@ def test_attention_gives_every_id_its_own_probability(monkeypatch):
 def test_every_first_id_of_the_training_texts_is_a_class():
     words = [chr(c).encode() + b"x" for c in range(97, 123)] + [f"{i:03d}z".encode() for i in range(400)]
     spelling = lm.Spelling(queries.vocabulary("byte_bpe_50k.tiktoken"))
-    spelling.learn(words, np.ones(len(words)))
+    ids = spelling.ids(words)
+    spelling.learn(*lm.tally(np.array(list(map(len, ids))), np.concatenate(ids), np.ones(len(words), dtype=np.int64)))
     first = {i[0] for i in spelling.ids(words)}
     assert len(first) > 125 and len({int(spelling.classes[i]) for i in first} - {lm.REST}) == len(first)
+
+
+def test_spelling_comes_from_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE", 2)
+    monkeypatch.setattr(lm, "TALLIED", 50)
+    texts = [None, *(t for _, t in table("documents", "doc_id, text")[:150]), "überlang zzyzx " * 2_000]
+    docs = documents(spark, texts)
+    spelling = lm.Spelling(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    counts = {}
+    for t in texts:
+        for w in lm.tokens((t or "").encode()):
+            counts[w] = counts.get(w, 0) + 1
+    spelled = dict(zip(counts, spelling.ids(list(counts))))
+    sums = lm.tallies(lm.count_words(docs, spelling)).toArrow()
+    spelling.learn(*(sums.column(c).to_numpy() for c in ("a", "b", "n", "words")))
+    often, words, pairs, stops = {}, {}, {}, {}
+    for w, ids in spelled.items():
+        often[ids[0]] = often.get(ids[0], 0) + counts[w]
+        words[ids[0]] = words.get(ids[0], 0) + 1
+        stops[ids[-1]] = stops.get(ids[-1], 0) + 1
+        for p in zip(ids, ids[1:]):
+            pairs[p] = pairs.get(p, 0) + 1
+    assert spelling.kinds == len(often) + lm.REST + 1 and spelling.tokens[lm.END] == len(texts)
+    assert all(spelling.tokens[spelling.classes[i]] == n and spelling.words[spelling.classes[i]] == words[i] for i, n in often.items())
+    assert dict(zip(spelling.pairs.tolist(), spelling.pair_counts.tolist())) == {a * spelling.size + b: n for (a, b), n in pairs.items()}
+    layer = lm.fit_layer(docs, F.lit(True), spelling, "text", "doc_id").layer
+    assert len(layer.embed) == spelling.kinds
+    facts = spelling.facts([w for w in spelled])
+    assert (facts[:, 0] != lm.REST).all() and np.isfinite(facts).all()
+    bound = {i: sum(np.exp(f[1]) for f, s in zip(facts, spelled.values()) if s[0] == i) for i in often}
+    assert max(bound.values()) <= 1 + 1e-9

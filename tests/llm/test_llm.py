@@ -353,3 +353,31 @@ def test_spelling_comes_from_all_training_texts(spark, monkeypatch):
     assert (facts[:, 0] != lm.REST).all() and np.isfinite(facts).all()
     bound = {i: sum(np.exp(f[1]) for f, s in zip(facts, spelled.values()) if s[0] == i) for i in often}
     assert max(bound.values()) <= 1 + 1e-9
+
+
+def _shingled(text):
+    words = WORDS.findall((text or "").translate(LOWER))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_pipeline_near_copies_equal_brute_force(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    texts = ["", None, "two words", "Two  words", "two others", *(t for _, t in table("documents", "doc_id, text"))]
+    for n in (60, 300, 900):
+        base = [f"w{i}" for i in rng.integers(0, 5000, n)]
+        for share in (0.005, 0.01, 0.02, 0.03, 0.06):
+            copy = list(base)
+            for at in rng.choice(n, max(1, int(n * share)), replace=False):
+                copy[at] = f"x{at}"
+            texts.append(" ".join(copy))
+    # One line repeated fills the fingerprint; the rest differs.
+    texts += [" ".join(["the same line again and"] * 400 + [f"{x}{i}" for i in range(200)]) for x in "pq"]
+    sets = [_shingled(t) for t in texts]
+    similar = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if similar(sets[i], sets[j])]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    docs = documents(spark, texts)
+    kept = stage(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(_components(len(texts), pairs))) and kept.columns == docs.columns

@@ -9,8 +9,10 @@ tags inside links, and Cb, LCb those of the body, the density is
 holds the article; the lowest density on its path to the body is the threshold from which on other elements count as
 content too, each with its own largest-sum subtree. An element inside ``article`` or ``main`` stands for all of it.
 
-Before that, elements go that are no text (scripts, forms) or that tag, class, id or role name as menu, header, footer,
-sidebar, notice, advert or reader comments. Null, empty and text-free pages give the empty text. Pages may be cut off or
+Before that, elements go that are no text (scripts, menus). Headers, forms and elements whose class, id or role names a
+menu, sidebar, notice, advert or reader comments go only while they hold less than half of the page's text, no ``main`` and
+no ``article`` of a quarter of it; otherwise, and if nothing else would be left, the densities decide. A name is a whole
+token of such words, so that ``has-sidebar`` and ``entry-header`` are none. Null, empty and text-free pages give the empty text. Pages may be cut off or
 nested wrongly; the tree is built without recursion. Work is per row, so that repeated rows and hot hosts need no care.
 """
 
@@ -33,7 +35,7 @@ BLOCKS = frozenset(
     "tfoot th thead tr ul".split()
 )
 NO_TEXT = frozenset(
-    "applet audio button canvas datalist dialog embed footer form frame frameset head iframe input map math menu nav noframes "
+    "applet audio button canvas datalist dialog embed footer frame frameset head iframe input map math menu nav noframes "
     "noscript object script select style svg template textarea title video aside".split()
 )
 #: Words in a class, id or role that name something beside the article.
@@ -44,6 +46,13 @@ BESIDE = frozenset(
     "newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar skip complementary "
     "contentinfo search".split()
 )
+#: Words that add no meaning to a name made of them and of ``BESIDE``.
+NEUTRAL = frozenset(
+    "site global main primary secondary left right top bottom box block bar wrapper wrap container inner outer slot unit area list "
+    "item items links link buttons button icons posts articles stories form".split()
+)
+#: Shares of the page's text from which on a named element, or an article in it, is not left out.
+LARGE, ARTICLE = 0.5, 0.25
 FRAME = frozenset(("html", "body", "main", "article"))
 #: A start tag closes these open elements, up to the nearest of the second list.
 CLOSES = {
@@ -60,17 +69,24 @@ SCOPES = frozenset("table td th caption button object html body".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _hidden(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether an element is never text of the page."""
+    return tag in NO_TEXT or tag not in FRAME and any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attributes)
+
+
 def _beside(tag: str, attributes: list[tuple[str, str | None]], framed: bool) -> bool:
     """Whether an element is named as something other than article text."""
-    if tag in NO_TEXT or tag == "header" and not framed:
+    if tag == "form" or tag == "header" and not framed:
         return True
     if tag in FRAME:
         return False
     for name, value in attributes:
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and value and any(p.lower() in BESIDE for p in _PARTS.findall(value)):
-            return True
+        if name in ("class", "id", "role") and value:
+            for token in value.split():
+                parts = {p.lower() for p in _PARTS.findall(token)}
+                named = parts & BESIDE
+                if named and parts <= BESIDE | NEUTRAL and not (framed and named == {"header"}):
+                    return True
     return False
 
 
@@ -81,6 +97,9 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags = ["#page"]
         self.parents = [-1]
+        #: Elements that are never text, those named as something else, and those left out in the end.
+        self.hidden = [False]
+        self.named = [False]
         self.beside = [False]
         self.open = [0]
         #: (element, text); None for a border between blocks.
@@ -103,10 +122,11 @@ class Page(HTMLParser):
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         parent = self.open[-1]
-        framed = any(self.tags[i] in ("article", "main") for i in self.open) if tag == "header" else False
+        framed = any(self.tags[i] in ("article", "main") for i in self.open) if tag == "header" or attrs else False
         self.tags.append(tag)
         self.parents.append(parent)
-        self.beside.append(self.beside[parent] or _beside(tag, attrs, framed))
+        self.hidden.append(self.hidden[parent] or _hidden(tag, attrs))
+        self.named.append(_beside(tag, attrs, framed))
         if tag == "br":
             self.texts.append((parent, " "))
         elif tag not in VOID:
@@ -125,6 +145,27 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.texts.append((self.open[-1], data))
 
+    def close(self) -> None:
+        super().close()
+        n = len(self.tags)
+        #: Characters of every text without white space.
+        self.sizes = [len("".join(text.split())) if text else 0 for _, text in self.texts]
+        chars, frames = [0] * n, [False] * n
+        for (i, _), size in zip(self.texts, self.sizes):
+            if not self.hidden[i]:
+                chars[i] += size
+        for i in range(n - 1, 0, -1):
+            chars[self.parents[i]] += chars[i]
+        for i in range(n - 1, 0, -1):
+            frames[i] = frames[i] or not self.hidden[i] and (self.tags[i] == "main" or self.tags[i] == "article" and chars[i] >= ARTICLE * chars[0])
+            frames[self.parents[i]] = frames[self.parents[i]] or frames[i]
+        self.beside = [False] * n
+        for i in range(1, n):
+            small = chars[i] < LARGE * chars[0] and not frames[i]
+            self.beside[i] = self.hidden[i] or self.beside[self.parents[i]] or self.named[i] and small
+        if not any(size and not self.beside[i] for (i, _), size in zip(self.texts, self.sizes)):
+            self.beside = self.hidden
+
 
 def densities(page: Page) -> tuple[list[float], list[float]]:
     """Composite density and density sum of every element."""
@@ -133,9 +174,8 @@ def densities(page: Page) -> tuple[list[float], list[float]]:
     linked = [False] * n
     for i in range(1, n):
         linked[i] = linked[page.parents[i]] or page.tags[i] == "a"
-    for i, text in page.texts:
-        if text and not page.beside[i]:
-            size = len("".join(text.split()))
+    for (i, _), size in zip(page.texts, page.sizes):
+        if size and not page.beside[i]:
             chars[i] += size
             link_chars[i] += size if linked[i] else 0
     for i in range(n - 1, 0, -1):

@@ -381,3 +381,22 @@ def test_pipeline_near_copies_equal_brute_force(spark):
     docs = documents(spark, texts)
     kept = stage(spark, docs, SF)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(_components(len(texts), pairs))) and kept.columns == docs.columns
+
+
+@pytest.mark.parametrize(
+    "name", ["class='has-sidebar'", "class='no-sidebar wide'", "class='content-with-sidebar'", "class='page-notices'", "class='sidebar'", "id='menu-overlay'", "role='search'"]
+)
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "{}"])
+def test_a_wrapper_named_beside_keeps_the_article(name, inner):
+    text = "<p>The first sentence of the article.</p><p>The second sentence of the article.</p>"
+    html = f"<body><div class='cookie-notice'>We use cookies</div><div {name}>{inner.format(text)}</div></body>"
+    assert density.main_text(html) == "The first sentence of the article.\nThe second sentence of the article."
+
+
+def test_widgets_headlines_and_page_wide_forms_stay():
+    parts = "".join(f"<div class='elementor-widget-text-editor'><p>Paragraph number {i} of this page.</p></div>" for i in range(5))
+    html = f"<body><form id=aspnetForm><div><div class='entry-header'><h1>The headline here</h1></div>{parts}</div><div class='sidebar-left'>Aside</div></form></body>"
+    assert density.main_text(html) == "\n".join(["The headline here", *(f"Paragraph number {i} of this page." for i in range(5))])
+    # Everything in named parts, each of them small.
+    html = "".join(f"<div class=widget><p>Part {i} of the page.</p></div>" for i in range(4))
+    assert density.main_text(html) == "\n".join(f"Part {i} of the page." for i in range(4))

@@ -7,7 +7,8 @@ ranked again by their exact inner product in double precision.
 
 Codebooks are fitted on at most ``SAMPLE`` rows (by hash of the id); every row is indexed. Cells are cut into chunks of
 rows and queries into blocks that meet in tasks of bounded size, so that a crowded cell spreads. ``share`` bounds the
-walk, which makes the search approximate; recall against brute force is measured in the tests.
+walk, which makes the search approximate; recall against brute force is measured in the tests, with
+walks that stop. Tables of up to ``least`` usable rows are searched whole.
 
 Vectors that are null, zero, or hold null or non-finite components, or whose length is not that of the others, take no
 part; the length is the most common one. Rows that share the query's id are the query's own. A table without usable
@@ -153,7 +154,14 @@ def best(x: np.ndarray, ids: np.ndarray, query: np.ndarray, allowed: np.ndarray,
 
 
 def nearest_rows(
-    df: DataFrame, is_query: Column, key: str = "vec_id", vec: str = "embedding", k: int = 20, share: float = SHARE, codewords: int = CODEWORDS
+    df: DataFrame,
+    is_query: Column,
+    key: str = "vec_id",
+    vec: str = "embedding",
+    k: int = 20,
+    share: float = SHARE,
+    codewords: int = CODEWORDS,
+    least: int = LEAST,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for every query row its ``k`` nearest found among the other rows."""
     slim = df.select(df[key].alias("id"), df[vec].alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable(F.col("vec")) & F.col("id").isNotNull())
@@ -167,7 +175,7 @@ def nearest_rows(
     cells = stored(assign(slim.select("id", "vec", "asks"), index), "cells")
     for row in cells.groupBy("a", "b").count().collect():  # one short row per cell, at most codewords squared
         index.counts[row.a, row.b] = row["count"]
-    wanted = max(int(np.ceil(share * index.counts.sum())), min(LEAST, int(index.counts.sum())))
+    wanted = max(int(np.ceil(share * index.counts.sum())), min(least, int(index.counts.sum())))
     asked = cells.where("asks").select("id", "vec")
     blocks = max(1, -(-asked.count() // CHUNK))
     chunks = np.maximum(1, -(-index.counts.sum(1) // CHUNK)).tolist()

@@ -400,3 +400,19 @@ def test_widgets_headlines_and_page_wide_forms_stay():
     # Everything in named parts, each of them small.
     html = "".join(f"<div class=widget><p>Part {i} of the page.</p></div>" for i in range(4))
     assert density.main_text(html) == "\n".join(f"Part {i} of the page." for i in range(4))
+
+
+def test_multi_index_recall_where_the_walk_stops(spark):
+    rng = np.random.default_rng(9)
+    x = (rng.standard_normal((60, 16))[rng.integers(0, 60, 5000)] + 0.4 * rng.standard_normal((5000, 16))).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    asked = range(0, len(x), 50)
+    score = x[list(asked)] @ x.T
+    truth = {q: set([int(i) for i in np.argsort(-s, kind="stable") if i != q][:20]) for q, s in zip(asked, score)}
+
+    def recall(share):
+        rows = multiindex.nearest_rows(df, F.col("vec_id") % 50 == 0, share=share, least=0).collect()
+        return sum(r.vec_id in truth[r.query_id] for r in rows) / (20 * len(truth))
+
+    few, many = recall(0.02), recall(multiindex.SHARE)
+    assert few < many and many >= 0.9

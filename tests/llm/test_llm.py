@@ -416,3 +416,14 @@ def test_multi_index_recall_where_the_walk_stops(spark):
 
     few, many = recall(0.02), recall(multiindex.SHARE)
     assert few < many and many >= 0.9
+
+
+def test_rows_of_a_repeated_id_are_decided_one_by_one(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(80)]
+    clean = " ".join(f"c{i}" for i in range(50))
+    docs = documents(spark, [" ".join(base), " ".join(["x", *base[1:]]), clean, clean + " more"])
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") == 2, 1).otherwise(F.col("doc_id")))
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(0, " ".join(base)), (1, clean)]

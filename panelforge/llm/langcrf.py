@@ -30,7 +30,7 @@ UNKNOWN = "und"
 #: Words of one piece and pieces of one training sequence.
 PIECE = 24
 PIECES = 3
-SLICE = 1 << 23
+SLICE = 1 << 20
 
 _EDGES = ".,;:!?\"'()[]{}|*%$#&-"
 
@@ -80,10 +80,11 @@ class Tagger:
         return self._words
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray, pairs: bool = False):
     """Label probabilities of every word of sequences laid end to end.
 
-    All sequences step together, the longest first, so that the active ones are always the first ones.
+    All sequences step together, the longest first, so that the active ones are always the first ones. With ``pairs``
+    also the expected number of moves from each label to each other one, over all sequences.
     """
     order = np.argsort(-lengths, kind="stable")
     first = (np.cumsum(lengths) - lengths)[order]
@@ -105,6 +106,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray,
         alpha[at] = now
         scale[at] = total
     beta = np.ones((0, weight.shape[1]))
+    moved = np.zeros_like(jump)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         if len(beta) < n:
@@ -112,8 +114,15 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray,
         at = first[:n] + t
         alpha[at] *= beta
         if t:
-            beta = ((weight[at] / scale[at, None]) * beta) @ jump.T
-    return alpha / alpha.sum(axis=1, keepdims=True)
+            later = (weight[at] / scale[at, None]) * beta
+            if pairs:
+                # The word before still holds its forward part alone; each pair's terms add up to one.
+                before = alpha[at - 1]
+                total = ((before @ jump) * later).sum(axis=1)
+                moved += (before.T @ (later / total[:, None])) * jump
+            beta = later @ jump.T
+    chance = alpha / alpha.sum(axis=1, keepdims=True)
+    return (chance, moved) if pairs else chance
 
 
 def train(texts: list[str], langs: list[str], rounds: int = 4, rate: float = 0.3, seed: int = 3) -> Tagger:
@@ -153,7 +162,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 4, rate: float = 0.3
             used = np.concatenate(spans)
             owner = np.repeat(np.arange(len(distinct)), sizes[distinct])
             emitted = np.stack([np.bincount(owner, tagger.weights[used, i], len(distinct)) for i in range(k)], axis=1)
-            chance = forward_backward(emitted[place], lengths, tagger.moves, tagger.start)
+            chance, moved = forward_backward(emitted[place], lengths, tagger.moves, tagger.start, pairs=True)
             truth = np.eye(k)[label]
             error = chance - truth
             by_word = np.stack([np.bincount(place, error[:, i], len(distinct)) for i in range(k)], axis=1)
@@ -163,9 +172,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 4, rate: float = 0.3
             inner = np.ones(len(words), dtype=bool)
             inner[np.cumsum(lengths) - lengths] = False
             b = np.flatnonzero(inner)
-            joint = chance[b - 1][:, :, None] * np.exp(tagger.moves)[None] * (np.exp(emitted[place[b]] - emitted[place[b]].max(1, keepdims=True)))[:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            move_grad = (joint.sum(0) - truth[b - 1].T @ truth[b]) / len(lengths)
+            move_grad = (moved - truth[b - 1].T @ truth[b]) / len(lengths)
             start_grad = error[~inner].mean(axis=0)
             move_squares += move_grad**2
             start_squares += start_grad**2
@@ -190,9 +197,9 @@ def fit(df: DataFrame, learns: Column, text: str = "text", lang: str = "lang", k
     return train([r.text for r in sample], [r.lang for r in sample])
 
 
-def predict(df: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
-    """``df`` without ``text`` but with ``lang_pred``, ``score`` and ``n_switches`` (changes of language between words)."""
-    kept = [c for c in df.columns if c != text]
+def predict(df: DataFrame, tagger: Tagger, text: str = "text", drop_text: bool = True) -> DataFrame:
+    """``df``, by default without ``text``, with ``lang_pred``, ``score`` and ``n_switches`` (changes of language between words)."""
+    kept = [c for c in df.columns if c != text or not drop_text]
     schema = T.StructType([*df.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_switches", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -276,7 +276,25 @@ def test_attention_is_causal_and_sums_to_one():
     assert 0.5 < np.exp(every).sum() <= 1 + 1e-5 and a != b
 
 
+def _cut(words):
+    """Brute force of the third stage: lists of words, in order of ids, without what starts earlier."""
+    first = {}
+    for i, w in enumerate(words):
+        for s in range(len(w) - 49):
+            first.setdefault(tuple(w[s : s + 50]), i)
+    out = []
+    for i, w in enumerate(words):
+        gone = np.zeros(len(w), dtype=bool)
+        for s in range(len(w) - 49):
+            if first[tuple(w[s : s + 50])] < i:
+                gone[s : s + 50] = True
+        out.append((gone.any(), [x for x, g in zip(w, gone) if not g]))
+    return out
+
+
 def test_pipeline_equals_brute_force(spark):
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -285,11 +303,23 @@ def test_pipeline_equals_brute_force(spark):
     prints = np.array([_fingerprint(rows[i]) for i in kept], dtype=np.uint64)
     pairs = [(i, int(j)) for i in range(len(kept)) for j in np.flatnonzero(np.bitwise_count(prints ^ prints[i]) <= 2) if j > i]
     kept = [kept[i] for i in sorted(set(_components(len(kept), pairs)))]
-    stages = dict(corpus_pipeline.STAGES)
-    now = stages["near_duplicates"](spark, stages["language_id"](spark, docs, SF), SF)
+    now = docs
+    stages = list(corpus_pipeline.STAGES)
+    for _, stage in stages[:2]:
+        now = stage(spark, now, SF)
+    now = now.cache()
     assert sorted(r.doc_id for r in now.select("doc_id").collect()) == kept and now.columns == docs.columns
+    cut = {i: " ".join(words) if changed else rows[i] for i, (changed, words) in zip(kept, _cut([WORDS.findall(rows[i]) for i in kept]))}
+    cut = {i: t for i, t in cut.items() if t}
+    now = stages[2][1](spark, now, SF).cache()
+    assert {r.doc_id: r.text for r in now.collect() if r.text} == cut and now.columns == docs.columns
+    sampled = stages[3][1](spark, now, SF).cache()
+    chosen = {r.doc_id: r.text for r in sampled.collect()}
+    assert chosen.items() <= {r.doc_id: r.text for r in now.collect()}.items() and sampled.columns == docs.columns
+    assert 0.3 < len(chosen) / len(kept) < 0.9
+    tokenizer = Tokenizer.from_file(queries.vocabulary())
     done = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in done} <= set(kept) and 0.3 < len(done) / len(kept) < 0.9
+    assert {r.doc_id: r.ids for r in done} == {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in chosen.items()}
 
 
 def test_attention_gives_every_id_its_own_probability(monkeypatch):
@@ -355,32 +385,24 @@ def test_spelling_comes_from_all_training_texts(spark, monkeypatch):
     assert max(bound.values()) <= 1 + 1e-9
 
 
-def _shingled(text):
-    words = WORDS.findall((text or "").translate(LOWER))
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def test_pipeline_near_copies_equal_brute_force(spark):
-    import corpus_pipeline
+def test_pair_marginals_equal_enumeration():
+    from itertools import product
 
-    rng = np.random.default_rng(8)
-    texts = ["", None, "two words", "Two  words", "two others", *(t for _, t in table("documents", "doc_id, text"))]
-    for n in (60, 300, 900):
-        base = [f"w{i}" for i in rng.integers(0, 5000, n)]
-        for share in (0.005, 0.01, 0.02, 0.03, 0.06):
-            copy = list(base)
-            for at in rng.choice(n, max(1, int(n * share)), replace=False):
-                copy[at] = f"x{at}"
-            texts.append(" ".join(copy))
-    # One line repeated fills the fingerprint; the rest differs.
-    texts += [" ".join(["the same line again and"] * 400 + [f"{x}{i}" for i in range(200)]) for x in "pq"]
-    sets = [_shingled(t) for t in texts]
-    similar = lambda x, y: len(x & y) >= 0.8 * len(x | y)
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if similar(sets[i], sets[j])]
-    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
-    docs = documents(spark, texts)
-    kept = stage(spark, docs, SF)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(_components(len(texts), pairs))) and kept.columns == docs.columns
+    rng = np.random.default_rng(5)
+    k, lengths = 3, np.array([4, 1, 2])
+    scores, moves, start = rng.standard_normal((7, k)), rng.standard_normal((k, k)), rng.standard_normal(k)
+    chance, moved = langcrf.forward_backward(scores, lengths, moves, start, pairs=True)
+    expected, singles, at = np.zeros((k, k)), np.zeros((7, k)), 0
+    for n in lengths:
+        paths = list(product(range(k), repeat=int(n)))
+        value = np.exp([start[p[0]] + sum(scores[at + i, x] for i, x in enumerate(p)) + sum(moves[x, y] for x, y in zip(p, p[1:])) for p in paths])
+        for p, v in zip(paths, value / value.sum()):
+            for i, x in enumerate(p):
+                singles[at + i, x] += v
+            for x, y in zip(p, p[1:]):
+                expected[x, y] += v
+        at += n
+    assert moved == pytest.approx(expected) and chance == pytest.approx(singles)
 
 
 @pytest.mark.parametrize(
@@ -423,7 +445,7 @@ def test_rows_of_a_repeated_id_are_decided_one_by_one(spark):
 
     base = [f"w{i}" for i in range(80)]
     clean = " ".join(f"c{i}" for i in range(50))
-    docs = documents(spark, [" ".join(base), " ".join(["x", *base[1:]]), clean, clean + " more"])
-    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") == 2, 1).otherwise(F.col("doc_id")))
+    docs = documents(spark, [" ".join(base), " ".join(base), clean, clean + " ", None, clean])
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") == 2, 1).when(F.col("doc_id") == 5, None).otherwise(F.col("doc_id"))).withColumnRenamed("score", "fp")
     kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
-    assert sorted((r.doc_id, r.text) for r in kept) == [(0, " ".join(base)), (1, clean)]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == [(0, " ".join(base)), (1, clean), (4, None), (None, clean)]

@@ -61,4 +61,28 @@ WHERE ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '')), 1, 13))::bigi
     return ",\n".join(steps)
 
 
-ORACLE: dict[str, str] = {"op3_mixing": _mixing()}
+_LEXICAL = r"""WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+),
+item_terms AS (
+  SELECT DISTINCT item_id, term FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark)
+),
+lengths AS (SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::bigint AS terms FROM lengths),
+often AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms SEMI JOIN item_terms USING (term) GROUP BY ALL),
+held AS (SELECT term, count(*) AS df FROM often GROUP BY term),
+weights AS (SELECT term, floor(1000 * ln((2.0::double * docs + 2) / (2.0::double * df + 1)))::bigint AS w FROM held, totals),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::bigint AS score
+  FROM item_terms JOIN often USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals
+  GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10"""
+
+ORACLE: dict[str, str] = {"op3_mixing": _mixing(), "op13_lexical": _LEXICAL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm import binarycodes, bpe, density, langcrf, lm, mixing, multiindex, quality, simhash, substrings
+from panelforge.llm import binarycodes, bpe, density, langcrf, lexical, lm, mixing, multiindex, quality, rules, simhash, substrings, whitening
 from panelforge.llm.common import fold, stored, table
 from panelforge.llm.oracle import ORACLE
 
@@ -87,6 +87,19 @@ def op10_langcrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "n_switches")
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs.select("doc_id", "text"), rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -98,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_lm": op8_lm,
     "op9_binarycodes": op9_binarycodes,
     "op10_langcrf": op10_langcrf,
+    "op11_rules": op11_rules,
+    "op12_whitening": op12_whitening,
+    "op13_lexical": op13_lexical,
 }
-
-

@@ -1,0 +1,137 @@
+"""Whitened embeddings against numpy's eigenvectors, and the rank-one updates against whole decompositions."""
+
+import numpy as np
+import pytest
+from conftest import TESTDATA
+from pyspark.sql import functions as F
+
+from panelforge.llm import spectra, whitening
+from panelforge.llm.queries import QUERIES
+
+SF = f"{TESTDATA}/sf0.001"
+
+
+def frame(spark, vectors, parts=3):
+    rows = [(i, v, "x", 1) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, part STRING, n INT").repartition(parts)
+
+
+def expected(vectors):
+    x = np.floor(1024 * np.array(vectors, dtype=np.float32).astype(float)) + 100_000
+    n, centred = len(x), x - x.mean(axis=0)
+    values, basis = np.linalg.eigh(centred.T @ centred / n)
+    return x.astype(np.int64), values[::-1], basis[:, ::-1]
+
+
+def compare(rows, ids, vectors, shown):
+    x, values, basis = expected(vectors)
+    n, sums = len(x), x.sum(axis=0)
+    deviation = {i: sum(int(v) ** 2 for v in n * r - sums) for i, r in zip(ids, x)}
+    white = (x - sums / n) @ basis[:, :shown] / np.sqrt(values[:shown])
+    got = np.empty((n, shown))
+    place = {i: p for p, i in enumerate(ids)}
+    assert len(rows) == n * shown
+    for r in rows:
+        got[place[r.vec_id], r.component - 1] = r.whitened
+        assert (r.n, r.deviation) == (n, deviation[r.vec_id]) and r.identity_error < 1e-9
+        assert r.explained == pytest.approx(values[r.component - 1] / values.sum(), rel=1e-10)
+    signs = np.sign((got * white).sum(axis=0))
+    assert got == pytest.approx(white * signs, abs=1e-7)
+
+
+def test_query_equals_numpy(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    compare(QUERIES["op12_whitening"](spark, SF).collect(), [r.vec_id for r in table], [r.embedding for r in table], 8)
+
+
+def test_odd_vectors_are_left_out_and_repeats_count(spark):
+    rng = np.random.default_rng(1)
+    good = (rng.standard_normal((60, 5)) * [3, 1, 0.5, 0.2, 0.1]).astype(np.float32).tolist()
+    good += [good[0]] * 40
+    odd = [None, [], [1.0, None, 0.0, 0.0, 0.0], [float("nan")] * 5, [float("inf")] * 5, [1e30, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0]]
+    for parts in (1, 4):
+        rows = whitening.whiten(frame(spark, good + odd, parts)).collect()
+        compare(rows, range(len(good)), good, 5)
+
+
+def test_more_partitions_than_one_task_joins(spark):
+    vectors = (np.random.default_rng(2).standard_normal((90, 4)) * [2, 1, 0.7, 0.3]).astype(np.float32).tolist()
+    df = frame(spark, vectors, 40)
+    assert df.rdd.getNumPartitions() == 40 > 2 * whitening.JOINED
+    compare(whitening.whiten(df).collect(), range(90), vectors, 4)
+
+
+def test_too_few_vectors_have_components_without_variance(spark):
+    assert whitening.whiten(frame(spark, [])).count() == 0 and whitening.whiten(frame(spark, [None, []])).count() == 0
+    one = whitening.whiten(frame(spark, [[1.0, 2.0, 3.0]] * 3)).collect()
+    assert len(one) == 9 and {(r.whitened, r.explained, r.identity_error, r.deviation, r.n) for r in one} == {(None, 0.0, None, 0, 3)}
+    two = whitening.whiten(frame(spark, [[1.0, 2.0, 3.0], [2.0, 0.0, 1.0], [1.0, 2.0, 3.0]])).collect()
+    white = {(r.vec_id, r.component): r.whitened for r in two}
+    assert abs(white[1, 1]) == pytest.approx(2**0.5) and white[0, 1] == white[2, 1] and white[1, 2] is None
+
+
+def test_null_and_repeated_ids_stay(spark):
+    vectors = np.random.default_rng(3).standard_normal((20, 3)).tolist()
+    df = frame(spark, vectors).withColumn("vec_id", F.when(F.col("vec_id") > 3, F.col("vec_id") % 5))
+    ids = [r.vec_id for r in whitening.whiten(df).where("component = 1").collect()]
+    assert len(ids) == 20 and ids.count(None) == 4
+
+
+def test_deviations_beyond_64_bits_are_null():
+    assert whitening.deviations(np.array([[1 << 31, 0], [3, 4], [(1 << 31) + 5, 1 << 31]])) == [1 << 62, 25, None]
+
+
+def _scatter(x):
+    c = x - x.mean(axis=0)
+    return c.T @ c
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 17, 64])
+def test_updates_follow_the_whole_decomposition(width):
+    rng = np.random.default_rng(width)
+    x = np.floor(rng.standard_normal((150, width)) * rng.uniform(0.1, 300, width)) + 100_000
+    x[40:60] = x[0]  # repeats
+    if width > 2:
+        x[:, 1] = 5  # a direction without variance
+        x[:, 2] = x[:, 0]  # dependent directions
+    s = spectra.Spectrum(width)
+    for n, row in enumerate(x, 1):
+        s.add(row)
+        if n in (1, 2, 3, 10, 100, 150):
+            m = _scatter(x[:n])
+            top = max(np.linalg.eigvalsh(m).max(), 1)
+            assert np.abs(s.values - np.linalg.eigvalsh(m)).max() < 1e-11 * top
+            assert np.abs(s.vectors * s.values @ s.vectors.T - m).max() < 1e-11 * top
+            assert np.abs(s.vectors.T @ s.vectors - np.eye(width)).max() < 1e-12
+    parts = [spectra.Spectrum(width) for _ in range(3)]
+    for i, row in enumerate(x[:149]):
+        parts[i % 2].add(row)
+    parts[2].add(x[149], 7)  # a weight stands for copies
+    for p in (parts[1], parts[2], spectra.Spectrum(width)):
+        parts[0].join(p)
+    m = _scatter(np.vstack([x[:149], np.repeat(x[149:150], 7, axis=0)]))
+    assert parts[0].n == 156 and np.abs(parts[0].vectors * parts[0].values @ parts[0].vectors.T - m).max() < 1e-11 * np.abs(m).max()
+
+
+def test_secular_roots_are_exact_and_interlace():
+    rng = np.random.default_rng(7)
+    for trial in range(60):
+        n = int(rng.integers(1, 30))
+        d = np.sort(rng.choice([1e-8, 1.0, 1e6]) * rng.random(n)) + np.arange(n) * 1e-9
+        z2, rho = rng.random(n) ** rng.integers(1, 12), float(10.0 ** rng.integers(-6, 7))
+        poles = spectra.roots(d, z2, rho)
+        found = d - poles.diagonal()
+        assert (poles.diagonal() <= 0).all() and (found[:-1] <= d[1:] * (1 + 1e-12)).all()
+        truth = np.linalg.eigvalsh(np.diag(d) + rho * np.sqrt(np.outer(z2, z2)))
+        assert np.abs(np.sort(found) - truth).max() <= 1e-12 * max(abs(truth).max(), 1e-300)
+
+
+def test_deflation_of_equal_values_and_small_parts():
+    basis = np.linalg.qr(np.random.default_rng(8).standard_normal((6, 6)))[0]
+    d = np.array([1.0, 1.0, 1.0, 2.0, 2.0, 5.0])
+    for z in ([1, 2, 3, 0, 1, 1e-20], [0, 0, 0, 0, 0, 0], [0, 0, 1, 0, 0, 0], [1e-9, 1, 1, 1, 1, 1]):
+        z = np.array(z, dtype=float)
+        values, vectors = spectra.updated(d, basis, z, 0.5)
+        whole = basis @ (np.diag(d) + 0.5 * np.outer(z, z)) @ basis.T
+        assert np.abs(vectors * values @ vectors.T - whole).max() < 1e-13 and np.abs(vectors.T @ vectors - np.eye(6)).max() < 1e-13
+        assert (np.diff(values) >= 0).all()

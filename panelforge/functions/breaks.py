@@ -20,6 +20,7 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def in_strings(df: DataFrame, change) -> DataFrame:
-    """``change`` applied to every text column."""
-    return df.select(*[change(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema])
+def in_strings(df: DataFrame, change, but: tuple[str, ...] = ()) -> DataFrame:
+    """``change`` applied to every text column that is not named in ``but``."""
+    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in but]
+    return df.select(*[change(F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns])

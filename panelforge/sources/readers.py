@@ -1,24 +1,33 @@
-"""Readers. Every one takes a root folder and a stored schema, so that partition columns keep their types."""
+"""Readers. Every one takes a root folder and a stored schema, so that partition columns keep their types.
+
+With ``tagged=True`` a reader keeps lines that it cannot read, and rows without a value in a column of ``required``, as
+``rejects.tag`` describes; otherwise their fields are missing values.
+"""
 
 from __future__ import annotations
 
 import datetime
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge import schemas
 from panelforge.functions import breaks as line_breaks
+from panelforge.sources import rejects
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_json(spark: SparkSession, path: str, schema: str, tagged: bool = False, required: Sequence[str] = ()) -> DataFrame:
+    df = rejects.opened(spark, schema, tagged).json(path)
+    return rejects.tag(df, required) if tagged else df
 
 
-def read_posts(spark: SparkSession, root: str, schema: str = schemas.STREAM_POSTS) -> DataFrame:
+def read_posts(
+    spark: SparkSession, root: str, schema: str = schemas.STREAM_POSTS, tagged: bool = False, required: Sequence[str] = ("id",)
+) -> DataFrame:
     """Day-partitioned JSON posts. Give a narrower schema to parse fewer fields: JSON has no column pruning below
     the top level."""
-    return read_json(spark, root, schema)
+    return read_json(spark, root, schema, tagged, required)
 
 
 def between_days(df: DataFrame, after: str, upto: str, day: str = "ds") -> DataFrame:
@@ -49,13 +58,15 @@ def read_panel_posts(
     created_at_bucket: str | None = None,
     user_id_bucket: int | None = None,
     schema: str = schemas.PANEL_POSTS,
+    tagged: bool = False,
+    required: Sequence[str] = ("id",),
 ) -> DataFrame:
     """Posts partitioned by half-month and user bucket, optionally one partition of them.
 
     The root is read and filtered, which lists and opens the wanted folder only and keeps both partition columns;
     a reader pointed at that folder would lose them.
     """
-    posts = read_json(spark, root, schema)
+    posts = read_json(spark, root, schema, tagged, required)
     if created_at_bucket is not None:
         posts = posts.filter(F.col("created_at_bucket") == created_at_bucket)
     if user_id_bucket is not None:
@@ -64,7 +75,8 @@ def read_panel_posts(
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = True, breaks: str = "quoted", line_end: str = "\n"
+    spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = True, breaks: str = "quoted", line_end: str = "\n",
+    tagged: bool = False, required: Sequence[str] = (),
 ) -> DataFrame:
     """TSV by default; ``sep=','`` for CSV, ``header=False`` for files that start with data.
 
@@ -72,20 +84,26 @@ def read_table(
     ``"escaped"`` as ``export_table`` escapes them and ``"none"`` nowhere, both of which let files be split.
     An empty field is a missing value.
     """
-    return _delimited(spark.read.schema(schema), path, sep, header, breaks, line_end)
+    df = _delimited(rejects.opened(spark, schema, tagged), path, sep, header, breaks, line_end)
+    return _data_unescaped(rejects.tag(df, required) if tagged else df, breaks)
 
 
 def _delimited(reader, path: str, sep: str, header: bool, breaks: str, line_end: str) -> DataFrame:
     if breaks not in ("quoted", "escaped", "none"):
         raise ValueError(f"breaks={breaks!r}")
-    df = reader.csv(path, sep=sep, header=header, escape='"', multiLine=breaks == "quoted", lineSep=line_end)
-    return line_breaks.in_strings(df, line_breaks.unescaped) if breaks == "escaped" else df
+    return reader.csv(path, sep=sep, header=header, escape='"', multiLine=breaks == "quoted", lineSep=line_end)
+
+
+def _data_unescaped(df: DataFrame, breaks: str) -> DataFrame:
+    return line_breaks.in_strings(df, line_breaks.unescaped, rejects.TAGS) if breaks == "escaped" else df
 
 
 _RAW_NAME = r"\.(json|csv)(\.bz2|\.gz)?$"
 
 
-def read_raw_posts(spark: SparkSession, path: str, breaks: str = "quoted", line_end: str = "\n") -> DataFrame:
+def read_raw_posts(
+    spark: SparkSession, path: str, breaks: str = "quoted", line_end: str = "\n", tagged: bool = False, required: Sequence[str] = ("id",)
+) -> DataFrame:
     """All posts of a file or folder: ``.json`` holds JSON lines, ``.csv`` headerless tab-separated rows; both may be
     compressed. ``breaks`` and ``line_end`` are those of ``read_table``."""
     # One listing; names only, and one row per kind.
@@ -97,13 +115,16 @@ def read_raw_posts(spark: SparkSession, path: str, breaks: str = "quoted", line_
         raise ValueError(f"{path}: no .json or .csv file")
 
     def reader(kind: str):
-        return spark.read.schema(schemas.RAW_POSTS).option("pathGlobFilter", f"*.{{{kind},{kind}.bz2,{kind}.gz}}")
+        return rejects.opened(spark, schemas.RAW_POSTS, tagged).option("pathGlobFilter", f"*.{{{kind},{kind}.bz2,{kind}.gz}}")
+
+    def tag(df: DataFrame) -> DataFrame:
+        return rejects.tag(df, required) if tagged else df
 
     parts = []
     if "json" in kinds:
-        parts.append(reader("json").json(path))
+        parts.append(tag(reader("json").json(path)))
     if "csv" in kinds:
-        parts.append(_delimited(reader("csv"), path, "\t", False, breaks, line_end))
+        parts.append(_data_unescaped(tag(_delimited(reader("csv"), path, "\t", False, breaks, line_end)), breaks))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

@@ -1,0 +1,131 @@
+"""Broken lines of every text reader: nothing lost, nothing twice."""
+
+import gzip
+import json
+
+import pytest
+from conftest import rows
+
+from panelforge import schemas
+from panelforge.functions import breaks
+from panelforge.sources import readers, rejects
+
+GOOD = [{"id": 1, "user_id": 2, "text": "a\tb \"q\" \\n"}, {"id": 2, "user_id": None, "text": None}, {"id": 3, "user_id": 4, "text": "ü\nnext"}]
+BROKEN = ['{"id": 4, "user_id"', "plain words", '{"id": "x", "user_id": 1, "text": "t"}', '{"id": 5, "text": {"nested": 1}']
+
+
+def write(path, lines):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    data = "".join(line + "\n" for line in lines).encode()
+    path.write_bytes(gzip.compress(data) if path.suffix == ".gz" else data)
+
+
+def json_lines(values):
+    return [json.dumps(v, ensure_ascii=False) for v in values]
+
+
+def expected(values):
+    return sorted(((v["id"], v["user_id"], v["text"]) for v in values), key=repr)
+
+
+def split(tagged, path):
+    landed = rejects.land(tagged, str(path))
+    return rows(rejects.data_of(landed)), rejects.rejects_of(landed), landed
+
+
+def test_json_lines_split_and_add_up(spark, tmp_path):
+    source = tmp_path / "in"
+    write(source / "a.json", [*json_lines(GOOD[:2]), "", *BROKEN[:2], "  "])
+    write(source / "b.json.gz", [*BROKEN[2:], *json_lines(GOOD[2:]), '{"user_id": 9, "text": "orphan"}'])
+    write(source / "c.json", ["", "no line is good"])
+    tagged = readers.read_json(spark, str(source), schemas.RAW_POSTS, tagged=True, required=("id",))
+    data, bad, landed = split(tagged, tmp_path / "out")
+    assert data == expected(GOOD)
+    lines = [(r._line, r._reason, r._file.rsplit("/", 1)[1]) for r in bad.collect()]
+    files = ["a.json"] * 2 + ["b.json.gz"] * 2
+    assert sorted(lines) == sorted(
+        [(line, "unreadable", f) for line, f in zip(BROKEN, files)]
+        + [('{"user_id":9,"text":"orphan"}', "no id", "b.json.gz"), ("no line is good", "unreadable", "c.json")]
+    )
+    account = {r._file.rsplit("/", 1)[1]: (r.n_lines, r.n_rows, r.n_rejects, r.adds_up) for r in rejects.account(landed, str(source)).collect()}
+    assert account == {"a.json": (4, 2, 2, True), "b.json.gz": (4, 1, 3, True), "c.json": (1, 0, 1, True)}
+
+
+def test_account_shows_what_is_missing(spark, tmp_path):
+    source = tmp_path / "in"
+    write(source / "a.json", json_lines(GOOD))
+    write(source / "b.json", json_lines(GOOD))
+    one = readers.read_json(spark, str(source / "a.json"), schemas.RAW_POSTS, tagged=True)
+    landed = rejects.land(one, str(tmp_path / "out"))
+    account = {r._file.rsplit("/", 1)[1]: (r.n_lines, r.n_rows, r.adds_up) for r in rejects.account(landed, str(source)).collect()}
+    assert account == {"a.json": (3, 3, True), "b.json": (3, 0, False)}
+
+
+@pytest.mark.parametrize("how", ["quoted", "escaped", "none"])
+@pytest.mark.parametrize("header", [True, False])
+def test_delimited_fields(spark, tmp_path, how, header):
+    schema = "uid BIGINT, bio STRING, age INT"
+    lines = ['1\t"a ""quoted"" word"\t5', "2\tplain\t", "3\tshort", "4\ttoo\t5\tmany", "x\tno number\t6", "7\t\t8", "", "9\tage\tmany", "\tnobody\t1"]
+    source = tmp_path / "in"
+    write(source / "a.csv", (["uid\tbio\tage"] if header else []) + lines)
+    tagged = readers.read_table(spark, str(source), schema, header=header, breaks=how, tagged=True, required=("uid",))
+    data, bad, landed = split(tagged, tmp_path / "out")
+    assert data == sorted([(1, 'a "quoted" word', 5), (2, "plain", None), (7, None, 8)], key=repr)
+    found = sorted((r._reason, r._line.rstrip("\n")) for r in bad.collect())
+    assert found == [("no uid", '{"bio":"nobody","age":1}'), *(("unreadable", line) for line in sorted([lines[2], lines[3], lines[4], lines[7]]))]
+    account = rejects.account(landed, str(source), header).collect()
+    assert [(r.n_lines, r.n_rows, r.n_rejects, r.adds_up) for r in account] == [(8, 3, 5, True)]
+
+
+def test_escaped_breaks_change_data_but_no_reject(spark, tmp_path):
+    write(tmp_path / "in" / "a.csv", ["1\tone\\ntwo\\bn", "x\tone\\ntwo"])
+    tagged = readers.read_table(spark, str(tmp_path / "in"), "uid BIGINT, bio STRING", header=False, breaks="escaped", tagged=True)
+    data, bad, _ = split(tagged, tmp_path / "out")
+    assert data == [(1, "one\ntwo\\n")] and [r._line for r in bad.collect()] == ["x\tone\\ntwo"]
+
+
+def test_raw_posts_of_both_kinds(spark, tmp_path):
+    source = tmp_path / "in"
+    write(source / "a.json", [*json_lines(GOOD), BROKEN[0]])
+    write(source / "b.csv", ["7\t8\tfrom a table", "seven\t8\tbroken", "9"])
+    data, bad, landed = split(readers.read_raw_posts(spark, str(source), "none", tagged=True), tmp_path / "out")
+    assert data == sorted([*expected(GOOD), (7, 8, "from a table")], key=repr)
+    assert sorted(r._line for r in bad.collect()) == sorted([BROKEN[0], "seven\t8\tbroken", "9"])
+    assert sum(r.n_lines for r in rejects.account(landed, str(source)).collect()) == 7
+    # Untagged readers are unchanged: broken lines are rows of missing values.
+    assert readers.read_raw_posts(spark, str(source), "none").count() == 7
+
+
+def test_partitioned_posts_keep_their_day(spark, tmp_path):
+    root = tmp_path / "posts"
+    post = {"id": 1, "text": "t", "user": {"id": 2, "screen_name": "s", "description": "d"}}
+    write(root / "ds=2024-01-01" / "a.json", [*json_lines([post]), "broken"])
+    write(root / "ds=2024-01-02" / "a.json", [json.dumps({**post, "id": None})])
+    landed = rejects.land(readers.read_posts(spark, str(root), tagged=True), str(tmp_path / "out"))
+    assert rows(rejects.data_of(landed), "id", "ds") == [(1, "2024-01-01")]
+    assert sorted(r._reason for r in rejects.rejects_of(landed).collect()) == ["no id", "unreadable"]
+    half = root / "half"
+    write(half / "created_at_bucket=2024-01-16" / "user_id_bucket=7" / "a.json", ['{"id": 1, "user": {"id": 47}, "full_text": "x"}', "{"])
+    panel = readers.read_panel_posts(spark, str(half), "2024-01-16", 7, tagged=True)
+    assert sorted((r.id, r.user_id_bucket, r._reason) for r in panel.collect() if r.id) == [(1, 7, None)] and panel.count() == 2
+
+
+def test_both_folders_are_pruned_and_one_scan_writes_both(spark, tmp_path):
+    write(tmp_path / "in" / "a.json", [*json_lines(GOOD), *BROKEN])
+    landed = rejects.land(readers.read_json(spark, str(tmp_path / "in"), schemas.RAW_POSTS, tagged=True), str(tmp_path / "out"))
+    plan = rejects.data_of(landed)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_rejected" in plan and "_line" not in plan.split("ReadSchema")[1]
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"_rejected=false", "_rejected=true"}
+
+
+def test_a_source_without_rows(spark, tmp_path):
+    write(tmp_path / "in" / "a.json", ["", " "])
+    tagged = readers.read_json(spark, str(tmp_path / "in"), schemas.RAW_POSTS, tagged=True)
+    landed = rejects.land(tagged, str(tmp_path / "out"))
+    assert rejects.data_of(landed).count() == rejects.rejects_of(landed).count() == 0
+    assert [(r.n_lines, r.adds_up) for r in rejects.account(landed, str(tmp_path / "in")).collect()] == [(0, True)]
+
+
+def test_unescaping_leaves_named_columns(spark):
+    df = spark.createDataFrame([("a\\n", "b\\n", 1)], "x STRING, y STRING, z INT")
+    assert rows(breaks.in_strings(df, breaks.unescaped, ("y",))) == [("a\n", "b\\n", 1)]

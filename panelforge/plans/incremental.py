@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.functions.demographics import user_bucket
 from panelforge.functions.hashing import spreading_salt
 from panelforge.operators.joins import MAX_BROADCAST_IDS, not_done
 from panelforge.rules import USER_BUCKETS
-from panelforge.sources.writers import replace_partitions, write_parquet
+from panelforge.session import parked
+from panelforge.sources import snapshots
 
 
 def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
@@ -34,15 +34,6 @@ def missing_units(units: DataFrame, done: DataFrame) -> DataFrame:
     return units.join(done.select(*units.columns).distinct(), units.columns, "left_anti")
 
 
-def _sink(spark: SparkSession, sink: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(sink)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def clustered(df: DataFrame, n_partitions: int, by: str, row_id: str = "id", folders: int = 1) -> DataFrame:
     """Even partitions for an encoder and a write with ``partitionBy(by)`` into about ``folders`` folders.
 
@@ -54,18 +45,34 @@ def clustered(df: DataFrame, n_partitions: int, by: str, row_id: str = "id", fol
     return salted.repartition(n_partitions, by, "__salt").drop("__salt")
 
 
-def _finished(sink: str) -> str:
-    """Where the units of a sink are recorded, also those without any row."""
-    return sink.rstrip("/") + "_finished"
+UNIT = ("ds", "user_id_bucket")
+
+
+def _mark(ds: str, bucket: int) -> str:
+    """A finished unit among the marks of a sink, also one without any row."""
+    return f"unit {ds} {bucket}"
+
 
+def finished_units(state: snapshots.Manifest) -> set[tuple[str, int]]:
+    marks = [mark.split() for mark in state.marks if mark.startswith("unit ")]
+    return {(ds, int(bucket)) for _, ds, bucket in marks}
 
-def open_units(spark: SparkSession, sink: str, first: str, last: str, buckets: tuple[int, int]) -> DataFrame:
+
+def open_units(spark: SparkSession, sink: str, first: str, last: str, buckets: tuple[int, int]) -> list[tuple[str, int]]:
     """The (day, user bucket) cells asked for that no earlier run has finished."""
-    units = work_units(spark, first, last).filter(F.col("user_id_bucket").between(*buckets))
-    done = _sink(spark, _finished(sink))
-    if done is None:
-        return units
-    return missing_units(units, done.select(F.col("ds").cast("string").alias("ds"), F.col("user_id_bucket").cast("int").alias("user_id_bucket")))
+    done = finished_units(snapshots.current(spark, sink))
+    cells = work_units(spark, first, last).filter(F.col("user_id_bucket").between(*buckets)).collect()
+    return [(r.ds, r.user_id_bucket) for r in cells if (r.ds, r.user_id_bucket) not in done]
+
+
+def of_units(posts: DataFrame, cells: Iterable[tuple[str, int]], user_id: str = "user_id") -> DataFrame:
+    """The posts of some units, with their bucket. The days become a literal list, so that the scan prunes to them."""
+    cells = sorted(cells)
+    days = sorted({ds for ds, _ in cells})
+    units = posts.sparkSession.createDataFrame(cells, "ds STRING, user_id_bucket INT")
+    placed = posts.filter(F.col("ds").isin(days)).withColumn("user_id_bucket", user_bucket(F.col(user_id)))
+    # Broadcast: calendar cells, a few dozen per day.
+    return placed.join(F.broadcast(units), list(UNIT), "left_semi")
 
 
 def embed_days(
@@ -76,25 +83,20 @@ def embed_days(
     encode: Callable[[DataFrame], DataFrame],
     buckets: tuple[int, int] = (0, USER_BUCKETS - 1),
     user_id: str = "user_id",
+    marks: Iterable[str] = (),
 ) -> list[str]:
     """Embed the (day, user bucket) units that no earlier run has finished, in one job; returns their days.
 
-    The sink is partitioned by both, so that a later bucket range adds to a day and replaces nothing of it. ``encode``
-    keeps ``ds`` and ``user_id_bucket``. Units are recorded after the job has committed: a crashed job repeats its
-    units and replaces what they left; a unit without posts is not scanned again. The units are calendar cells, a few
-    dozen per day, and the days become a literal list, so that the scan prunes to their partitions.
+    The sink is a snapshot table partitioned by both. ``encode`` keeps ``ds`` and ``user_id_bucket``. Vectors and the
+    units' marks become visible in one step: a crashed job leaves neither, a unit without posts is not scanned again.
     """
     spark = posts.sparkSession
-    cells = [(row.ds, row.user_id_bucket) for row in open_units(spark, sink, first, last, buckets).collect()]
+    cells = open_units(spark, sink, first, last, buckets)
     if not cells:
         return []
-    days = sorted({ds for ds, _ in cells})
-    units = spark.createDataFrame(cells, "ds STRING, user_id_bucket INT")
-    placed = posts.filter(F.col("ds").isin(days)).withColumn("user_id_bucket", user_bucket(F.col(user_id)))
-    todo = placed.join(F.broadcast(units), ["ds", "user_id_bucket"], "left_semi")
-    replace_partitions(encode(todo), sink, ("ds", "user_id_bucket"))
-    write_parquet(units.coalesce(1), _finished(sink), "append")
-    return days
+    done = [*marks, *(_mark(*cell) for cell in cells)]
+    snapshots.replace_units(encode(of_units(posts, cells, user_id)), sink, UNIT, cells, marks=done)
+    return sorted({ds for ds, _ in cells})
 
 
 def embed_new_ids(
@@ -103,15 +105,41 @@ def embed_new_ids(
     encode: Callable[[DataFrame], DataFrame],
     max_broadcast: int = MAX_BROADCAST_IDS,
     partition_by: tuple[str, ...] = ("ds",),
+    marks: Iterable[str] = (),
 ) -> None:
     """Embed the posts whose id the sink lacks and append them; a second run appends nothing.
 
     An id that the input holds more than once is embedded once. Posts without an id are left to ``without_id``.
     """
-    done = _sink(posts.sparkSession, sink)
+    spark = posts.sparkSession
     named = posts.filter(F.col("id").isNotNull())
-    todo = named if done is None else not_done(named, "id", done.select("id"), max_broadcast)
-    write_parquet(encode(todo.dropDuplicates(["id"])), sink, "append", partition_by)
+    if snapshots.exists(spark, sink):
+        named = not_done(named, "id", snapshots.read(spark, sink).select("id"), max_broadcast)
+    snapshots.append(encode(named.dropDuplicates(["id"])), sink, partition_by, marks=marks)
+
+
+def listed_ids(sink: str) -> str:
+    """Where a job keeps the id lists that its sink covers."""
+    return sink.rstrip("/") + "_listed"
+
+
+def late_ids(spark: SparkSession, sink: str, ids: DataFrame) -> tuple[DataFrame, str] | None:
+    """Ids that the finished units of a sink do not cover yet, and the mark to publish with their rows.
+
+    None if the list is the one that the newest mark names: then no post need be looked at. The list itself is kept as a
+    snapshot table; its number in the mark makes list and rows agree also after a crash between the two.
+    """
+    (key,) = ids.columns
+    listed = parked(ids.select(F.col(key).alias("user_id")).filter(F.col(key).isNotNull()).distinct(), "listed")
+    n, total = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("user_id").cast("decimal(20,0)")), F.lit(0))).first()
+    digest = f"{n}:{total}"
+    old = [mark.split() for mark in snapshots.current(spark, sink).marks if mark.startswith("listed ")]
+    _, number, before = old[-1] if old else (None, 0, None)
+    if before == digest:
+        return None
+    new = listed if not old else not_done(listed, "user_id", snapshots.read(spark, listed_ids(sink), int(number)))
+    mark = f"listed {snapshots.overwrite(listed, listed_ids(sink)).number} {digest}"
+    return parked(new, "late"), mark
 
 
 def without_id(posts: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelforge import schemas
 from panelforge.functions.demographics import user_bucket
-from panelforge.operators import encoding, evaluation, inference, joins, labeling, responses
+from panelforge.operators import encoding, evaluation, inference, joins, labeling, packing, responses
 from panelforge.plans import incremental
-from panelforge.rules import INTENDED, USER_BUCKETS, RuleSet
-from panelforge.sources import readers, writers
+from panelforge.rules import INTENDED, RuleSet
+from panelforge.session import parked
+from panelforge.sources import readers, snapshots, writers
 
 EncoderFactory = Callable[[], encoding.Encoder]
 
@@ -21,17 +22,18 @@ def match_bios(
 ) -> None:
     """Authors of posts in a range of days whose profile text matches a rule, as day-partitioned JSON.
 
-    The days of the range are replaced, so that a rerun does not double them; a day without matches any more goes.
+    ``matched`` is a snapshot table. The days of the range are replaced in one step, so that a rerun does not double them;
+    a day without matches any more goes.
     """
     posts = readers.between_days(readers.read_posts(spark, posts_root), after, upto)
     bios = labeling.match_any(labeling.profile_of_author(posts), "user_bio", rules.first_stage())
     in_range = (F.col("ds") > after) & (F.col("ds") <= upto)
-    writers.replace_range(bios, matched, ("ds",), in_range, "json")
+    snapshots.replace_where(bios, matched, ("ds",), in_range, "json")
 
 
 def label_matched(spark: SparkSession, matched: str, labeled: str, rules: RuleSet = INTENDED, mode: str = "overwrite"):
     """Distinct matched profile texts with their labels, as JSON."""
-    bios = labeling.distinct_bios(readers.read_json(spark, matched, schemas.MATCHED_BIOS))
+    bios = labeling.distinct_bios(snapshots.read(spark, matched))
     writers.write_json(labeling.label_bios(bios, rules), labeled, mode)
 
 
@@ -58,21 +60,41 @@ def embed_followee_posts(
 ) -> list[str]:
     """Vectors of the listed users' posts for the days and buckets not yet done; returns those days.
 
-    A second pass over the range appends posts of users who joined the list after their days were done.
+    The sink is a snapshot table by day and bucket. Posts of users who joined the list later are added to the units that
+    are finished, also outside the range; this looks at posts only if the list has changed. Kept posts are written once,
+    counted by unit and packed into even tasks, in which copies collapse without another shuffle.
     """
+    posts = readers.read_posts(spark, posts_root)
+    (key,) = followees.columns
+
+    def flat(of_units: DataFrame) -> DataFrame:
+        return readers.flat_posts(of_units, "text", *incremental.UNIT)
 
     def embedded(kept: DataFrame) -> DataFrame:
-        return encoding.embed(incremental.clustered(kept, n_partitions, "ds"), "text", load_encoder, batch_rows)
+        return _packed_vectors(joins.without_busy_copies(parked(kept, "kept-posts")), "text", incremental.UNIT, n_partitions, load_encoder, batch_rows)
+
+    done = incremental.finished_units(snapshots.current(spark, sink))
+    late = incremental.late_ids(spark, sink, followees)
+    marks = [late[1]] if late else []
+    if late and done and not late[0].isEmpty():
+        kept = joins.match_ids(flat(incremental.of_units(posts, done, "user.id")), "user_id", late[0], "left_semi")
+        there = joins.match_ids(snapshots.read(spark, sink), "user_id", late[0], "left_semi").select("id")
+        snapshots.append(embedded(joins.not_done(kept, "id", there)), sink, incremental.UNIT, marks=marks)
+        marks = []
+
+    def encode(of_units: DataFrame) -> DataFrame:
+        return embedded(joins.match_ids(flat(of_units), "user_id", followees.select(key), "left_semi"))
+
+    days = incremental.embed_days(posts, sink, first, last, encode, buckets, "user.id", marks)
+    if marks and not days:
+        snapshots.add_marks(spark, sink, marks)
+    return days
 
-    def encode(posts: DataFrame) -> DataFrame:
-        return embedded(joins.posts_of_followees(readers.flat_posts(posts, "text", "ds"), followees, *buckets))
 
-    posts = readers.read_posts(spark, posts_root)
-    days = incremental.embed_days(posts, sink, first, last, encode, buckets, "user.id")
-    in_range = readers.flat_posts(posts.filter(F.col("ds").between(first, last)), "text", "ds")
-    listed = joins.posts_of_followees(in_range, followees, *buckets)
-    incremental.embed_new_ids(listed, sink, embedded, partition_by=("ds", "user_id_bucket"))
-    return days
+def _packed_vectors(kept: DataFrame, text: str, units: tuple[str, ...], n_partitions: int, load_encoder: EncoderFactory, batch_rows: int) -> DataFrame:
+    """Vectors of stored posts from even tasks that hold whole units, or even pieces of large ones; copies count once."""
+    once = joins.distinct_posts(packing.packed(kept, units, n_partitions), text).drop(packing.TASK)
+    return encoding.embed(once, text, load_encoder, batch_rows)
 
 
 def embed_panel_posts(
@@ -87,15 +109,16 @@ def embed_panel_posts(
 ) -> None:
     """Vectors of the panel's posts of one half-month, all user buckets in one job, text kept.
 
-    The sink is partitioned by half-month and user bucket, and the half-month's partitions are replaced, also those of
-    buckets without posts any more.
+    The sink is a snapshot table by half-month and user bucket, and the half-month's partitions are replaced in one step,
+    also those of buckets without posts any more.
     """
     posts = readers.read_panel_posts(spark, posts_root, created_at_bucket)
     flat = readers.flat_posts(posts, "full_text", "created_at_bucket", "user_id_bucket")
-    placed = incremental.clustered(joins.posts_of_panel(flat, panel), n_partitions, "user_id_bucket", folders=USER_BUCKETS)
+    kept = parked(joins.posts_of_panel(flat, panel), "panel-posts")
+    placed = packing.packed(kept, ("user_id_bucket",), n_partitions).drop(packing.TASK)
     vectors = encoding.embed(placed, "full_text", load_encoder, batch_rows, drop_text=False)
     in_half = F.col("created_at_bucket") == created_at_bucket
-    writers.replace_range(vectors, sink, ("created_at_bucket", "user_id_bucket"), in_half)
+    snapshots.replace_where(vectors, sink, ("created_at_bucket", "user_id_bucket"), in_half)
 
 
 def embed_files(spark: SparkSession, posts: str, out: str, load_encoder: EncoderFactory, n_partitions: int | None = None):
@@ -150,7 +173,7 @@ def collect_user_responses(stored: DataFrame, users_out: str, errors_out: str) -
 
 def missing_work(spark: SparkSession, sink: str, first: str, last: str) -> DataFrame:
     """Calendar cells (day, user bucket) without any stored vector."""
-    done = readers.read_parquet(spark, sink).select(
+    done = snapshots.read(spark, sink).select(
         F.col("ds").cast("string").alias("ds"), user_bucket(F.col("user_id")).alias("user_id_bucket")
     )
     return incremental.missing_units(incremental.work_units(spark, first, last), done)

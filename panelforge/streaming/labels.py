@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelforge import schemas
@@ -21,6 +21,20 @@ def label_stream(posts: DataFrame, rules: RuleSet = INTENDED) -> DataFrame:
     return label_bios(match_any(profile_of_author(posts), "user_bio", rules.first_stage()), rules)
 
 
+def distinct_bio_stream(posts: DataFrame, horizon: str = "60 days", rules: RuleSet = INTENDED) -> DataFrame:
+    """Matching authors with their labels, each profile text once, however many posts and micro-batches show it.
+
+    The state holds the keys (text, user, name) seen within ``horizon`` of the newest day and forgets older ones, so that
+    it grows with the profiles of that time and not with the posts. A profile that shows up again after that, or a post
+    older than that, is outside the promise: choose the horizon as long as repeats matter. ``ds`` is a day on which the
+    profile was first seen.
+    """
+    bios = match_any(profile_of_author(posts), "user_bio", rules.first_stage())
+    timed = bios.withColumn("seen_at", F.to_timestamp("ds", "yyyy-MM-dd")).withWatermark("seen_at", horizon)
+    once = timed.dropDuplicatesWithinWatermark(["user_bio", "user_id", "user_screen_name"])
+    return label_bios(once.drop("seen_at"), rules)
+
+
 def write_labels(labels: DataFrame, sink: str, checkpoint: str, keep_running: bool = False) -> StreamingQuery:
     """Append to a day-partitioned table; the checkpoint makes each input file count once across restarts."""
     writer = (

@@ -5,7 +5,7 @@ from panelforge.functions.hashing import hash_embed
 from panelforge.operators.labeling import label_bios, match_any, profile_of_author
 from panelforge.plans import incremental, testdata as td
 from panelforge.rules import INTENDED
-from panelforge.sources import readers, writers
+from panelforge.sources import readers, snapshots, writers
 from panelforge.streaming import labels as streaming
 
 
@@ -24,7 +24,7 @@ def test_whole_days_once(spark, tmp_path):
     ]
     assert len(incremental.embed_days(posts, sink, "2024-01-01", "2024-01-30", _encode)) == 27
     assert incremental.embed_days(posts, sink, "2024-01-01", "2024-01-30", _encode) == []
-    done = readers.read_parquet(spark, sink)
+    done = snapshots.read(spark, sink)
     assert rows(done.select("id")) == rows(posts.select("id"))
 
 
@@ -41,7 +41,7 @@ def test_new_ids_once(spark, tmp_path):
     incremental.embed_new_ids(posts.filter("id < 50"), sink, _encode)
     for limit in (100_000, 0):
         incremental.embed_new_ids(posts, sink, _encode, max_broadcast=limit)
-        assert rows(readers.read_parquet(spark, sink).select("id")) == rows(posts.select("id"))
+        assert rows(snapshots.read(spark, sink).select("id")) == rows(posts.select("id"))
 
 
 def test_clustered_bounds_files_per_folder(spark, tmp_path):
@@ -61,12 +61,12 @@ def test_bucket_ranges_add_up_and_copies_count_once(spark, tmp_path):
     posts, sink = _posts(spark), str(tmp_path / "halves")
     for buckets, n in (((0, 19), 3), ((20, 39), 3), ((0, 39), 0)):
         assert len(incremental.embed_days(posts, sink, "2024-01-01", "2024-01-03", _encode, buckets)) == n
-    assert rows(readers.read_parquet(spark, sink), "id") == rows(posts.filter("ds <= '2024-01-03'"), "id")
+    assert rows(snapshots.read(spark, sink), "id") == rows(posts.filter("ds <= '2024-01-03'"), "id")
     copies = posts.unionByName(posts).unionByName(posts.withColumn("id", F.lit(None).cast("bigint")))
     ids = str(tmp_path / "ids")
     for _ in range(3):
         incremental.embed_new_ids(copies, ids, _encode)
-    assert rows(readers.read_parquet(spark, ids), "id") == rows(posts, "id")
+    assert rows(snapshots.read(spark, ids), "id") == rows(posts, "id")
     assert incremental.without_id(copies).count() == posts.count()
 
 
@@ -104,3 +104,28 @@ def test_stream_equals_batch_and_restarts_add_nothing(spark, tmp_path):
     writers.write_json(posts.filter("ds > '2024-01-10'"), landing, partition_by=("ds",), compression=None)
     assert rows(run(), *columns) == rows(expected, *columns)
     assert rows(run(), *columns) == rows(expected, *columns)
+
+
+def test_stream_labels_every_profile_once(spark, tmp_path):
+    posts = td.stream_posts(spark, f"{TESTDATA}/sf0.001")
+    landing, sink, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    columns = ["user_bio", "user_id", "user_screen_name", "age_label", "gender_label"]
+
+    def land(first, last, more=None):
+        days = posts.filter(F.col("ds").between(first, last))
+        writers.write_json(days if more is None else days.unionByName(more), landing, partition_by=("ds",), compression=None)
+        once = streaming.distinct_bio_stream(streaming.arriving_posts(spark, landing, files_per_batch=7))
+        streaming.write_labels(once, sink, checkpoint).awaitTermination()
+        return rows(readers.read_parquet(spark, sink), *columns)
+
+    def batch(upto):
+        bios = match_any(profile_of_author(posts.filter(F.col("ds") <= upto)), "user_bio", INTENDED.first_stage())
+        return rows(label_bios(bios.dropDuplicates(["user_bio", "user_id", "user_screen_name"]), INTENDED), *columns)
+
+    assert land("2024-01-05", "2024-01-12") == rows(
+        label_bios(match_any(profile_of_author(posts.filter(F.col("ds").between("2024-01-05", "2024-01-12"))), "user_bio", INTENDED.first_stage()).dropDuplicates(["user_bio", "user_id", "user_screen_name"]), INTENDED), *columns
+    )
+    assert land("2024-01-01", "2024-01-20") == batch("2024-01-20")  # days that were there, and older ones
+    assert land("2024-01-15", "2024-01-31", posts.filter("ds = '2024-01-02'")) == batch("2024-01-31")
+    streaming.write_labels(streaming.distinct_bio_stream(streaming.arriving_posts(spark, landing)), sink, checkpoint).awaitTermination()
+    assert rows(readers.read_parquet(spark, sink), *columns) == batch("2024-01-31")

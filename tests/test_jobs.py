@@ -6,7 +6,7 @@ from panelforge import schemas
 from panelforge.functions.hashing import hash_embed
 from panelforge.operators import encoding, evaluation, joins
 from panelforge.plans import catalog, jobs, testdata as td
-from panelforge.sources import readers, writers
+from panelforge.sources import readers, snapshots, writers
 
 SF = f"{TESTDATA}/sf0.001"
 
@@ -48,7 +48,7 @@ def test_followee_job_and_its_gap_report(spark, posts_root, tmp_path):
     run("2024-01-30")
     flat = readers.flat_posts(td.stream_posts(spark, SF), "text", "ds")
     expected = hash_embed(joins.posts_of_followees(flat, followees), "text").drop("text")
-    got = readers.read_parquet(spark, sink).withColumn("ds", F.col("ds").cast("string"))
+    got = snapshots.read(spark, sink).withColumn("ds", F.col("ds").cast("string"))
 
     def plain(df):
         return rows(df.withColumn("embed", F.transform("embed", lambda v: F.round(v, 9))).select(sorted(df.columns)))
@@ -63,7 +63,7 @@ def test_panel_job_replaces_its_half_month(spark, tmp_path):
     for half in ("2024-01-01", "2024-01-16", "2024-01-16"):
         jobs.embed_panel_posts(spark, root, panel, sink, half, encoding.hash_encoder(4), n_partitions=3)
     expected = joins.posts_of_panel(readers.flat_posts(posts, "full_text", "user_id_bucket"), panel)
-    assert rows(readers.read_parquet(spark, sink), "id", "user_id", "full_text", "user_id_bucket") == rows(expected)
+    assert rows(snapshots.read(spark, sink), "id", "user_id", "full_text", "user_id_bucket") == rows(expected)
 
 
 def test_files_job(spark, tmp_path):

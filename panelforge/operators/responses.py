@@ -96,6 +96,43 @@ def page_status(responses: DataFrame) -> DataFrame:
     return pages.groupBy("user_id").agg(F.count("*").alias("n_pages"), whole.alias("is_complete"))
 
 
+def page_chains(responses: DataFrame) -> DataFrame:
+    """Per user: stored pages, gaps, stray pages, and whether the pages are one whole chain.
+
+    ``responses`` also has the ``token`` that each page was asked with, NULL for the first one. A page links to the page
+    asked with its next token. A gap is a linked page, or a first page, that is missing or has failed; a stray page is one
+    that no good page links to; a token that two pages link to is a fork or a loop. A page stored twice counts once, and as
+    good if one of its copies is. Complete means a good first page, no gap, no stray page, no fork, and one page without a
+    next token: then following the links from the first page passes all others and ends there.
+
+    Pages and links meet by (user, token), so that a user with very many pages is spread over tasks.
+    """
+    first = F.lit("")
+    pages = parse_responses(responses, EDGE_ITEM).select(
+        "user_id", F.coalesce("token", first).alias("token"), outcome().isin("data", "empty").alias("good"), F.col("r.meta.next_token").alias("next_token")
+    )
+    page = F.struct(F.col("token").alias("at"), F.lit(True).alias("is_page"), "good", F.lit(None).cast("string").alias("linked_by"), (F.col("good") & F.col("next_token").isNull()).alias("ends"))
+    link = F.struct(F.col("next_token").alias("at"), F.lit(False).alias("is_page"), F.lit(False).alias("good"), F.col("token").alias("linked_by"), F.lit(False).alias("ends"))
+    both = pages.select("user_id", F.explode(F.array(page, F.when(F.col("good") & F.col("next_token").isNotNull(), link))).alias("p"))
+    places = both.filter("p is not null").select("user_id", "p.*").groupBy("user_id", "at").agg(
+        F.bool_or("is_page").alias("stored"), F.bool_or("good").alias("good"), F.bool_or("ends").alias("ends"), F.min("linked_by").alias("a"), F.max("linked_by").alias("b")
+    )
+    is_first, linked = F.col("at") == first, F.col("a").isNotNull()
+
+    def count(condition: Column) -> Column:
+        return F.count(F.when(condition, 1))
+
+    counted = places.groupBy("user_id").agg(
+        count(F.col("stored")).alias("n_pages"),
+        (count(~is_first & linked & ~F.col("good")) + 1 - count(is_first & F.col("good"))).alias("n_gaps"),
+        count(~is_first & ~linked).alias("n_stray"),
+        count((F.col("a") != F.col("b")) | (is_first & linked)).alias("n_forks"),
+        count(F.col("ends")).alias("n_ends"),
+    )
+    whole = (F.col("n_gaps") == 0) & (F.col("n_stray") == 0) & (F.col("n_forks") == 0) & (F.col("n_ends") == 1)
+    return counted.select("user_id", "n_pages", "n_gaps", "n_stray", whole.alias("is_complete"))
+
+
 def posts_from_responses(responses: DataFrame) -> DataFrame:
     """One row per post of responses without errors, with typed ids."""
     posts = _items(parse_responses(responses, POST_ITEM), data_without_errors(), "user_id").select("user_id", "item.*")

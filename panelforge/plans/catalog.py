@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelforge import schemas
 from panelforge.functions.demographics import age_on, is_default_image, user_bucket
-from panelforge.functions.hashing import hash_embed
+from panelforge.functions.hashing import DEFAULT_DIM, hash_embed, token_slots
 from panelforge.functions.registry import register_functions
 from panelforge.operators import batching, encoding, evaluation, inference, joins, labeling, responses, summaries
 from panelforge.plans import incremental, jobs, testdata as td
 from panelforge.rules import INTENDED, LITERAL, UNLABELED_GENDER, RuleSet
 from panelforge.session import run_folder
-from panelforge.sources import readers, writers
+from panelforge.sources import readers, rejects, snapshots, writers
 from panelforge.streaming import labels as streaming_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,7 +157,7 @@ def id_bucket_filter(spark, sf_dir):
 
 
 def posts_for_followees(spark, sf_dir):
-    posts = readers.flat_posts(td.stream_posts(spark, sf_dir))
+    posts = td.repeated(readers.flat_posts(td.stream_posts(spark, sf_dir)))
     return joins.posts_of_followees(posts, td.followee_uids(spark, sf_dir))
 
 
@@ -190,6 +193,51 @@ def embed_batches_udf(spark, sf_dir):
     return _long_form(encoding.embed(posts, "text", encoding.hash_encoder(), n_partitions=n), "id")
 
 
+def embed_token_budget(spark, sf_dir):
+    """The vectors of ``embed_batches_udf`` from batches by size."""
+    posts = td.document_posts(spark, sf_dir).select("id", "text")
+    n = spark.sparkContext.defaultParallelism
+    return _long_form(encoding.embed(posts, "text", encoding.hash_encoder(), 64, n, token_budget=4096), "id")
+
+
+def _slot_weights(spark, sf_dir) -> str:
+    """A model archive in the shared folder: for each token slot the number of documents that have it."""
+    slots = td.table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(token_slots(F.col("text"), DEFAULT_DIM))).alias("slot"))
+    counts = dict(slots.groupBy("slot").count().collect())
+    path = run_folder(spark, "model") + ".zip"
+    with tempfile.TemporaryDirectory() as folder:
+        np.save(f"{folder}/weights.npy", np.array([counts.get(i, 0) for i in range(DEFAULT_DIM)], dtype=np.float64))
+        with zipfile.ZipFile(f"{folder}/model.zip", "w") as archive:
+            archive.write(f"{folder}/weights.npy", "weights.npy")
+        local, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (f"file://{folder}/model.zip", path))
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(local, target)
+    return path
+
+
+def weighted_encoder() -> Callable[[str], encoding.Encoder]:
+    """Mean weight of a text's tokens, and their number; the weights are shared pages of the model's file."""
+
+    def build(path: str) -> encoding.Encoder:
+        weights = encoding.mapped_array(f"{path}/weights.npy")
+        slot = encoding.token_slot(len(weights))
+
+        def encode(texts):
+            places = [[slot(t) for t in encoding.tokens(text)] for text in texts]
+            return [[float(weights[p].mean()) if p else 0.0, float(len(p))] for p in places]
+
+        return encode
+
+    return build
+
+
+def embed_shipped_model(spark, sf_dir):
+    """Vectors of a model that travels as an archive."""
+    load = encoding.shipped(spark, _slot_weights(spark, sf_dir), weighted_encoder())
+    posts = td.document_posts(spark, sf_dir).select("id", "text")
+    vectors = encoding.embed(posts, "text", load, 64, spark.sparkContext.defaultParallelism)
+    return vectors.select("id", F.round(F.get("embed", F.lit(0)), 6).alias("mean_weight"), F.get("embed", F.lit(1)).cast("bigint").alias("n_tokens"))
+
+
 def _encode_by_day(df: DataFrame) -> DataFrame:
     n = df.sparkSession.sparkContext.defaultParallelism
     return hash_embed(incremental.clustered(df, n, "ds", folders=30), "text").drop("text")
@@ -200,7 +248,7 @@ def embed_increment(spark, sf_dir):
     posts, sink = td.document_posts(spark, sf_dir), run_folder(spark, "embed-by-day")
     incremental.embed_days(posts, sink, "2024-01-01", "2024-01-12", _encode_by_day)
     incremental.embed_days(posts, sink, "2024-01-01", "2024-01-31", _encode_by_day)
-    done = readers.read_parquet(spark, sink)
+    done = snapshots.read(spark, sink)
     return _day_sums(done)
 
 
@@ -211,7 +259,7 @@ def embed_increment_by_id(spark, sf_dir):
     unnamed = posts.withColumn("id", F.lit(None).cast("bigint"))
     for _ in range(2):  # repeated ids and missing ones add nothing, nor does a third run
         incremental.embed_new_ids(posts.unionByName(posts).unionByName(unnamed), sink, _encode_by_day)
-    return _day_sums(readers.read_parquet(spark, sink))
+    return _day_sums(snapshots.read(spark, sink))
 
 
 def embed_bucket_halves(spark, sf_dir):
@@ -219,7 +267,7 @@ def embed_bucket_halves(spark, sf_dir):
     posts, sink = td.document_posts(spark, sf_dir), run_folder(spark, "embed-halves")
     for buckets in ((0, 19), (20, 39), (0, 39)):
         incremental.embed_days(posts, sink, "2024-01-01", "2024-01-31", _encode_by_day, buckets)
-    return _day_sums(readers.read_parquet(spark, sink))
+    return _day_sums(snapshots.read(spark, sink))
 
 
 def embed_grown_id_list(spark, sf_dir):
@@ -229,7 +277,49 @@ def embed_grown_id_list(spark, sf_dir):
     for _ in range(2):
         placed = posts.withColumn("user_id_bucket", user_bucket(F.col("user_id")))
         incremental.embed_new_ids(placed, sink, _encode_by_day, partition_by=("ds", "user_id_bucket"))
-    return _day_sums(readers.read_parquet(spark, sink))
+    return _day_sums(snapshots.read(spark, sink))
+
+
+def embed_followee_job(spark, sf_dir):
+    """The job over landed JSON posts, some of them twice: a short list for some days, then the whole list for all days."""
+    root, sink = run_folder(spark, "posts"), run_folder(spark, "followee-vectors")
+    writers.write_json(td.repeated(td.stream_posts(spark, sf_dir)), root, partition_by=("ds",), compression=None)
+    followees = td.followee_uids(spark, sf_dir)
+    n = spark.sparkContext.defaultParallelism
+    for ids, last in ((followees.filter("followee_uid % 7 < 3"), "2024-01-09"), (followees, "2024-01-31"), (followees, "2024-01-31")):
+        jobs.embed_followee_posts(spark, root, ids, sink, "2024-01-01", last, encoding.hash_encoder(4), n)
+    done = snapshots.read(spark, sink)
+    return done.groupBy(F.col("ds").cast("string").alias("ds"), "user_id_bucket").agg(F.count("*").alias("n_posts"), F.sum("id").alias("id_sum"))
+
+
+class Crashed(Exception):
+    """Stands for a writer that dies."""
+
+
+def snapshot_crash(spark, sf_dir):
+    """Sums by day as readers see them: before a correction, after it died with all its rows written, and after its rerun."""
+    table = run_folder(spark, "snapshots")
+    posts = readers.flat_posts(td.stream_posts(spark, sf_dir), "text", "ds")
+    moved = posts.withColumn("id", F.col("id") + 1_000_000).filter("ds <> '2024-01-12'")
+    in_range = F.col("ds").between("2024-01-10", "2024-01-19")
+
+    def seen(moment: str) -> DataFrame:
+        sums = snapshots.read(spark, table).groupBy("ds").agg(F.count("*").alias("n_posts"), F.sum("id").alias("id_sum"))
+        return sums.withColumn("moment", F.lit(moment))
+
+    def die(_):
+        raise Crashed
+
+    snapshots.append(posts, table, ("ds",))
+    before = seen("before")
+    try:
+        snapshots.stage(moved.filter(in_range), table, ("ds",))
+        snapshots.publish(spark, table, die)
+    except Crashed:
+        pass
+    crashed = seen("crashed")
+    snapshots.replace_where(moved, table, ("ds",), in_range)
+    return summaries.union_all(summaries.union_all(before, crashed), seen("rerun"))
 
 
 def _day_sums(done: DataFrame) -> DataFrame:
@@ -431,6 +521,10 @@ def api_pages_complete(spark, sf_dir):
     return responses.page_status(td.paged_responses(spark, sf_dir))
 
 
+def api_page_chains(spark, sf_dir):
+    return responses.page_chains(td.chained_responses(spark, sf_dir))
+
+
 def api_posts(spark, sf_dir):
     posts = responses.posts_from_responses(td.post_responses(spark, sf_dir))
     return posts.select(
@@ -524,6 +618,43 @@ def raw_posts_any_format(spark, sf_dir):
     return readers.read_raw_posts(spark, path)
 
 
+def _landed_lines(spark, sf_dir, kind: str) -> tuple[str, DataFrame]:
+    """Source folder and landed table of lines of which some are broken."""
+    source = run_folder(spark, f"lines-{kind}")
+    td.broken_lines(spark, sf_dir, kind).write.text(source)
+    if kind == "json":
+        tagged = readers.read_json(spark, source, schemas.RAW_POSTS, tagged=True, required=("id",))
+    else:
+        tagged = readers.read_table(spark, source, schemas.RAW_POSTS, header=False, breaks="escaped", tagged=True, required=("id",))
+    return source, rejects.land(tagged, run_folder(spark, f"landed-{kind}"))
+
+
+def _data_and_rejects(spark, sf_dir, kind: str) -> DataFrame:
+    _, landed = _landed_lines(spark, sf_dir, kind)
+    lines = rejects.rejects_of(landed).select(F.col("_reason").alias("reason"), F.col("_line").alias("text"))
+    return rejects.data_of(landed).unionByName(lines, allowMissingColumns=True)
+
+
+def json_rejects(spark, sf_dir):
+    """Good and broken JSON lines: the posts, and below them each reject with its reason."""
+    return _data_and_rejects(spark, sf_dir, "json")
+
+
+def tsv_rejects(spark, sf_dir):
+    return _data_and_rejects(spark, sf_dir, "tsv")
+
+
+def reject_accounts(spark, sf_dir):
+    """Lines in, rows and rejects out, for both formats."""
+
+    def totals(kind: str) -> DataFrame:
+        source, landed = _landed_lines(spark, sf_dir, kind)
+        sums = [F.sum(c).alias(c) for c in ("n_lines", "n_rows", "n_rejects")]
+        return rejects.account(landed, source).agg(*sums, F.bool_and("adds_up").alias("adds_up")).withColumn("format", F.lit(kind))
+
+    return summaries.union_all(totals("json"), totals("tsv"))
+
+
 def bios_tsv_round_trip(spark, sf_dir):
     """Profile texts with tabs, quotes, line breaks and backslashes through TSV, with breaks in quotes and escaped."""
     bio = F.concat(F.coalesce("description", F.lit("none")), F.lit('\t"'), F.col("uid"), F.lit('"\r\n\\n '))
@@ -546,7 +677,7 @@ def replaced_days(spark, sf_dir):
     writers.write_json(posts.withColumn("user", F.col("user").withField("description", emptied)), second, partition_by=("ds",), compression=None)
     jobs.match_bios(spark, first, matched, "2023-12-31", "2024-01-31")
     jobs.match_bios(spark, second, matched, "2024-01-09", "2024-01-19")
-    return readers.read_json(spark, matched, schemas.MATCHED_BIOS)
+    return snapshots.read(spark, matched)
 
 
 def embedding_csv_export(spark, sf_dir):
@@ -581,6 +712,17 @@ def stream_bio_labels(spark, sf_dir):
     return readers.read_parquet(spark, sink).withColumn("ds", F.col("ds").cast("string"))
 
 
+def stream_distinct_bios(spark, sf_dir):
+    """Posts land three times, each time with days that were there before; every profile is labelled once."""
+    landing, sink, checkpoint = (run_folder(spark, name) for name in ("landing", "stream-distinct", "stream-checkpoint"))
+    posts = td.stream_posts(spark, sf_dir)
+    for first, last in (("2024-01-01", "2024-01-12"), ("2024-01-08", "2024-01-20"), ("2024-01-15", "2024-01-31")):
+        writers.write_json(posts.filter(F.col("ds").between(first, last)), landing, partition_by=("ds",), compression=None)
+        once = streaming_labels.distinct_bio_stream(streaming_labels.arriving_posts(spark, landing))
+        streaming_labels.write_labels(once, sink, checkpoint).awaitTermination()
+    return readers.read_parquet(spark, sink).drop("ds")
+
+
 QUERIES: dict[str, Query] = {
     "bio_match_any": matched_bios,
     "posts_day_range": posts_day_range,
@@ -620,6 +762,8 @@ QUERIES: dict[str, Query] = {
     "embed_bucket_halves": embed_bucket_halves,
     "embed_grown_id_list": embed_grown_id_list,
     "rejected_id_lines": rejected_id_lines,
+    "embed_followee_job": embed_followee_job,
+    "snapshot_crash": snapshot_crash,
     "annotation_agreement": annotation_agreement,
     "annotation_agreement_old_bin": annotation_agreement_old_bin,
     "agreement_counts": agreement_counts,
@@ -645,10 +789,17 @@ QUERIES: dict[str, Query] = {
     "posts_json_scan": posts_json_scan,
     "panel_partition_scan": panel_partition_scan,
     "raw_posts_any_format": raw_posts_any_format,
+    "json_rejects": json_rejects,
+    "tsv_rejects": tsv_rejects,
+    "reject_accounts": reject_accounts,
     "bios_tsv_round_trip": bios_tsv_round_trip,
     "replaced_days": replaced_days,
     "embedding_csv_export": embedding_csv_export,
     "predictions_csv_round_trip": predictions_csv_round_trip,
     "profiles_to_json_lines": profiles_to_json_lines,
     "stream_bio_labels": stream_bio_labels,
+    "stream_distinct_bios": stream_distinct_bios,
+    "embed_token_budget": embed_token_budget,
+    "embed_shipped_model": embed_shipped_model,
+    "api_page_chains": api_page_chains,
 }

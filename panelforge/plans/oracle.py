@@ -181,6 +181,16 @@ def _day_sums() -> str:
 
 LABEL_COLUMNS = "user_id, user_screen_name, user_bio, age_pattern, age_label, gender_pattern, gender_label"
 
+def _rejected_lines(line: str) -> str:
+    return f"""
+        SELECT doc_id AS id, doc_id % 50 AS user_id, text, NULL AS reason FROM documents WHERE doc_id % 9 > 4
+        UNION ALL
+        SELECT NULL, NULL, {line}, CASE WHEN doc_id % 9 = 2 THEN 'no id' ELSE 'unreadable' END FROM documents WHERE doc_id % 9 < 4"""
+
+
+_DISTINCT_LABELS = _select(_labeled(), f"SELECT {LABEL_COLUMNS} FROM labeled")
+
+
 ORACLE: dict[str, str] = {
     "bio_match_any": _select(_matched(INTENDED), "SELECT * FROM matched"),
     "posts_day_range": _select(
@@ -260,10 +270,52 @@ ORACLE: dict[str, str] = {
     "embed_batches_udf": _select(
         f"{DOCUMENT_POSTS}, {_vectors('document_posts', 'id')}", "SELECT id, pos, value FROM vectors"
     ),
+    "embed_token_budget": _select(
+        f"{DOCUMENT_POSTS}, {_vectors('document_posts', 'id')}", "SELECT id, pos, value FROM vectors"
+    ),
+    "embed_shipped_model": _select(
+        f"{DOCUMENT_POSTS}, {_vectors('document_posts', 'id')}, held AS (SELECT pos, count(*) AS df FROM slots GROUP BY pos)",
+        """SELECT p.id, round(coalesce(CAST(sum(n * df) AS DOUBLE) / sum(n), 0), 6) AS mean_weight, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_tokens
+           FROM document_posts p LEFT JOIN slots s ON s.id = p.id LEFT JOIN held h ON h.pos = s.pos GROUP BY p.id""",
+    ),
+    "api_page_chains": """
+        WITH pages AS (
+            SELECT o_custkey AS user_id, o_orderkey % 67 <> 5 AS stored, o_orderkey % 67 <> 5 AND o_orderkey % 97 <> 0 AS good,
+                   lag(o_orderkey) OVER own AS before,
+                   lag(o_orderkey % 67 <> 5 AND o_orderkey % 97 <> 0) OVER own AS linked
+            FROM orders WINDOW own AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+        SELECT user_id, count(*) FILTER (stored) AS n_pages, count(*) FILTER (NOT good AND (before IS NULL OR linked)) AS n_gaps,
+               count(*) FILTER (stored AND NOT linked) AS n_stray, bool_and(good) AS is_complete
+        FROM pages GROUP BY user_id HAVING bool_or(stored)""",
     "embed_increment": _day_sums(),
     "embed_increment_by_id": _day_sums(),
     "embed_bucket_halves": _day_sums(),
     "embed_grown_id_list": _day_sums(),
+    "embed_followee_job": _select(
+        f"{POSTS}, {FOLLOWEES}",
+        """SELECT ds, CAST(user_id % 40 AS INTEGER) AS user_id_bucket, count(*) AS n_posts, CAST(sum(id) AS BIGINT) AS id_sum
+           FROM posts JOIN followees ON followee_uid = user_id WHERE ds BETWEEN '2024-01-01' AND '2024-01-31' GROUP BY 1, 2""",
+    ),
+    "snapshot_crash": _select(
+        f"""{POSTS}, before AS (SELECT ds, count(*) AS n_posts, CAST(sum(id) AS BIGINT) AS id_sum FROM posts GROUP BY 1)""",
+        """SELECT *, 'before' AS moment FROM before UNION ALL SELECT *, 'crashed' FROM before UNION ALL
+           SELECT ds, n_posts, CASE WHEN ds BETWEEN '2024-01-10' AND '2024-01-19' THEN id_sum + n_posts * 1000000 ELSE id_sum END, 'rerun'
+           FROM before WHERE ds <> '2024-01-12'""",
+    ),
+    "stream_distinct_bios": _DISTINCT_LABELS,
+    "json_rejects": _rejected_lines(
+        """CASE doc_id % 9 WHEN 0 THEN '{"id": ' || doc_id || ', "user_id": 3, "te'
+           WHEN 1 THEN '{"id": "none ' || doc_id || '", "user_id": 3, "text": "x"}'
+           WHEN 2 THEN '{"user_id":' || doc_id || ',"text":"orphan"}' ELSE 'line ' || doc_id || ' is no JSON' END"""
+    ),
+    "tsv_rejects": _rejected_lines(
+        """CASE doc_id % 9 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN 'none ' || doc_id || chr(9) || '3' || chr(9) || 'x'
+           WHEN 2 THEN '{"user_id":' || doc_id || ',"text":"orphan"}' ELSE doc_id || chr(9) || '3' || chr(9) || 'x' || chr(9) || 'more' END"""
+    ),
+    "reject_accounts": """
+        SELECT format, count(*) FILTER (doc_id % 9 <> 4) AS n_lines, count(*) FILTER (doc_id % 9 > 4) AS n_rows,
+               count(*) FILTER (doc_id % 9 < 4) AS n_rejects, true AS adds_up
+        FROM documents, (VALUES ('json'), ('tsv')) AS f(format) GROUP BY format""",
     "rejected_id_lines": "SELECT 'n/a ' || c_custkey AS line FROM customer WHERE c_custkey % 50 = 0",
     "work_calendar_gaps": f"""
         SELECT ds, user_id_bucket FROM (

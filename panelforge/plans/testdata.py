@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from panelforge.functions import breaks as line_breaks
 from panelforge.functions.demographics import user_bucket
 from panelforge.rules import DEFAULT_PROFILE_IMAGE
 
@@ -75,6 +76,11 @@ def stream_posts(spark: SparkSession, sf_dir: str, days: tuple[str, str] | None
     )
 
 
+def repeated(posts: DataFrame) -> DataFrame:
+    """The posts, one in three of them twice."""
+    return posts.unionByName(posts.filter("id % 3 = 0"))
+
+
 def panel_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same posts with the half-month and the user's bucket."""
     half = F.when(F.dayofmonth("ts") < 16, "01").otherwise("16")
@@ -221,7 +227,7 @@ def paged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stored lookup per customer; some found nobody, some found one of two."""
+    """Stored lookups of a hundred customers each, with a list of records and a list of errors."""
     c = F.col("c_custkey")
     uid = c.cast("string")
     record = F.struct(
@@ -241,19 +247,14 @@ def user_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("public_metrics"),
     )
     missing = F.struct(uid.alias("value"), F.format_string("Could not find user with ids: [%d].", c).alias("detail"))
-    return table(spark, sf_dir, "customer").select(
-        c.alias("user_id"),
-        F.to_json(
-            F.struct(
-                F.when(c % 9 != 0, F.array(record)).alias("data"),
-                F.when((c % 9 == 0) | (c % 4 == 0), F.array(missing)).alias("errors"),
-            )
-        ).alias("body"),
+    lists = table(spark, sf_dir, "customer").groupBy(F.floor((c - 1) / 100).alias("user_id")).agg(
+        F.collect_list(F.when(c % 9 != 0, record)).alias("data"), F.collect_list(F.when((c % 9 == 0) | (c % 4 == 0), missing)).alias("errors")
     )
+    return lists.select("user_id", F.to_json(F.struct("data", F.when(F.size("errors") > 0, F.col("errors")).alias("errors"))).alias("body"))
 
 
 def post_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stored page per message with its whole text."""
+    """One stored page per conversation with all its messages, each with its whole text."""
     number = F.col("conv_id") * 1000 + F.col("turn")
     post = F.struct(
         number.cast("string").alias("id"),
@@ -266,9 +267,40 @@ def post_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("turn").alias("reply_count"), F.length("text").alias("like_count"), (number % 7).alias("retweet_count"), (number % 3).alias("quote_count")
         ).alias("public_metrics"),
     )
-    return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("user_id"),
-        F.to_json(F.struct(F.array(post).alias("data"), F.struct(F.lit(1).alias("result_count")).alias("meta"))).alias(
-            "body"
-        ),
+    lists = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("user_id")).agg(F.collect_list(post).alias("data"))
+    meta = F.struct(F.size("data").alias("result_count")).alias("meta")
+    return lists.select("user_id", F.to_json(F.struct("data", meta)).alias("body"))
+
+
+def chained_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as pages that each name the next one; some are missing, some failed, some are stored twice."""
+    order = F.col("o_orderkey")
+    by_user = Window.partitionBy("o_custkey").orderBy(order)
+    after = F.lead(order).over(by_user)
+    token = F.when(after.isNotNull(), F.concat(F.lit(',"next_token":"t'), after.cast("string"), F.lit('"'))).otherwise("")
+    body = F.concat(F.lit('{"data":[{"id":"'), order.cast("string"), F.lit('"}],"meta":{"result_count":1'), token, F.lit("}}"))
+    failed = F.when(order % 97 == 0, '{"errors":[{"value":"1","detail":"Over capacity"}]}').otherwise(body)
+    pages = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("user_id"),
+        F.when(F.lag(order).over(by_user).isNotNull(), F.concat(F.lit("t"), order.cast("string"))).alias("token"),
+        failed.alias("body"),
+        order.alias("n"),
     )
+    kept = pages.filter("n % 67 <> 5")
+    return kept.unionByName(kept.filter("n % 5 = 0")).drop("n")
+
+
+def broken_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Documents as lines of JSON or of tab-separated fields, four in nine of them broken in different ways, one blank."""
+    doc, user = F.col("doc_id"), F.col("doc_id") % 50
+    if kind == "json":
+        good = F.to_json(F.struct(doc.alias("id"), user.alias("user_id"), "text"))
+        broken = ('{"id": %1$d, "user_id": 3, "te', '{"id": "none %1$d", "user_id": 3, "text": "x"}', '{"user_id": %1$d, "text": "orphan"}', "line %1$d is no JSON")
+    else:
+        text = line_breaks.escaped(F.col("text")).alias("text")
+        good = F.to_csv(F.struct(doc.alias("id"), user.alias("user_id"), text), {"sep": "\t", "escape": '"'})
+        broken = ("%1$d", "none %1$d\t3\tx", "\t%1$d\torphan", "%1$d\t3\tx\tmore")
+    line = F.when(doc % 9 == 4, "")
+    for n, template in enumerate(broken):
+        line = line.when(doc % 9 == n, F.format_string(template, doc))
+    return table(spark, sf_dir, "documents").select(line.otherwise(good).alias("value"))

@@ -1,3 +1,6 @@
+import zipfile
+
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import TESTDATA
@@ -68,6 +71,81 @@ def test_shipped_model_file(spark, tmp_path):
     assert _vectors(encoding.embed(df, "text", load)) == {1: [3.0], 2: [0.0]}
 
 
+def test_batches_keep_to_the_token_budget():
+    rng = np.random.default_rng(1)
+    sizes = np.concatenate([rng.integers(1, 60, 500), [512] * 7, [0, 0]])
+    for budget, most in ((1024, 64), (512, 8), (100, 1000), (1, 3)):
+        batches = list(encoding.budget_batches(sizes, budget, most))
+        assert sorted(np.concatenate(batches).tolist()) == list(range(len(sizes)))
+        for b in batches:
+            assert len(b) <= most and (len(b) == 1 or len(b) * sizes[b].max() <= budget)
+    padded = lambda batches: sum(len(b) * max(sizes[b].max(), 1) for b in batches)
+    in_order = [np.arange(i, min(i + 32, len(sizes))) for i in range(0, len(sizes), 32)]
+    assert padded(encoding.budget_batches(sizes, 4096, 32)) < 1.15 * sizes.sum() < 0.8 * padded(in_order)
+    assert list(encoding.budget_batches([], 10, 4)) == []
+
+
+def test_budget_gives_the_same_vectors_in_the_same_rows(spark):
+    posts = td.document_posts(spark, f"{TESTDATA}/sf0.001").select("id", "text")
+    def load():
+        inner = encoding.hash_encoder()()
+
+        def encode(texts):
+            sizes = [min(encoding.word_count(t), 512) for t in texts]
+            assert len(texts) == 1 or max(sizes) * len(texts) <= 900
+            return inner(texts)
+
+        return encode
+
+    got = encoding.embed(posts, "text", load, batch_rows=1000, n_partitions=3, token_budget=900)
+    assert _vectors(got) == _vectors(hash_embed(posts, "text"))
+
+
+def _archive(path, value):
+    np.save(path / "w.npy", np.array([value]))
+    with zipfile.ZipFile(path / "model.zip", "w") as archive:
+        archive.write(path / "w.npy", "w.npy")
+    return str(path / "model.zip")
+
+
+def test_archives_are_unpacked_once_and_built_once_per_worker(spark, tmp_path):
+    (tmp_path / "other").mkdir()
+    first, second = _archive(tmp_path, 2.0), _archive(tmp_path / "other", 5.0)
+
+    def build(path):
+        import os
+        import uuid
+
+        import numpy as np
+
+        weights = np.load(f"{path}/w.npy", mmap_mode="r")
+        born = float(uuid.uuid4().int % 10**9)
+        place = float(os.stat(path).st_ino)
+        return lambda texts: [[float(weights[0]), place, float(os.getpid()), born, float(isinstance(weights, np.memmap))] for _ in texts]
+
+    df = spark.createDataFrame([(i, "x") for i in range(400)], "id BIGINT, text STRING").repartition(16)
+
+    def run(path):
+        return [tuple(r.embed) for r in encoding.embed(df, "text", encoding.shipped(spark, path, build)).collect()]
+
+    rows = run(first) + run(first)
+    assert {(r[0], r[4]) for r in rows} == {(2.0, 1.0)} and len({r[1] for r in rows}) == 1
+    workers = {}
+    for r in rows:
+        workers.setdefault(r[2], set()).add(r[3])
+    assert all(len(births) == 1 for births in workers.values())
+    others = run(second)  # an archive of the same name elsewhere is another model
+    assert {r[0] for r in others} == {5.0} and {r[1] for r in others}.isdisjoint({r[1] for r in rows})
+
+
+def test_few_models_are_kept(monkeypatch):
+    monkeypatch.setattr(encoding.sys, "_panelforge_models", {}, raising=False)
+    made = []
+    for key in ("a", "b", "a", "c", "b", "a"):
+        assert encoding.kept_by_worker(key, lambda key=key: made.append(key) or key) == key
+    assert made == ["a", "b", "c", "a"]
+
+
 def test_text_can_be_kept(texts):
     kept = encoding.embed(texts, "text", encoding.hash_encoder(4), drop_text=False, output="v")
     assert kept.columns == ["id", "text", "v"]

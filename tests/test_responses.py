@@ -91,3 +91,46 @@ def test_posts(spark):
 def test_each_body_is_parsed_once(stored, operator):
     plan = operator(stored)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def _chain(spark, *pages):
+    """Pages ``(user, token, next token or None, good)``."""
+    bodies = []
+    for user, token, after, good in pages:
+        meta = f',"next_token":"{after}"' if after else ""
+        body = f'{{"data":[{{"id":"1"}}],"meta":{{"result_count":1{meta}}}}}' if good else '{"errors":[{"value":"1","detail":"x"}]}'
+        bodies.append((user, token, body))
+    return spark.createDataFrame(bodies, "user_id BIGINT, token STRING, body STRING")
+
+
+@pytest.mark.parametrize(
+    "pages, expected",
+    [
+        ([(None, "a", 1), ("a", "b", 1), ("b", None, 1)], (3, 0, 0, True)),
+        ([(None, None, 1)], (1, 0, 0, True)),
+        ([(None, "a", 1), ("b", None, 1)], (2, 1, 1, False)),  # the middle page is missing
+        ([("a", "b", 1), ("b", None, 1)], (2, 1, 1, False)),  # the first page is missing
+        ([(None, "a", 1), ("a", "b", 1)], (2, 1, 0, False)),  # the last page is missing
+        ([(None, "a", 1), ("a", "b", 0), ("b", None, 1)], (3, 1, 1, False)),  # the middle page failed
+        ([(None, "a", 1), ("a", "b", 0), ("a", "b", 1), ("b", None, 1)], (3, 0, 0, True)),  # and was asked again
+        ([(None, "a", 1), ("a", None, 1), ("a", None, 1)], (2, 0, 0, True)),  # a copy
+        ([(None, "a", 1), ("a", "b", 1), ("b", "a", 1)], (3, 0, 0, False)),  # a loop
+        ([(None, "a", 1), ("a", None, 1), ("z", None, 1)], (3, 0, 1, False)),  # a page from elsewhere
+        ([(None, "a", 0)], (1, 1, 0, False)),
+    ],
+)
+def test_page_chains(spark, pages, expected):
+    df = _chain(spark, *[(7, t, n, g) for t, n, g in pages], (8, None, None, 1))
+    got = {r.user_id: tuple(r)[1:] for r in responses.page_chains(df).collect()}
+    assert got == {7: expected, 8: (1, 0, 0, True)}
+
+
+def test_lists_of_a_hundred_records(spark):
+    data = ",".join(f'{{"id":"{i}","username":"u{i}"}}' for i in range(100))
+    errors = ",".join(f'{{"value":"{i}","detail":"d [{i}]"}}' for i in range(100, 140))
+    df = spark.createDataFrame([(1, f'{{"data":[{data}],"errors":[{errors}]}}'), (2, f'{{"data":[{data}]}}')], "user_id BIGINT, body STRING")
+    users = responses.users_from_responses(df)
+    assert sorted(int(r.id) for r in users.collect()) == sorted([*range(100)] * 2)
+    assert [r.user_id for r in responses.all_errors(df).orderBy("user_id").collect()] == list(range(100, 140))
+    posts = responses.posts_from_responses(df)
+    assert sorted(r.id for r in posts.collect()) == list(range(100)) and {r.user_id for r in posts.collect()} == {2}

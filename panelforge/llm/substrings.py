@@ -8,8 +8,9 @@ and only those windows are hashed and compared. Two 64-bit hashes decide that tw
 Texts of the same words are told by their sequence hash first: all but the one with the smallest id lose every word of
 their windows at once. Null and word-free texts have no words. Minima are combined before every shuffle, so that a
 passage in a third of all documents costs one row per task; documents are never paired. Windows are judged on the input.
-Ids should be unique: rows that repeat an id are judged against other ids only, and what is found for one is cut from all;
-rows without an id lose nothing.
+
+Every row is judged on its own. Where ids repeat, rows are numbered first, and stand as pairs of id and number in the place
+of the id; rows of one id are judged against other ids only. Rows without an id lose nothing and take nothing from others.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelforge.llm.common import discard, hashed_words, sequence_hash, slices, stored, utf8, window_hashes, word_spans
 
@@ -28,6 +29,28 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 
 
+def told_apart(df: DataFrame, text: str, key: str) -> DataFrame:
+    """``df`` as ``id``, ``text`` and the whole row as ``row``; ``id`` is the key, or where keys repeat ``(id, number)``.
+
+    In the second case the frame is stored, so that numbers stay.
+    """
+    packed = df.select(df[key].alias("id"), df[text].alias("text"), F.struct(*df.columns).alias("row"))
+    if df.groupBy(key).count().where("count > 1").select(F.lit(1)).isEmpty():
+        return packed
+    numbered = packed.withColumn("id", F.struct("id", F.monotonically_increasing_id().alias("number")))
+    return stored(numbered, "numbered")
+
+
+def _is_pair(df: DataFrame) -> bool:
+    return isinstance(df.schema["id"].dataType, T.StructType)
+
+
+def _doc(df: DataFrame, column: Column | str = "id") -> Column:
+    """The document's id in an id column, for comparisons."""
+    column = F.col(column) if isinstance(column, str) else column
+    return column.getField("id") if _is_pair(df) else column
+
+
 def _per_document(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """Text, word starts, word ends and word hashes of each document of a slice."""
     joined = b"\n".join(texts)
@@ -96,17 +119,17 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
 
     ``spots`` are positions, doubled, plus one where a document with a smaller id holds the anchor.
     """
-    held = texts.select("id", F.posexplode("anchors").alias("ordinal", "anchor"))
+    held = texts.select("id", _doc(texts).alias("doc"), F.posexplode("anchors").alias("ordinal", "anchor"))
     twice = stored(
         held.groupBy("anchor")
-        .agg(F.min("id").alias("least"), F.max("id").alias("last"))
+        .agg(F.min("doc").alias("least"), F.max("doc").alias("last"))
         .where("least <> last")
         .select("anchor", "least"),
         "twice",
         tidy=True,
     )
-    spots = held.select("id", "ordinal", "anchor").join(twice, "anchor")
-    spot = _position(F.col("ordinal")) * 2 + (F.col("least") < F.col("id")).cast("int")
+    spots = held.join(twice, "anchor")
+    spot = _position(F.col("ordinal")) * 2 + (F.col("least") < F.col("doc")).cast("int")
     return spots.select("id", spot.alias("spot")).groupBy("id").agg(F.collect_list("spot").alias("spots"))
 
 
@@ -154,30 +177,31 @@ def _candidates(df: DataFrame, spots: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(found: DataFrame) -> DataFrame:
     """Per document with any: ``id`` and ``starts``, where windows start that a document with a smaller id holds too."""
-    held = found.select("id", F.explode(F.arrays_zip("at", "late", "h", "h2")).alias("w")).select("id", "w.*")
+    held = found.select("id", _doc(found).alias("doc"), F.explode(F.arrays_zip("at", "late", "h", "h2")).alias("w")).select("id", "doc", "w.*")
     # One row per window hash: its smallest id with the second hash there, and whether another id holds it.
-    first = held.groupBy("h").agg(F.min(F.struct("id", "h2")).alias("first"), F.max("id").alias("last")).where("first.id < last")
-    again = held.where("late").join(first, "h").where("first.id < id and first.h2 = h2")
+    first = held.groupBy("h").agg(F.min(F.struct("doc", "h2")).alias("first"), F.max("doc").alias("last")).where("first.doc < last")
+    again = held.where("late").join(first, "h").where("first.doc < doc and first.h2 = h2")
     return again.groupBy("id").agg(F.collect_list("at").alias("starts"))
 
 
-def judged(df: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Two tables by ``id``: a summary of every row with ``copy`` (all windows repeat), and repeated window starts."""
-    slim = df.select(df[key].alias("id"), df[text].alias("text"))
-    texts = stored(summaries(df, window, text, key), "texts")
-    least = texts.where(F.col("n_words") >= window).groupBy("seq", "seq2", "n_words").agg(F.min("id").alias("least"), F.max("id").alias("last"))
+def judged(df: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Two tables by ``id``, from rows that are told apart: a summary of every row with ``copy`` (all windows repeat), and
+    repeated window starts."""
+    texts = stored(summaries(df, window, "text", "id"), "texts")
+    doc = _doc(texts)
+    least = texts.where(F.col("n_words") >= window).groupBy("seq", "seq2", "n_words").agg(F.min(doc).alias("least"), F.max(doc).alias("last"))
     copied = least.where("least < last").drop("last")
     rows = (
         texts.drop("anchors")
         .join(copied, ["seq", "seq2", "n_words"], "left")
-        .select("id", "n_words", "sha", F.coalesce(F.col("least") < F.col("id"), F.lit(False)).alias("copy"))
+        .select("id", "n_words", "sha", F.coalesce(F.col("least") < doc, F.lit(False)).alias("copy"))
     )
     rows = stored(rows, "rows")
     whole = rows.where("copy").select("id").distinct()
-    first = texts.where(F.size("anchors") > 0).select("id", "anchors").join(whole, "id", "left_anti")
+    first = texts.where((F.size("anchors") > 0) & doc.isNotNull()).select("id", "anchors").join(whole, "id", "left_anti")
     spots = stored(shared_anchors(first), "spots", tidy=True)
     discard(texts)
-    found = stored(_candidates(slim, spots, window), "windows", tidy=True)
+    found = stored(_candidates(df, spots, window), "windows", tidy=True)
     starts = stored(repeated_windows(found), "starts", tidy=True)
     discard(found)
     return rows, starts
@@ -207,9 +231,9 @@ def _cut(df: DataFrame, window: int) -> DataFrame:
 
 def removed_words(df: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, ``n_words``, ``n_removed`` and ``kept_sha256`` of the kept words joined by one space."""
-    rows, starts = judged(df, window, text, key)
-    slim = df.select(df[key].alias("id"), df[text].alias("text"))
-    cuts = _cut(slim.join(starts, "id").withColumnRenamed("id", "row"), window)
+    told = told_apart(df.select(key, text), text, key)
+    rows, starts = judged(told, window)
+    cuts = _cut(told.select("id", "text").join(starts, "id").withColumnRenamed("id", "row"), window)
     cuts = cuts.select(F.col("row").alias("id"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     empty = F.lit(sha256(b"").hexdigest())
     plain = (
@@ -217,16 +241,20 @@ def removed_words(df: DataFrame, window: int = 50, text: str = "text", key: str
         .select("id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(0).alias("n_removed"), F.when(F.col("copy"), empty).otherwise(F.col("sha")).alias("kept_sha256"))
     )
     cut = cuts.join(rows.select("id", "n_words"), "id").select("id", "n_words", "n_removed", "kept_sha256")
-    return plain.unionByName(cut).withColumnRenamed("id", key)
+    both = plain.unionByName(cut)
+    return both.select(_doc(both).alias(key), "n_words", "n_removed", "kept_sha256")
 
 
 def without_repeats(df: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` with repeated passages cut out of ``text``; rows that lose every word go, untouched ones keep their text as it is."""
-    rows, starts = judged(df, window, text, key)
-    touched = rows.where("copy").select("id").unionByName(starts.select("id")).distinct().withColumnRenamed("id", key)
-    same = df.join(touched, key, "left_anti").select(df.columns)
-    packed = df.select(df[key].alias("id"), df[text].alias("text"), F.struct(*df.columns).alias("row"))
+    told = told_apart(df, text, key)
+    rows, starts = judged(told, window)
     copies = rows.where("copy").select("id").distinct()
-    cuts = _cut(packed.join(starts, "id").join(copies, "id", "left_anti"), window).where("kept <> ''")
+    touched = copies.unionByName(starts.select("id")).distinct()
+    if _is_pair(told):
+        same = told.join(touched, "id", "left_anti").select("row.*")
+    else:
+        same = df.join(touched.withColumnRenamed("id", key), key, "left_anti").select(df.columns)
+    cuts = _cut(told.join(starts, "id").join(copies, "id", "left_anti"), window).where("kept <> ''")
     new = cuts.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])
     return same.unionByName(new)

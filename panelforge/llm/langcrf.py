@@ -1,14 +1,20 @@
 """Language of text by a linear-chain conditional random field over words.
 
-Every word gets scores for each language from its features (the word itself, affixes, character n-grams, shape; learned
-weights in hashed slots), and neighbours are tied by learned transitions. Forward-backward gives each word's
+Every word gets scores for each language from its features (the word itself, affixes, character n-grams, shape, and
+membership in the languages' lexicons; learned weights, all but those of the lexicons in hashed slots), and neighbours are tied by learned transitions. Forward-backward gives each word's
 probabilities, also in text that switches language. A text's language is the one with the largest mean probability over
 its words with letters; that mean is the score.
 
 Training: words are labelled with the language of their document, in sequences put together from pieces of several
-documents so that languages switch. At most ``SAMPLE`` documents train, chosen by hash of the id among those of at most
-``LONGEST`` characters; every text is predicted whole. Null texts and texts without letters are ``und`` with score zero.
-Without any labelled document everything is ``und``. Rows are independent of each other.
+documents so that languages switch. The languages are those of all training rows. The field is fitted on a sample of at
+most ``SAMPLE`` of them, each language with the same share as far as it has rows, chosen by hash of the id; of a text of
+more than ``LONGEST`` characters a piece of that length takes part, at a place that the hash gives. In each of ``ROUNDS``
+rounds at most ``PIECES_A_ROUND`` pieces of it are drawn. A word is in a language's lexicon if at least two documents of
+the sample have it and nine in ten of those, weighted so that languages count alike, are of that language; in training,
+each half of the documents sees the lexicons of the other half. Every text is predicted whole.
+
+Null texts and texts without letters are ``und`` with score zero. Without any labelled document everything is ``und``.
+Rows are independent of each other.
 """
 
 from __future__ import annotations
@@ -20,13 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from panelforge.llm.common import sampled, slices
+from panelforge.llm.common import slices
 from panelforge.llm.words import WordTable
 
 SAMPLE = 2_500
 LONGEST = 20_000
 SLOTS = 1 << 16
 UNKNOWN = "und"
+ROUNDS = 4
+PIECES_A_ROUND = 20_000
+#: Of a word's documents, the weighted share in one language from which on it is in that language's lexicon.
+LEXICAL = 0.9
 #: Words of one piece and pieces of one training sequence.
 PIECE = 24
 PIECES = 3
@@ -40,9 +50,13 @@ def has_letter(word: str) -> bool:
     return any(map(str.isalpha, word))
 
 
+def core_of(word: str) -> str:
+    return word.strip(_EDGES).lower() or word
+
+
 def features(word: str) -> list[int]:
-    """Slots of a word's features."""
-    core = word.strip(_EDGES).lower() or word
+    """Slots of a word's features without the lexicons."""
+    core = core_of(word)
     marked = f"^{core}$"
     names = [f"w{core}", f"s{core[:1].isalpha()}{len(core) > 3}"]
     names += [f"p{core[:n]}" for n in range(1, min(5, len(core) + 1))]
@@ -51,12 +65,38 @@ def features(word: str) -> list[int]:
     return [crc32(name.encode()) % SLOTS for name in names]
 
 
+def in_lexicon(lexicon: dict[str, int], word: str) -> list[int]:
+    """The slot of the lexicon that has the word."""
+    label = lexicon.get(core_of(word))
+    return [] if label is None else [SLOTS + label]
+
+
+def lexicons(documents: list[set[str]], labels: list[int], k: int) -> dict[str, int]:
+    """The language of words that at least two documents have, nearly all of them of that language."""
+    held: dict[str, np.ndarray] = {}
+    for words, label in zip(documents, labels):
+        for word in words:
+            if word not in held:
+                held[word] = np.zeros(k)
+            held[word][label] += 1
+    totals = np.maximum(np.bincount(np.array(labels, dtype=np.int64), minlength=k), 1)
+    found = {}
+    for word, counts in held.items():
+        shares = counts / totals
+        best = int(shares.argmax())
+        if counts.sum() >= 2 and shares[best] >= LEXICAL * shares.sum():
+            found[word] = best
+    return found
+
+
 class Tagger:
     """Labels, slot weights and transitions of a trained field."""
 
-    def __init__(self, labels: list[str]):
+    def __init__(self, labels: list[str], lexicon: dict[str, int] | None = None):
         self.labels = labels
-        self.weights = np.zeros((SLOTS, len(labels)), dtype=np.float32)
+        #: Number of the language in whose lexicon a word is. Its slot follows the hashed ones.
+        self.lexicon = lexicon or {}
+        self.weights = np.zeros((SLOTS + len(labels), len(labels)), dtype=np.float32)
         self.moves = np.zeros((len(labels), len(labels)), dtype=np.float64)
         self.start = np.zeros(len(labels), dtype=np.float64)
         self._words: WordTable | None = None
@@ -66,7 +106,7 @@ class Tagger:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """A row per word: its score for each label, and whether it has letters."""
-        slots = [features(w) for w in words]
+        slots = [features(w) + in_lexicon(self.lexicon, w) for w in words]
         sizes = np.array([len(s) for s in slots])
         flat = self.weights[np.concatenate(slots)]
         out = np.empty((len(words), len(self.labels) + 1), dtype=np.float32)
@@ -125,30 +165,39 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray,
     return (chance, moved) if pairs else chance
 
 
-def train(texts: list[str], langs: list[str], rounds: int = 4, rate: float = 0.3, seed: int = 3) -> Tagger:
+def train(
+    texts: list[str], langs: list[str], rounds: int = ROUNDS, rate: float = 0.3, seed: int = 3, labels: list[str] | None = None, most_pieces: int = PIECES_A_ROUND
+) -> Tagger:
     """Maximum likelihood by AdaGrad on sequences of pieces of different documents."""
-    tagger = Tagger(sorted(set(langs)))
+    tagger = Tagger(sorted(set(langs) | set(labels or ())))
     k = len(tagger.labels)
     number = {lang: i for i, lang in enumerate(tagger.labels)}
-    index: dict[str, int] = {}
+    split = [[w for w in text.split() if has_letter(w)] for text in texts]
+    cores = [{core_of(w) for w in words} for words in split]
+    numbers = [number[lang] for lang in langs]
+    tagger.lexicon = lexicons(cores, numbers, k)
+    # A document's words must not be in a lexicon because of that document alone.
+    others = [lexicons(cores[1 - half :: 2], numbers[1 - half :: 2], k) for half in (0, 1)]
+    # Words are told apart by the half they occur in: the other half's lexicon may hold them or not.
+    index: dict[tuple[str, int], int] = {}
     pieces = []
-    for text, lang in zip(texts, langs):
-        ids = [index.setdefault(w, len(index)) for w in text.split() if has_letter(w)]
-        pieces += [(np.array(ids[i : i + PIECE]), number[lang]) for i in range(0, len(ids), PIECE)]
+    for n, (words, label) in enumerate(zip(split, numbers)):
+        ids = [index.setdefault((w, n % 2), len(index)) for w in words]
+        pieces += [(np.array(ids[i : i + PIECE]), label) for i in range(0, len(ids), PIECE)]
     if not pieces or k < 2:
         return tagger
-    slots = [features(w) for w in index]
+    slots = [features(w) + in_lexicon(others[half], w) for w, half in index]
     sizes = np.array([len(s) for s in slots])
     flat, begins = np.concatenate(slots), np.cumsum(sizes) - sizes
     rng = np.random.default_rng(seed)
-    squares = np.full((SLOTS, k), 1e-6, dtype=np.float32)
+    squares = np.full(tagger.weights.shape, 1e-6, dtype=np.float32)
     move_squares, start_squares = np.full((k, k), 1e-6), np.full(k, 1e-6)
     # Languages weigh alike, however many documents each has.
     share = np.bincount([label for _, label in pieces], minlength=k) / len(pieces)
     odds = np.array([1 / share[label] for _, label in pieces])
     odds /= odds.sum()
     batch = 64 * PIECES
-    most = min(len(pieces), 20_000)
+    most = min(len(pieces), most_pieces)
     for _ in range(rounds):
         chosen = rng.choice(len(pieces), most, p=odds)
         for at in range(0, most - PIECES + 1, batch):
@@ -166,7 +215,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 4, rate: float = 0.3
             truth = np.eye(k)[label]
             error = chance - truth
             by_word = np.stack([np.bincount(place, error[:, i], len(distinct)) for i in range(k)], axis=1)
-            grad = np.stack([np.bincount(used, by_word[owner, i], SLOTS) for i in range(k)], axis=1) / len(lengths)
+            grad = np.stack([np.bincount(used, by_word[owner, i], len(squares)) for i in range(k)], axis=1) / len(lengths)
             squares += grad**2
             tagger.weights -= (rate * grad / np.sqrt(squares)).astype(np.float32)
             inner = np.ones(len(words), dtype=bool)
@@ -181,20 +230,28 @@ def train(texts: list[str], langs: list[str], rounds: int = 4, rate: float = 0.3
     return tagger
 
 
-def label_words(tagger: Tagger, text: str) -> list[tuple[str, str, float]]:
-    """Each word with its most probable language and that probability."""
-    words = text.split()
-    if not words or not tagger.labels:
-        return []
-    chance = forward_backward(tagger.emissions(words)[:, :-1], np.array([len(words)]), tagger.moves, tagger.start)
-    return [(w, tagger.labels[i], float(c[i])) for w, c, i in zip(words, chance, chance.argmax(axis=1))]
-
-
-def fit(df: DataFrame, learns: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Tagger:
-    """A tagger from a bounded sample of the rows that ``learns`` names."""
-    rows = df.where(learns & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= LONGEST))
-    sample = sampled(rows.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")), SAMPLE)
-    return train([r.text for r in sample], [r.lang for r in sample])
+def fit(df: DataFrame, learns: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, longest: int = LONGEST) -> Tagger:
+    """A tagger from a bounded sample of the rows that ``learns`` names, with the languages of all of them."""
+    length = F.length(text)
+    place = F.pmod(F.xxhash64(key, F.lit(5)), F.greatest(length - longest + 1, F.lit(1))).cast("int") + 1
+    part = F.when(length > longest, F.substring(text, place, F.lit(longest))).otherwise(F.col(text))
+    rows = df.where(learns & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = {r.lang: r["count"] for r in rows.groupBy(F.col(lang).alias("lang")).count().collect()}  # a row per language
+    if not counts:
+        return train([], [])
+    share = max(1, sample // len(counts))
+    # Somewhat more than each language's share by hash, so that the smallest hashes of every language are among them.
+    wanted = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, (1.3 * share + 30) / n))])
+    drawn = (F.xxhash64(key, F.lit(11)) / float(1 << 64) + 0.5).alias("draw")
+    chosen = rows.select(drawn, F.col(lang).alias("lang"), part.alias("text")).where(F.col("draw") <= F.try_element_at(wanted, F.col("lang")))
+    # The limit binds only where one id stands on very many rows.
+    found = sorted(chosen.orderBy("draw", "lang", "text").limit(int(1.6 * sample) + 60 * len(counts)).collect())
+    taken, kept = dict.fromkeys(counts, 0), []
+    for r in found:
+        if taken[r.lang] < share:
+            taken[r.lang] += 1
+            kept.append(r)
+    return train([r.text for r in kept], [r.lang for r in kept], labels=list(counts))
 
 
 def predict(df: DataFrame, tagger: Tagger, text: str = "text", drop_text: bool = True) -> DataFrame:

@@ -112,6 +112,32 @@ def test_substrings_equal_brute_force(spark):
         assert cut.get(i) == ((kept or None) if any(gone) else texts[i])
 
 
+def test_substrings_judge_rows_of_one_id_one_by_one(spark):
+    long = [f"v{i}" for i in range(200)]
+    part = lambda a, b, *more: " ".join([*long[a:b], *more])
+    rows = [(5, part(0, 120)), (5, part(0, 60, "x", "y")), (5, "short"), (3, part(100, 160)), (9, part(0, 70)), (9, part(0, 70)), (9, None), (None, part(0, 120)), (None, part(0, 55))]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id BIGINT, text STRING, id INT, number INT")
+    words = [(t or "").split() for _, t in rows]
+    expected = []
+    for (i, t), w in zip(rows, words):
+        gone = np.zeros(len(w), dtype=bool)
+        for s in range(len(w) - 49):
+            own = w[s : s + 50]
+            if i is not None and any(j is not None and j < i and own == v[r : r + 50] for (j, _), v in zip(rows, words) for r in range(len(v) - 49)):
+                gone[s : s + 50] = True
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        expected.append((i, len(w), int(gone.sum()), kept, t))
+    got = substrings.removed_words(docs).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == sorted(
+        ((i, n, m, hashlib.sha256(k.encode()).hexdigest()) for i, n, m, k, _ in expected), key=repr
+    )
+    cut = substrings.without_repeats(docs)
+    assert cut.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=repr) == sorted(((i, k if m else t) for i, _, m, k, t in expected if k or not m), key=repr)
+    unique = docs.where("doc_id = 3 or doc_id is null and text like '%v100%'")
+    assert sorted(r.n_removed for r in substrings.removed_words(unique).collect()) == [0, 0]
+
+
 def _vectors(spark):
     x = np.array([v for _, v in table("embeddings", "vec_id, embedding")], dtype=np.float64)
     near = x[:40] + 0.01 * np.random.default_rng(3).standard_normal((40, x.shape[1]))
@@ -221,6 +247,44 @@ def test_forward_backward_equals_enumeration():
         at += n
 
 
+def test_lexicons_hold_words_of_one_language():
+    documents = [{"the", "x", "der"}, {"the", "one"}, {"der", "x"}, {"der"}, {"der"}, {"le", "x"}]
+    found = langcrf.lexicons(documents, [0, 0, 1, 1, 1, 2], 3)
+    # "x" and, by shares, "der" are common to several; "one" and "le" have one document.
+    assert found == {"the": 0} and langcrf.lexicons([], [], 2) == {}
+    more = langcrf.lexicons(documents + [{"y"}] * 30, [0, 0, 1, 1, 1, 2] + [0] * 30, 3)
+    assert more["der"] == 1 and more["y"] == 0
+
+
+def test_lexicon_decides_where_spelling_does_not():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]  # both languages are spelled alike
+    texts, langs = [], []
+    for i in range(200):
+        own = words[:200] if i % 4 < 2 else words[200:]
+        texts.append(" ".join(rng.choice(own, 30)))
+        langs.append("aa" if i % 4 < 2 else "bb")
+    tagger = langcrf.train(texts, langs)
+    assert len(tagger.lexicon) == 400 and tagger.weights[langcrf.SLOTS, 0] > tagger.weights[langcrf.SLOTS, 1] + 0.5
+    switched = [*words[:12], *words[200:212], *words[20:32]]
+    scores = tagger.emissions(switched)[:, :-1]
+    chance = langcrf.forward_backward(scores, np.array([36]), tagger.moves, tagger.start)
+    assert [tagger.labels[i] for i in chance.argmax(axis=1)] == ["aa"] * 12 + ["bb"] * 12 + ["aa"] * 12
+
+
+def test_every_language_of_the_training_rows_is_a_label(spark):
+    rows = [(i, " ".join(f"en{j % 50}ing" for j in range(i, i + 30)), "en") for i in range(3000)]
+    rows += [(5000 + i, " ".join(f"zyx{j % 20}qq" for j in range(i, i + 30)), "zz") for i in range(3)]
+    rows += [(9000, "lööng " * 5000, "sv"), (9001, None, "no"), (9002, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING").repartition(3)
+    tagger = langcrf.fit(docs, F.lit(True), sample=60, longest=2000)
+    assert tagger.labels == ["en", "sv", "zz"]
+    asked = spark.createDataFrame([(1, "zyx3qq zyx4qq"), (2, "en3ing en9ing"), (3, "lööng lööng")], "doc_id BIGINT, text STRING")
+    assert {r.doc_id: r.lang_pred for r in langcrf.predict(asked, tagger).collect()} == {1: "zz", 2: "en", 3: "sv"}
+    again = langcrf.fit(docs.repartition(7), F.lit(True), sample=60, longest=2000)
+    assert (again.weights == tagger.weights).all() and again.lexicon == tagger.lexicon
+
+
 def test_language_of_held_out_and_odd_texts(spark):
     truth = dict(table("documents", "doc_id, lang"))
     found = queries.op10_langcrf(spark, SF).where("held_out").collect()

@@ -7,7 +7,9 @@ tags inside links, and Cb, LCb those of the body, the density is
 
 (zero denominators count as one). An element's density sum is the sum over its children. The element with the largest sum
 holds the article; the lowest density on its path to the body is the threshold from which on other elements count as
-content too, each with its own largest-sum subtree. An element inside ``article`` or ``main`` stands for all of it.
+content too, each with its own largest-sum subtree. Headlines and short paragraphs beside that element have low densities of
+their own: on the way to the body, a parent takes its place if the rest of the parent has no link or, as one element, at least the share ``REST`` of that
+element's density. Lists of links and scattered lines among them have not.
 
 Before that, elements go that are no text (scripts, menus). Headers, forms and elements whose class, id or role names a
 menu, sidebar, notice, advert or reader comments go only while they hold less than half of the page's text, no ``main`` and
@@ -51,6 +53,8 @@ NEUTRAL = frozenset(
     "site global main primary secondary left right top bottom box block bar wrapper wrap container inner outer slot unit area list "
     "item items links link buttons button icons posts articles stories form".split()
 )
+#: Share of the chosen element's density that the rest of a parent with links must have to belong to the article.
+REST = 0.1
 #: Shares of the page's text from which on a named element, or an article in it, is not left out.
 LARGE, ARTICLE = 0.5, 0.25
 FRAME = frozenset(("html", "body", "main", "article"))
@@ -167,8 +171,19 @@ class Page(HTMLParser):
             self.beside = self.hidden
 
 
-def densities(page: Page) -> tuple[list[float], list[float]]:
-    """Composite density and density sum of every element."""
+def composite(c: float, t: float, lc: float, lt: float, share: float) -> float:
+    """Density of ``c`` characters and ``t`` tags, ``lc`` and ``lt`` of them in links; ``share`` is the body's share of link characters."""
+    if not c:
+        return 0.0
+    inner = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    base = math.log(inner) if inner > 1 else 0.0
+    ratio = math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0))
+    # A page without links has the logarithm's base e: the denominator is one.
+    return c / max(t, 1) * ratio / (base if base > 1 else 1.0)
+
+
+def counts(page: Page) -> list[tuple[int, int, int, int]]:
+    """Characters, tags, and characters and tags in links of every element, without what is left out."""
     n = len(page.tags)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     linked = [False] * n
@@ -185,16 +200,15 @@ def densities(page: Page) -> tuple[list[float], list[float]]:
             link_chars[p] += link_chars[i]
             tags[p] += tags[i] + 1
             link_tags[p] += link_tags[i] + (page.tags[i] == "a")
-    share = link_chars[0] / max(chars[0], 1)
-    density, sums, leaf = [0.0] * n, [0.0] * n, [True] * n
-    for i in range(n):
-        c, t, lc, lt = chars[i], max(tags[i], 1), link_chars[i], link_tags[i]
-        if c and not page.beside[i]:
-            inner = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-            base = math.log(inner) if inner > 1 else 0.0
-            ratio = math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0))
-            # A page without links has the logarithm's base e: the denominator is one.
-            density[i] = c / t * ratio / (base if base > 1 else 1.0)
+    return list(zip(chars, tags, link_chars, link_tags))
+
+
+def densities(page: Page, counted: list[tuple[int, int, int, int]]) -> tuple[list[float], list[float]]:
+    """Composite density and density sum of every element; an element without dense children is its own sum."""
+    n = len(page.tags)
+    share = counted[0][2] / max(counted[0][0], 1)
+    density = [0.0 if page.beside[i] else composite(*counted[i], share) for i in range(n)]
+    sums, leaf = [0.0] * n, [True] * n
     for i in range(1, n):
         sums[page.parents[i]] += density[i]
         leaf[page.parents[i]] = leaf[page.parents[i]] and not density[i]
@@ -204,27 +218,31 @@ def densities(page: Page) -> tuple[list[float], list[float]]:
 def content(page: Page) -> list[bool]:
     """Which elements hold the main text."""
     n = len(page.tags)
-    density, sums = densities(page)
+    counted = counts(page)
+    density, sums = densities(page, counted)
     best = list(range(n))  # the element with the largest sum of each subtree, the outermost of equals
     for i in range(n - 1, 0, -1):
         p = page.parents[i]
         if sums[best[i]] >= sums[best[p]] and sums[best[i]] > sums[p]:
             best[p] = best[i]
-    top = best[0]
-    path = [top]
+    path = [best[0]]
     while path[-1]:
         path.append(page.parents[path[-1]])
     threshold = min(density[i] for i in path)
+    share = counted[0][2] / max(counted[0][0], 1)
+    frame = path[0]
+    for below, parent in zip(path, path[1:]):
+        c, t, lc, lt = (a - b for a, b in zip(counted[parent], counted[below]))
+        # The element itself and its link, if it is one, are no part of the rest.
+        rest = composite(c, t - 1, lc, lt - (page.tags[below] == "a"), share)
+        if lc and rest < REST * density[path[0]]:
+            break
+        frame = parent
     held = [False] * n
-    framed = any(page.tags[i] in ("article", "main") for i in path)
-    if framed:
-        frame = next(i for i in path if page.tags[i] in ("article", "main"))
-        held[frame] = True
-    else:
-        held[top] = True
-        for i in range(1, n):
-            if density[i] and density[i] >= threshold:
-                held[best[i]] = True
+    held[frame] = True
+    for i in range(1, n):
+        if density[i] and density[i] >= threshold:
+            held[best[i]] = True
     for i in range(1, n):
         held[i] = (held[i] or held[page.parents[i]]) and not page.beside[i]
     return held

@@ -165,6 +165,66 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray,
     return (chance, moved) if pairs else chance
 
 
+#: Words of a block of ``marginals``.
+BLOCK = 64
+
+
+def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The probabilities of ``forward_backward`` in steps that do not grow with the longest sequence.
+
+    Sequences are cut into blocks. A block passes vectors on by one matrix, the product of its words' steps; all blocks
+    build theirs together. Then vectors run from block to block, and inside all blocks together, forward and backward.
+    """
+    k = scores.shape[1]
+    n_blocks = -(-lengths // BLOCK)
+    head = np.cumsum(n_blocks) - n_blocks  # first block of each sequence
+    inner = np.arange(n_blocks.sum()) - np.repeat(head, n_blocks)
+    begin = np.repeat(np.cumsum(lengths) - lengths, n_blocks) + inner * BLOCK
+    size = np.minimum(BLOCK, np.repeat(lengths, n_blocks) - inner * BLOCK)
+    order = np.argsort(-size, kind="stable")  # the longest first, so that the active ones are always the first ones
+    begin, size = begin[order], size[order]
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    active = np.searchsorted(-size, -np.arange(BLOCK), side="left")
+    weight = np.exp((scores - scores.max(axis=1, keepdims=True)).astype(np.float64))
+    jump = np.exp(moves)
+    # From the vector before a block's first weight to the one after its last.
+    through = np.zeros((len(size), k, k))
+    through[:, np.arange(k), np.arange(k)] = weight[begin]
+    for t in range(1, int(size[0])):
+        n = active[t]
+        grown = (through[:n].reshape(-1, k) @ jump).reshape(n, k, k) * weight[begin[:n] + t][:, None, :]
+        through[:n] = grown / grown.sum(axis=(1, 2), keepdims=True)
+    into, out = np.empty((len(size), k)), np.ones((len(size), k))
+    into[place[head]] = np.exp(start)
+    long = np.argsort(-n_blocks, kind="stable")
+    more = np.searchsorted(-n_blocks[long], -np.arange(int(n_blocks.max())), side="left")
+    for b in range(1, len(more)):
+        these = head[long[: more[b]]] + b
+        before = place[these - 1]
+        passed = np.einsum("ni,nij->nj", into[before], through[before]) @ jump
+        into[place[these]] = passed / passed.sum(axis=1, keepdims=True)
+    for b in range(len(more) - 1, 0, -1):
+        these = head[long[: more[b]]] + b
+        after = place[these]
+        passed = np.einsum("nij,nj->ni", through[after], out[after]) @ jump.T
+        out[place[these - 1]] = passed / passed.sum(axis=1, keepdims=True)
+    chance = np.empty_like(weight)
+    now = into
+    for t in range(int(size[0])):
+        n = active[t]
+        now = (now[:n] @ jump if t else now) * weight[begin[:n] + t]
+        now /= now.sum(axis=1, keepdims=True)
+        chance[begin[:n] + t] = now
+    for t in range(int(size[0]) - 1, -1, -1):
+        n = active[t]
+        at = begin[:n] + t
+        chance[at] *= out[:n]
+        passed = (weight[at] * out[:n]) @ jump.T
+        out[:n] = passed / passed.sum(axis=1, keepdims=True)
+    return chance / chance.sum(axis=1, keepdims=True)
+
+
 def train(
     texts: list[str], langs: list[str], rounds: int = ROUNDS, rate: float = 0.3, seed: int = 3, labels: list[str] | None = None, most_pieces: int = PIECES_A_ROUND
 ) -> Tagger:
@@ -273,7 +333,7 @@ def predict(df: DataFrame, tagger: Tagger, text: str = "text", drop_text: bool =
             if len(filled):
                 rows = table.rows[np.concatenate(parts)]
                 letters = rows[:, -1].astype(np.float64)
-                chance = forward_backward(rows[:, :-1], n[filled], tagger.moves, tagger.start)
+                chance = marginals(rows[:, :-1], n[filled], tagger.moves, tagger.start)
                 begins = np.cumsum(n[filled]) - n[filled]
                 counts = np.add.reduceat(letters, begins)
                 means = np.add.reduceat(chance * letters[:, None], begins) / np.maximum(counts, 1)[:, None]

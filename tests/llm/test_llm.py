@@ -449,6 +449,15 @@ def test_spelling_comes_from_all_training_texts(spark, monkeypatch):
     assert max(bound.values()) <= 1 + 1e-9
 
 
+def test_marginals_by_blocks_equal_the_plain_steps():
+    rng = np.random.default_rng(6)
+    for k in (2, 4):
+        lengths = np.concatenate([[1, 63, 64, 65, 128, 129, 5000], rng.integers(1, 300, 40)])
+        scores, moves, start = 3 * rng.standard_normal((lengths.sum(), k)), rng.standard_normal((k, k)), rng.standard_normal(k)
+        assert np.abs(langcrf.marginals(scores, lengths, moves, start) - langcrf.forward_backward(scores, lengths, moves, start)).max() < 1e-10
+    assert langcrf.marginals(scores[:3], np.array([3]), moves, start) == pytest.approx(langcrf.forward_backward(scores[:3], np.array([3]), moves, start))
+
+
 def test_pair_marginals_equal_enumeration():
     from itertools import product
 

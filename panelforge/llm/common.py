@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from panelforge.session import cut_lineage, run_folder
+from panelforge.session import run_folder
 
 #: The white space of the word pattern ``[^\x20\x09-\x0D]+``.
 WHITE = (0x20, *range(0x09, 0x0E))
@@ -56,7 +56,15 @@ def sampled(rows: DataFrame, most: int) -> list[Row]:
     bound = rows.select(place.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
     if bound is None:
         return []
-    return sorted(rows.where(place <= bound).limit(most).collect(), key=repr)
+    # Ordered, so that the limit cuts alike where an id stands on very many rows.
+    return sorted(rows.where(place <= bound).orderBy(place, *rows.columns).limit(most).collect(), key=repr)
+
+
+def piece(text: Column, key: Column, longest: int) -> Column:
+    """A text of at most ``longest`` characters whole, of a longer one a piece of that length at a place given by the key's hash."""
+    places = F.greatest(F.length(text) - longest + 1, F.lit(1))
+    start = F.pmod(F.xxhash64(key, F.lit(5)), places).cast("int") + 1
+    return F.when(F.length(text) > longest, F.substring(text, start, F.lit(longest))).otherwise(text)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -163,7 +171,3 @@ def sequence_hash(words: np.ndarray, which: int = 0) -> int:
     up, _ = powers(which, len(words))
     total = ((words if which == 0 else scramble(words + np.uint64(which))) * up[: len(words)]).sum(dtype=np.uint64)
     return int(scramble(np.array([total + np.uint64(len(words))], dtype=np.uint64)).view(np.int64)[0])
-
-
-def cut(df: DataFrame) -> DataFrame:
-    return cut_lineage(df)

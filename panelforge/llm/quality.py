@@ -5,8 +5,9 @@ over all its features, a softmax layer over it gives the probability of label 1.
 by stochastic gradient descent. For scoring, a word's part of the layer's input is a sum over its slots, so that each
 distinct word is computed once per worker.
 
-At most ``SAMPLE`` labelled documents train, chosen by hash of the id among those of at most ``LONGEST`` characters; every
-text is scored whole. Null and empty texts have no features; their score is the share of label 1. Without any label,
+At most ``SAMPLE`` labels train, chosen by hash of the id, with at most ``2 * SAMPLE`` rows of their documents, chosen by hash
+of id and text where ids repeat. Of a text of more than ``LONGEST`` characters a piece of that length trains, at a place that
+the hash of the id gives; every text is scored whole. Null and empty texts have no features; their score is the share of label 1. Without any label,
 every score is 0.5. Only the text is read for a score. Rows are independent of each other.
 """
 
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from panelforge.llm.common import sampled, slices
+from panelforge.llm.common import piece, sampled, slices
 from panelforge.llm.words import WordTable
 
 SAMPLE = 6_000
@@ -120,17 +121,18 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 1.
     return scorer.frozen()
 
 
-def fit(df: DataFrame, labels: DataFrame, learns: Column, text: str = "text", key: str = "doc_id", label: str = "quality") -> Scorer:
-    """A scorer from a bounded sample of labelled rows that ``learns`` names; repeated labels count as often."""
+def fit(df: DataFrame, labels: DataFrame, learns: Column, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> Scorer:
+    """A scorer from at most ``sample`` labels that ``learns`` names; repeated labels count as often."""
     marked = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     marked = marked.where(learns)
-    sample = sampled(marked, SAMPLE)
-    if not sample:
+    found = sampled(marked, sample)
+    if not found:
         return train([], [])
-    chosen = df.sparkSession.createDataFrame(sample, marked.schema)
-    short = df.where(F.length(text) <= LONGEST).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    # Broadcast: at most SAMPLE rows. Texts under repeated ids are bounded again.
-    rows = sorted(short.join(F.broadcast(chosen), "id").limit(2 * SAMPLE).collect(), key=lambda r: (r.id, r.text))
+    chosen = df.sparkSession.createDataFrame(found, marked.schema)
+    short = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), piece(F.col(text), F.col(key), longest).alias("text"))
+    # Broadcast: at most ``sample`` rows.
+    joined = short.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id", "text"), "id", "text", "y").limit(2 * sample)
+    rows = sorted(joined.collect(), key=lambda r: (r.id, r.text))
     return train([r.text for r in rows], [r.y for r in rows])
 
 

@@ -19,6 +19,7 @@ Rows are independent of each other.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -73,20 +74,18 @@ def in_lexicon(lexicon: dict[str, int], word: str) -> list[int]:
 
 def lexicons(documents: list[set[str]], labels: list[int], k: int) -> dict[str, int]:
     """The language of words that at least two documents have, nearly all of them of that language."""
-    held: dict[str, np.ndarray] = {}
+    number: dict[str, int] = {}
+    ids, owners = array("i"), array("i")
     for words, label in zip(documents, labels):
         for word in words:
-            if word not in held:
-                held[word] = np.zeros(k)
-            held[word][label] += 1
-    totals = np.maximum(np.bincount(np.array(labels, dtype=np.int64), minlength=k), 1)
-    found = {}
-    for word, counts in held.items():
-        shares = counts / totals
-        best = int(shares.argmax())
-        if counts.sum() >= 2 and shares[best] >= LEXICAL * shares.sum():
-            found[word] = best
-    return found
+            ids.append(number.setdefault(word, len(number)))
+            owners.append(label)
+    counts = np.zeros((len(number), k))
+    np.add.at(counts, (np.array(ids), np.array(owners)), 1)
+    shares = counts / np.maximum(np.bincount(np.array(labels, dtype=np.int64), minlength=k), 1)
+    best = shares.argmax(axis=1)
+    held = (counts.sum(axis=1) >= 2) & (shares.max(axis=1) >= LEXICAL * shares.sum(axis=1))
+    return {word: int(best[i]) for word, i in number.items() if held[i]}
 
 
 class Tagger:
@@ -246,9 +245,15 @@ def train(
         pieces += [(np.array(ids[i : i + PIECE]), label) for i in range(0, len(ids), PIECE)]
     if not pieces or k < 2:
         return tagger
-    slots = [features(w) + in_lexicon(others[half], w) for w, half in index]
-    sizes = np.array([len(s) for s in slots])
-    flat, begins = np.concatenate(slots), np.cumsum(sizes) - sizes
+    del split, cores
+    # Four bytes a slot; lists of numbers would take ten times that.
+    slots, sizes = array("i"), np.empty(len(index), dtype=np.int64)
+    for n, (word, half) in enumerate(index):
+        found = features(word) + in_lexicon(others[half], word)
+        slots.extend(found)
+        sizes[n] = len(found)
+    flat, begins = np.array(slots), np.cumsum(sizes) - sizes
+    del index, slots, others
     rng = np.random.default_rng(seed)
     squares = np.full(tagger.weights.shape, 1e-6, dtype=np.float32)
     move_squares, start_squares = np.full((k, k), 1e-6), np.full(k, 1e-6)

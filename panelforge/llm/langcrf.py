@@ -80,6 +80,8 @@ def lexicons(documents: list[set[str]], labels: list[int], k: int) -> dict[str,
         for word in words:
             ids.append(number.setdefault(word, len(number)))
             owners.append(label)
+    if not number:
+        return {}
     counts = np.zeros((len(number), k))
     np.add.at(counts, (np.array(ids), np.array(owners)), 1)
     shares = counts / np.maximum(np.bincount(np.array(labels, dtype=np.int64), minlength=k), 1)

@@ -18,7 +18,7 @@ from panelforge.functions.demographics import (
     range_high,
     range_low,
 )
-from panelforge.operators.joins import fits_broadcast, join_rows
+from panelforge.operators.joins import MAX_BROADCAST_IDS, fits_broadcast, join_rows, match_ids
 from panelforge.rules import AGE_SCORES, GENDER_SCORES
 
 MAX_BROADCAST_PANEL = 1_000_000
@@ -97,7 +97,7 @@ def score_panel(
 
     An empty join gives NULL accuracies.
     """
-    small = fits_broadcast(panel, max_broadcast)
+    small = fits_broadcast(panel.select(key, gender, age), max_broadcast)
     truth = panel.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col(gender) == g).alias(f"n_{g}") for g in GENDERS],
@@ -129,11 +129,11 @@ def annotation_agreement(
 
     ``null_bin='age_>=40'`` counts a missing age as the oldest bin, which is how the rule was first run.
     """
-    if decoded is not None:
-        predicted = decoded.select(F.col("id").alias("user_id")).distinct()
-        panel = panel.join(predicted, "user_id", "left_semi")
     truth = panel.withColumnRenamed("user_id", "__panel_id")
     joined = join_rows(annotated(annotations), truth, "user_id", "__panel_id", max_broadcast)
+    if decoded is not None:
+        # Only ids of the predictions, and after the panel's size was checked on the panel alone.
+        joined = match_ids(joined, "user_id", decoded.select("id"), "left_semi", max(max_broadcast, MAX_BROADCAST_IDS))
     true_age = age_on(F.col("birth_date"), as_of)
     flag = annotators_agree(F.col("age_1"), F.col("age_2"), true_age, null_bin)
     return joined.drop("__panel_id").withColumn("annot_goodness", flag)

@@ -449,6 +449,47 @@ def test_spelling_comes_from_all_training_texts(spark, monkeypatch):
     assert max(bound.values()) <= 1 + 1e-9
 
 
+def test_the_attention_learns_from_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE", 2)
+    monkeypatch.setattr(lm, "SHARE", 3_000)
+    texts = [t for _, t in table("documents", "doc_id, text")[:60]] + ["zyx " * 30_000, None]
+    docs = documents(spark, texts)
+
+    def fitted(docs):
+        spelling = lm.Spelling(queries.vocabulary("byte_bpe_50k.tiktoken"))
+        sums = lm.tallies(lm.count_words(docs, spelling)).toArrow()
+        spelling.learn(*(sums.column(c).to_numpy() for c in ("a", "b", "n", "words")))
+        return spelling, lm.fit_layer(docs, F.lit(True), spelling, "text", "doc_id").layer
+
+    spelling, layer = fitted(docs)
+    # No first id of a text outside the start keeps the mean embedding; the last id of a text is never read.
+    kinds = {int(k) for t in texts for k in spelling.kinds_of([*lm.tokens((t or "").encode())[:-1], b"x"])[:-1, 0]}
+    assert len({layer.embed[k].tobytes() for k in kinds}) == len(kinds)
+    again = fitted(docs.repartition(5))[1]
+    assert all((getattr(layer, n) == getattr(again, n)).all() for n in layer.NAMES)
+
+
+def test_joined_shares_weigh_by_what_they_learned():
+    rng = np.random.default_rng(8)
+    start = attention.train([rng.integers(1, 700, 400)], 700, steps=3)
+    one, two = attention.Learner(start, 1_000), attention.Learner(start, 1_000)
+    one.learn([rng.integers(1, 300, 100)])
+    two.learn([rng.integers(200, 700, 300), np.array([1])])
+    rows = {}
+    for a, b in zip(attention.blocks(one), attention.blocks(two)):
+        rows[a[0]] = attention.joined(np.array([a[1], b[1]]), np.array([a[2], b[2]]), np.array([a[3], b[3]]))
+    both = attention.with_blocks(start, rows)
+    assert (one.learned, two.learned) == (100, 301)
+    for name in start.NAMES:
+        if name != "embed":
+            mean = (100 * getattr(one.model, name) + 301 * getattr(two.model, name)) / 401
+            assert getattr(both, name) == pytest.approx(mean, abs=1e-6)
+    for n in range(700):
+        a, b = one.read[n], two.read[n]
+        expected = (a * one.model.embed[n] + b * two.model.embed[n]) / (a + b) if a + b else start.embed[n]
+        assert both.embed[n] == pytest.approx(expected, abs=1e-6)
+
+
 def test_marginals_by_blocks_equal_the_plain_steps():
     rng = np.random.default_rng(6)
     for k in (2, 4):

@@ -23,6 +23,11 @@ BATCH_ROWS = 8
 MAX_TOKENS = 512
 # Models that a Python worker keeps.
 MODELS_KEPT = 2
+# Tokens whose slots a worker keeps; frequent ones come back at once after a new start.
+SLOTS_KEPT = 1 << 16
+# Characters and rows of an Arrow batch whose vectors are held at a time.
+PIECE_CHARS = 1 << 22
+PIECE_ROWS = 2_000
 # What the JVM regex engine calls white space.
 _TOKEN = r"[^ \t\n\x0b\f\r]+"
 
@@ -37,7 +42,7 @@ def token_slot(dim: int) -> Callable[[str], int]:
 
     def slot(token: str) -> int:
         if token not in slots:
-            if len(slots) >= 1_000_000:  # bounds the memo, not the vocabulary
+            if len(slots) >= SLOTS_KEPT:  # bounds the memo, not the vocabulary
                 slots.clear()
             slots[token] = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
         return slots[token]
@@ -126,6 +131,18 @@ def budget_batches(sizes: Sequence[int], budget: int, batch_rows: int) -> Iterat
         start += n
 
 
+def pieces(values: list[str]) -> Iterator[slice]:
+    """The texts of a batch in pieces of at most ``PIECE_ROWS`` rows and about ``PIECE_CHARS`` characters."""
+    start = chars = 0
+    for i, value in enumerate(values):
+        if i > start and (chars + len(value) > PIECE_CHARS or i - start >= PIECE_ROWS):
+            yield slice(start, i)
+            start, chars = i, 0
+        chars += len(value)
+    if values:
+        yield slice(start, len(values))
+
+
 def embed(
     df: DataFrame,
     text: str,
@@ -142,9 +159,10 @@ def embed(
 
     ``load_encoder`` runs once per task on the executor, so send a path to the model (``addFile``,
     ``spark.archives``) rather than the model. The encoder gets at most ``batch_rows`` whole texts at a time
-    and must give each text a vector that does not depend on the other texts. Missing text counts as empty.
+    and must give each text a vector that does not depend on the other texts. Missing text counts as empty. A worker holds
+    the vectors of one piece of an Arrow batch, however many rows the session puts into a batch.
 
-    With ``token_budget`` the texts of an Arrow batch go to the encoder by falling size, so many at a time that the padded
+    With ``token_budget`` the texts of a piece go to the encoder by falling size, so many at a time that the padded
     batch has at most so many tokens; rows keep their order. ``count_tokens`` gives a text's size, of which the encoder
     reads at most ``max_tokens``. Give a large ``batch_rows`` then.
     """
@@ -158,12 +176,14 @@ def embed(
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = load_encoder()
         for texts in batches:
-            values = texts.fillna("").tolist()
-            vectors: list = [None] * len(values)
-            for places in batches_of(values):
-                for place, vector in zip(places, encoder([values[i] for i in places])):
-                    vectors[place] = vector
-            yield pd.Series(vectors, index=texts.index, dtype=object)
+            everything = texts.fillna("").tolist()
+            for part in pieces(everything):
+                values = everything[part]
+                vectors: list = [None] * len(values)
+                for places in batches_of(values):
+                    for place, vector in zip(places, encoder([values[i] for i in places])):
+                        vectors[place] = vector
+                yield pd.Series(vectors, index=texts.index[part], dtype=object)
 
     embedded = spread(df, n_partitions).withColumn(output, encode(F.col(text)))
     return embedded.drop(text) if drop_text else embedded

@@ -85,6 +85,24 @@ def test_batches_keep_to_the_token_budget():
     assert list(encoding.budget_batches([], 10, 4)) == []
 
 
+def test_a_worker_holds_pieces_of_a_batch_and_few_slots(spark, monkeypatch):
+    texts = ["a" * 30, "", "b" * 200, "c"] * 5
+    monkeypatch.setattr(encoding, "PIECE_CHARS", 100)
+    monkeypatch.setattr(encoding, "PIECE_ROWS", 3)
+    parts = list(encoding.pieces(texts))
+    assert [t for p in parts for t in texts[p]] == texts and list(encoding.pieces([])) == []
+    assert all(p.stop - p.start <= 3 and (p.stop - p.start == 1 or sum(map(len, texts[p])) <= 100) for p in parts)
+    monkeypatch.setattr(encoding, "SLOTS_KEPT", 10)
+    slot = encoding.token_slot(8)
+    memo = next(c.cell_contents for c in slot.__closure__ if isinstance(c.cell_contents, dict))
+    found = [slot(f"t{i % 37}") for i in range(200)]
+    assert len(memo) <= 10 and found[:37] == found[37:74] and len(set(found)) > 1
+    # The module travels by value with the limits set here: texts of one batch come back in several pieces.
+    posts = spark.createDataFrame([(i, t or None) for i, t in enumerate(texts)], "id BIGINT, text STRING").coalesce(1)
+    for budget in (None, 5):
+        assert _vectors(encoding.embed(posts, "text", encoding.hash_encoder(), token_budget=budget)) == _vectors(hash_embed(posts, "text"))
+
+
 def test_budget_gives_the_same_vectors_in_the_same_rows(spark):
     posts = td.document_posts(spark, f"{TESTDATA}/sf0.001").select("id", "text")
     def load():

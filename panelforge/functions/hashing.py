@@ -28,12 +28,21 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def hash_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
     """Unit-length counts of token slots, computed inside the JVM; no tokens give all zeros."""
 
-    def counts(slots: Column) -> Column:
+    def ends(ordered: Column) -> Column:
+        """Where the run of each value ends in a sorted array."""
+        n = F.size(ordered)
+        return F.filter(F.sequence(F.lit(1), n), lambda j: (j == n) | (F.get(ordered, j) != F.get(ordered, j - 1)))
+
+    def lengths(run_ends: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: (F.size(slots) - F.size(F.array_remove(slots, i))).cast("double"),
+            run_ends, lambda end, i: (end - F.when(i == 0, 0).otherwise(F.get(run_ends, i - 1)) - 1).cast("double")
         )
 
+    def counts(slots: Column) -> Column:
+        # With every slot once more each has a run, so that one sort counts all of them, however many there are.
+        every = F.concat(slots, F.sequence(F.lit(0), F.lit(dim - 1)))
+        return _let(F.sort_array(every), lambda ordered: _let(ends(ordered), lengths))
+
     def unit(numbers: Column) -> Column:
         norm = F.sqrt(F.aggregate(numbers, F.lit(0.0), lambda total, n: total + n * n))
         return _let(norm, lambda length: F.transform(numbers, lambda n: F.when(length == 0, 0.0).otherwise(n / length)))

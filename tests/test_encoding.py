@@ -176,6 +176,15 @@ def test_filters_on_vectors_do_not_multiply_the_work(texts):
     assert plan.count("md5") <= 2
 
 
+def test_counting_slots_reads_the_tokens_once(spark):
+    texts = [None, "", " ", "a", "a a b", " ".join(f"t{i % 90}" for i in range(700))]
+    posts = spark.createDataFrame(list(enumerate(texts)), "id BIGINT, text STRING")
+    for dim in (1, 2, 7, 32):
+        vectors = hash_embed(posts, "text", dim)
+        assert "array_remove" not in vectors._jdf.queryExecution().optimizedPlan().toString()
+        assert _vectors(vectors) == _vectors(encoding.embed(posts, "text", encoding.hash_encoder(dim)))
+
+
 def test_predict_chunks_equal_one_pass(spark):
     users = inference.model_input(td.user_profiles(spark, f"{TESTDATA}/sf0.001"))
     small = inference.predict(users, catalog.toy_model(), PREDICTIONS, batch_rows=7, n_partitions=3)

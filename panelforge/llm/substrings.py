@@ -119,17 +119,18 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
 
     ``spots`` are positions, doubled, plus one where a document with a smaller id holds the anchor.
     """
-    held = texts.select("id", _doc(texts).alias("doc"), F.posexplode("anchors").alias("ordinal", "anchor"))
+    # The document follows from the id, so that it need not travel beside it.
+    held = texts.select("id", F.posexplode("anchors").alias("ordinal", "anchor"))
     twice = stored(
         held.groupBy("anchor")
-        .agg(F.min("doc").alias("least"), F.max("doc").alias("last"))
+        .agg(F.min(_doc(held)).alias("least"), F.max(_doc(held)).alias("last"))
         .where("least <> last")
         .select("anchor", "least"),
         "twice",
         tidy=True,
     )
     spots = held.join(twice, "anchor")
-    spot = _position(F.col("ordinal")) * 2 + (F.col("least") < F.col("doc")).cast("int")
+    spot = _position(F.col("ordinal")) * 2 + (F.col("least") < _doc(spots)).cast("int")
     return spots.select("id", spot.alias("spot")).groupBy("id").agg(F.collect_list("spot").alias("spots"))
 
 
@@ -177,10 +178,10 @@ def _candidates(df: DataFrame, spots: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(found: DataFrame) -> DataFrame:
     """Per document with any: ``id`` and ``starts``, where windows start that a document with a smaller id holds too."""
-    held = found.select("id", _doc(found).alias("doc"), F.explode(F.arrays_zip("at", "late", "h", "h2")).alias("w")).select("id", "doc", "w.*")
+    held = found.select("id", F.explode(F.arrays_zip("at", "late", "h", "h2")).alias("w")).select("id", "w.*")
     # One row per window hash: its smallest id with the second hash there, and whether another id holds it.
-    first = held.groupBy("h").agg(F.min(F.struct("doc", "h2")).alias("first"), F.max("doc").alias("last")).where("first.doc < last")
-    again = held.where("late").join(first, "h").where("first.doc < doc and first.h2 = h2")
+    first = held.groupBy("h").agg(F.min(F.struct(_doc(held).alias("doc"), "h2")).alias("first"), F.max(_doc(held)).alias("last")).where("first.doc < last")
+    again = held.where("late").join(first, "h").where((F.col("first.doc") < _doc(held)) & (F.col("first.h2") == F.col("h2")))
     return again.groupBy("id").agg(F.collect_list("at").alias("starts"))
 
 

@@ -449,6 +449,17 @@ def test_spelling_comes_from_all_training_texts(spark, monkeypatch):
     assert max(bound.values()) <= 1 + 1e-9
 
 
+def test_only_ids_travel_with_anchors_and_windows(spark):
+    texts = spark.createDataFrame([(1, [5, 6]), (2, [6, 7]), (3, [8])], "id BIGINT, anchors ARRAY<BIGINT>")
+    found = spark.createDataFrame([(1, [0], [False], [9], [4]), (2, [3], [True], [9], [4])], "id BIGINT, at ARRAY<INT>, late ARRAY<BOOLEAN>, h ARRAY<BIGINT>, h2 ARRAY<BIGINT>")
+    spots, starts = substrings.shared_anchors(texts), substrings.repeated_windows(found)
+    assert {r.id: len(r.spots) for r in spots.collect()} == {1: 1, 2: 1}
+    assert [tuple(r) for r in starts.collect()] == [(2, [3])]
+    for frame in (spots, starts):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert " AS doc#" not in plan.replace("struct(doc, ", "")
+
+
 def test_the_attention_learns_from_all_training_texts(spark, monkeypatch):
     monkeypatch.setattr(lm, "SAMPLE", 2)
     monkeypatch.setattr(lm, "SHARE", 3_000)

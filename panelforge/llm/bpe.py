@@ -147,6 +147,11 @@ class BytePairs:
             at = found.end()
         return _joined(entries + self._plain(text[at:]))
 
+    def forget(self) -> None:
+        """Drop what is known of words; the worker keeps the vocabulary alone for its next task."""
+        self.words.clear()
+        self.pieces.clear()
+
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings of ids, joined by spaces; unknown ids are left out."""
         return " ".join(self.strings[i] for i in ids if i in self.strings)
@@ -194,20 +199,23 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = model(path)
-        for batch in slices(batches, "__text"):
-            counts, digests, decoded, ids = [], [], [], []
-            for value in batch.column("__text").to_pylist():
-                packed, strings, n = pairs.encode(value)
-                counts.append(n)
-                digests.append(sha256(packed).hexdigest())
-                decoded.append(sha256(strings.encode("utf-8")).hexdigest())
-                ids.append(packed)
-            columns = [batch.column("__key"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            if with_ids:
-                offsets = pa.array([0, *_running(counts)], pa.int32())
-                values = pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(ids))])
-                columns.append(pa.ListArray.from_arrays(offsets, values))
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        try:
+            for batch in slices(batches, "__text"):
+                counts, digests, decoded, ids = [], [], [], []
+                for value in batch.column("__text").to_pylist():
+                    packed, strings, n = pairs.encode(value)
+                    counts.append(n)
+                    digests.append(sha256(packed).hexdigest())
+                    decoded.append(sha256(strings.encode("utf-8")).hexdigest())
+                    ids.append(packed)
+                columns = [batch.column("__key"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                if with_ids:
+                    offsets = pa.array([0, *_running(counts)], pa.int32())
+                    values = pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(ids))])
+                    columns.append(pa.ListArray.from_arrays(offsets, values))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        finally:
+            pairs.forget()
 
     slim = df.select(df[key].alias("__key"), df[text].alias("__text"))
     return slim.mapInArrow(run, T.StructType(fields))

@@ -100,10 +100,6 @@ class Tagger:
         self.weights = np.zeros((SLOTS + len(labels), len(labels)), dtype=np.float32)
         self.moves = np.zeros((len(labels), len(labels)), dtype=np.float64)
         self.start = np.zeros(len(labels), dtype=np.float64)
-        self._words: WordTable | None = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "_words": None}
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """A row per word: its score for each label, and whether it has letters."""
@@ -115,11 +111,6 @@ class Tagger:
         out[:, -1] = [has_letter(w) for w in words]
         return out
 
-    def words(self) -> WordTable:
-        if self._words is None:
-            self._words = WordTable(self.emissions, len(self.labels) + 1)
-        return self._words
-
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray, pairs: bool = False):
     """Label probabilities of every word of sequences laid end to end.
@@ -327,7 +318,8 @@ def predict(df: DataFrame, tagger: Tagger, text: str = "text", drop_text: bool =
     schema = T.StructType([*df.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_switches", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tagger.words()
+        # The task's own: nothing of it stays in the worker when the task ends.
+        table = WordTable(tagger.emissions, len(tagger.labels) + 1)
         for batch in slices(batches, text, SLICE):
             table.begin()
             parts = []

@@ -1,0 +1,56 @@
+"""What runs in a Python worker: what it leaves there, and what it does for many words or texts at once."""
+
+import gc
+import weakref
+
+import pyarrow as pa
+from pyspark.sql import functions as F, types as T
+
+from panelforge.llm import bpe, langcrf, queries
+
+
+class _Frame:
+    """Stands in for a table, so that what runs in a worker can be called here."""
+
+    def __init__(self, **types):
+        self.schema = T.StructType([T.StructField(n, t) for n, t in types.items()])
+        self.columns = list(types)
+
+    def __getitem__(self, name):
+        return F.lit(0)
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def _worker_batch(texts, key="doc_id", text="text"):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=[key, text])
+
+
+def _tagger():
+    return langcrf.train(["the cat sat on the mat", "the dog ran home"] * 3 + ["der hund lief heim", "die katze lag da"] * 3, ["en"] * 6 + ["de"] * 6, rounds=1)
+
+
+def test_a_finished_task_leaves_no_words_in_its_worker(spark, monkeypatch):
+    held = []
+
+    class Watched(langcrf.WordTable):
+        def __init__(self, *args):
+            super().__init__(*args)
+            held.append(weakref.ref(self))
+
+    monkeypatch.setattr(langcrf, "WordTable", Watched)
+    frame = _Frame(doc_id=T.LongType(), text=T.StringType())
+    gc.disable()
+    try:
+        assert len(list(langcrf.predict(frame, _tagger(), drop_text=False)(iter([_worker_batch(["the cat", None, "der hund"])])))) == 1
+        assert held and not [r for r in held if r() is not None]
+    finally:
+        gc.enable()
+    path = queries.vocabulary()
+    run = bpe.encode_texts(frame, path)
+    assert list(run(iter([_worker_batch(["some words", "", None], "__key", "__text")])))[0].num_rows == 3
+    assert not bpe.model(path).words and not bpe.model(path).pieces

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -42,6 +43,8 @@ LEXICAL = 0.9
 PIECE = 24
 PIECES = 3
 SLICE = 1 << 20
+#: Characters of words whose features are found together.
+PART = 1 << 15
 
 _EDGES = ".,;:!?\"'()[]{}|*%$#&-"
 
@@ -55,21 +58,90 @@ def core_of(word: str) -> str:
     return word.strip(_EDGES).lower() or word
 
 
-def features(word: str) -> list[int]:
-    """Slots of a word's features without the lexicons."""
-    core = core_of(word)
-    marked = f"^{core}$"
-    names = [f"w{core}", f"s{core[:1].isalpha()}{len(core) > 3}"]
-    names += [f"p{core[:n]}" for n in range(1, min(5, len(core) + 1))]
-    names += [f"e{core[-n:]}" for n in range(1, min(5, len(core) + 1))]
-    names += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    return [crc32(name.encode()) % SLOTS for name in names]
-
-
-def in_lexicon(lexicon: dict[str, int], word: str) -> list[int]:
-    """The slot of the lexicon that has the word."""
-    label = lexicon.get(core_of(word))
-    return [] if label is None else [SLOTS + label]
+def _byte_steps() -> np.ndarray:
+    steps = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        steps = np.where(steps & 1, (steps >> 1) ^ np.uint32(0xEDB88320), steps >> 1).astype(np.uint32)
+    return steps
+
+
+_STEPS = _byte_steps()
+
+
+def _fed(state: np.ndarray, char: np.ndarray) -> np.ndarray:
+    """States of ``crc32`` after one more character each, in UTF-8."""
+
+    def fed(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        return _STEPS[(state ^ byte) & 0xFF] ^ (state >> 8)
+
+    out = fed(state, char)
+    wide = np.flatnonzero(char > 0x7F)
+    if len(wide):
+        c, s = char[wide], np.broadcast_to(state, char.shape)[wide]
+        size = 2 + (c > 0x7FF) + (c > 0xFFFF)
+        s = fed(s, np.array([0xC0, 0xE0, 0xF0], dtype=np.uint32)[size - 2] | c >> (6 * (size - 1)).astype(np.uint32))
+        for left in (2, 1, 0):
+            s = np.where(size > left + 1, fed(s, 0x80 | (c >> np.uint32(6 * left)) & 0x3F), s)
+        out[wide] = s
+    return out
+
+
+def _begun(kind: bytes) -> np.ndarray:
+    """The state of ``crc32`` after the first bytes of names."""
+    return np.array([crc32(kind) ^ 0xFFFFFFFF], dtype=np.uint32)
+
+
+def slots_of(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the features of words given by their cores, word by word, and how many each word has: the word, its shape,
+    beginnings and ends of one to four characters, pairs and triples of characters with the marks of both ends."""
+    length = np.fromiter(map(len, cores), np.int64, len(cores))
+    chars = np.frombuffer("".join([f"^{core}$" for core in cores]).encode("utf-32-le"), dtype="<u4").astype(np.uint32)
+    head = np.cumsum(length + 2) - length - 2  # place of each word's first mark
+    short = np.minimum(length, 4)
+    sizes = 2 + 2 * short + 2 * length + 1
+    begins = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), dtype=np.uint32)
+    out[begins] = np.fromiter([crc32(b"w" + core.encode()) for core in cores], np.uint32, len(cores)) ^ np.uint32(0xFFFFFFFF)
+    shapes = np.array([crc32(f"s{alpha}{long}".encode()) for alpha in (False, True) for long in (False, True)], dtype=np.uint32) ^ np.uint32(0xFFFFFFFF)
+    alpha = np.fromiter([core[:1].isalpha() for core in cores], bool, len(cores))
+    out[begins + 1] = shapes[2 * alpha + (length > 3)]
+    state = np.repeat(_begun(b"p"), len(cores))
+    for n in range(1, 5):
+        held = np.flatnonzero(length >= n)
+        state[held] = out[begins[held] + 1 + n] = _fed(state[held], chars[head[held] + n])
+        ending = _begun(b"e")
+        for i in range(n):
+            ending = _fed(ending, chars[head[held] + length[held] + 1 - n + i])
+        out[begins[held] + 1 + short[held] + n] = ending
+    # Pairs begin at every character but a word's last mark, triples at every one but the last two places.
+    word = np.repeat(np.arange(len(cores)), length + 2)
+    inner = np.arange(len(chars)) - head[word]
+    at = np.flatnonzero(inner <= length[word])
+    pair = _fed(_fed(_begun(b""), chars[at]), chars[at + 1])
+    where = (begins + 2 + 2 * short)[word[at]] + inner[at]
+    out[where] = pair
+    three = inner[at] < length[word[at]]
+    at = at[three]
+    out[where[three] + length[word[at]] + 1] = _fed(pair[three], chars[at + 2])
+    return ((out ^ np.uint32(0xFFFFFFFF)) % SLOTS).astype(np.int64), sizes
+
+
+def with_lexicon(cores: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """``slots_of`` with the slot of the lexicon that has the word behind the others."""
+    flat, sizes = slots_of(cores)
+    label = np.fromiter([lexicon.get(core, -1) for core in cores], np.int64, len(cores))
+    held = np.flatnonzero(label >= 0)
+    flat = np.insert(flat, np.cumsum(sizes)[held], SLOTS + label[held])
+    sizes[held] += 1
+    return flat, sizes
+
+
+def in_parts(cores: list[str]) -> Iterator[list[str]]:
+    """The cores in parts of at most ``PART`` characters; a longer one makes a part of its own."""
+    part = np.cumsum([len(core) + 2 for core in cores]) // PART
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(cores)]
+    for begin, end in zip(cuts, cuts[1:]):
+        yield cores[begin:end]
 
 
 def lexicons(documents: list[set[str]], labels: list[int], k: int) -> dict[str, int]:
@@ -103,11 +175,12 @@ class Tagger:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """A row per word: its score for each label, and whether it has letters."""
-        slots = [features(w) + in_lexicon(self.lexicon, w) for w in words]
-        sizes = np.array([len(s) for s in slots])
-        flat = self.weights[np.concatenate(slots)]
         out = np.empty((len(words), len(self.labels) + 1), dtype=np.float32)
-        out[:, :-1] = np.add.reduceat(flat, np.cumsum(sizes) - sizes)
+        at = 0
+        for cores in in_parts(list(map(core_of, words))):
+            slots, sizes = with_lexicon(cores, self.lexicon)
+            out[at : at + len(cores), :-1] = np.add.reduceat(self.weights[slots], np.cumsum(sizes) - sizes)
+            at += len(cores)
         out[:, -1] = [has_letter(w) for w in words]
         return out
 
@@ -239,14 +312,23 @@ def train(
     if not pieces or k < 2:
         return tagger
     del split, cores
-    # Four bytes a slot; lists of numbers would take ten times that.
-    slots, sizes = array("i"), np.empty(len(index), dtype=np.int64)
-    for n, (word, half) in enumerate(index):
-        found = features(word) + in_lexicon(others[half], word)
-        slots.extend(found)
-        sizes[n] = len(found)
-    flat, begins = np.array(slots), np.cumsum(sizes) - sizes
-    del index, slots, others
+    # Four bytes a slot; words of both halves lie in one array each.
+    sizes = np.empty(len(index), dtype=np.int64)
+    begins = np.empty(len(index), dtype=np.int64)
+    found, total = [], 0
+    for half in (0, 1):
+        ids = np.array([n for n, (_, h) in enumerate(index) if h == half], dtype=np.int64)
+        words = [core_of(w) for w, h in index if h == half]
+        at = 0
+        for part in in_parts(words):
+            slots, these = with_lexicon(part, others[half])
+            sizes[ids[at : at + len(part)]] = these
+            begins[ids[at : at + len(part)]] = total + np.cumsum(these) - these
+            found.append(slots.astype(np.int32))
+            total += len(slots)
+            at += len(part)
+    flat = np.concatenate(found)
+    del index, found, others
     rng = np.random.default_rng(seed)
     squares = np.full(tagger.weights.shape, 1e-6, dtype=np.float32)
     move_squares, start_squares = np.full((k, k), 1e-6), np.full(k, 1e-6)
@@ -322,15 +404,14 @@ def predict(df: DataFrame, tagger: Tagger, text: str = "text", drop_text: bool =
         table = WordTable(tagger.emissions, len(tagger.labels) + 1)
         for batch in slices(batches, text, SLICE):
             table.begin()
-            parts = []
-            for value in batch.column(text).to_pylist():
-                words = value.split() if value and tagger.labels else []
-                parts.append(table.look(words, len(words)))
-            n = np.array([len(p) for p in parts])
-            names, scores, changes = [UNKNOWN] * len(parts), np.zeros(len(parts)), np.zeros(len(parts), dtype=np.int64)
+            split = [value.split() if value and tagger.labels else [] for value in batch.column(text).to_pylist()]
+            n = np.array(list(map(len, split)))
+            found = table.look(chain.from_iterable(split), int(n.sum()))
+            del split
+            names, scores, changes = [UNKNOWN] * len(n), np.zeros(len(n)), np.zeros(len(n), dtype=np.int64)
             filled = np.flatnonzero(n)
             if len(filled):
-                rows = table.rows[np.concatenate(parts)]
+                rows = table.rows[found]
                 letters = rows[:, -1].astype(np.float64)
                 chance = marginals(rows[:, :-1], n[filled], tagger.moves, tagger.start)
                 begins = np.cumsum(n[filled]) - n[filled]

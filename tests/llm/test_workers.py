@@ -2,6 +2,7 @@
 
 import gc
 import weakref
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
@@ -54,3 +55,27 @@ def test_a_finished_task_leaves_no_words_in_its_worker(spark, monkeypatch):
     run = bpe.encode_texts(frame, path)
     assert list(run(iter([_worker_batch(["some words", "", None], "__key", "__text")])))[0].num_rows == 3
     assert not bpe.model(path).words and not bpe.model(path).pieces
+
+
+def test_features_are_found_for_all_new_words_of_a_slice_at_once(monkeypatch):
+    def names(word):
+        core = langcrf.core_of(word)
+        marked = f"^{core}$"
+        yield from (f"w{core}", f"s{core[:1].isalpha()}{len(core) > 3}")
+        yield from (f"p{core[:n]}" for n in range(1, min(4, len(core)) + 1))
+        yield from (f"e{core[-n:]}" for n in range(1, min(4, len(core)) + 1))
+        yield from (marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1))
+
+    words = ["a", "...", "Été", "naïveté,", "漢字", "😀x", "^$", "߿ࠀ￿", "é" * 300, "straße", "İ"]
+    lexicon = {langcrf.core_of("Été"): 1, "a": 0}
+    expected = [[crc32(n.encode()) % langcrf.SLOTS for n in names(w)] for w in words]
+    for slots, w in zip(expected, words):
+        slots += [langcrf.SLOTS + lexicon[langcrf.core_of(w)]] if langcrf.core_of(w) in lexicon else []
+    flat, sizes = langcrf.with_lexicon([langcrf.core_of(w) for w in words], lexicon)
+    assert sizes.tolist() == list(map(len, expected)) and flat.tolist() == [s for slots in expected for s in slots]
+    calls = []
+    emissions = langcrf.Tagger.emissions
+    monkeypatch.setattr(langcrf.Tagger, "emissions", lambda self, new: calls.append(len(new)) or emissions(self, new))
+    texts = [f"word{i} other{i}" for i in range(50)]
+    list(langcrf.predict(_Frame(doc_id=T.LongType(), text=T.StringType()), _tagger(), drop_text=False)(iter([_worker_batch(texts)])))
+    assert calls == [100]

@@ -4,10 +4,11 @@ import gc
 import weakref
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
-from panelforge.llm import bpe, langcrf, queries
+from panelforge.llm import attention, bpe, langcrf, lm, queries
 
 
 class _Frame:
@@ -79,3 +80,26 @@ def test_features_are_found_for_all_new_words_of_a_slice_at_once(monkeypatch):
     texts = [f"word{i} other{i}" for i in range(50)]
     list(langcrf.predict(_Frame(doc_id=T.LongType(), text=T.StringType()), _tagger(), drop_text=False)(iter([_worker_batch(texts)])))
     assert calls == [100]
+
+
+def test_words_are_spelled_and_windows_cut_together(monkeypatch):
+    spelling = lm.Spelling(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    words = ["été".encode(), b"a", b"\xff\x00x", "漢字".encode(), b"x" * 3_000, b"zzyzx"] * 3
+    encode = spelling.load().encode_ordinary
+    alone = [encode(w.decode("utf-8", "replace")) for w in words]
+    for size in (4, 20_000):
+        monkeypatch.setattr(lm, "SPELLED", size)
+        flat, lengths = spelling.laid(words)
+        assert lengths.tolist() == list(map(len, alone)) and flat.tolist() == [i for ids in alone for i in ids]
+    assert spelling.ids(words) == alone and spelling.ids([]) == []
+    stride = attention.STRIDE
+    texts = [np.arange(1, n + 1, dtype=np.int32) for n in (1, 2, stride - 1, stride, stride + 1, 5 * stride)]
+    windows, targets, counts = (list(x) for x in attention.windowed(texts))
+    for ids in texts:
+        line = [0] * (stride + 1) + ids.tolist()
+        for at in range(0, len(ids), stride):
+            here = ids[at : at + stride].tolist()
+            # What stands before each target; the last window is filled up.
+            read = line[at : at + stride + len(here)] + [0] * (stride - len(here))
+            assert (windows.pop(0).tolist(), targets.pop(0).tolist(), counts.pop(0)) == (read, here + [0] * (stride - len(here)), len(here))
+    assert not windows

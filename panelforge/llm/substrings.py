@@ -20,6 +20,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelforge.llm.common import discard, hashed_words, sequence_hash, slices, stored, utf8, window_hashes, word_spans
@@ -30,11 +31,11 @@ COVER = (1, 5, 11, 24, 25, 27)
 
 
 def told_apart(df: DataFrame, text: str, key: str) -> DataFrame:
-    """``df`` as ``id``, ``text`` and the whole row as ``row``; ``id`` is the key, or where keys repeat ``(id, number)``.
+    """``df`` as ``id``, ``text`` and the row's other columns as ``row``; ``id`` is the key, or where keys repeat ``(id, number)``.
 
     In the second case the frame is stored, so that numbers stay.
     """
-    packed = df.select(df[key].alias("id"), df[text].alias("text"), F.struct(*df.columns).alias("row"))
+    packed = df.select(df[key].alias("id"), df[text].alias("text"), F.struct(*[c for c in df.columns if c != text]).alias("row"))
     if df.groupBy(key).count().where("count > 1").select(F.lit(1)).isEmpty():
         return packed
     numbered = packed.withColumn("id", F.struct("id", F.monotonically_increasing_id().alias("number")))
@@ -209,23 +210,28 @@ def judged(df: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
 
 
 def _cut(df: DataFrame, window: int) -> DataFrame:
-    """``df(row, text, starts)``: the row with the number of removed words and the kept text."""
+    """``df(row, text, starts)``: the row with the number of removed words and the kept text; without starts, the text as it is."""
     schema = T.StructType([df.schema["row"], T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            marks = batch.column("starts")
-            removed, kept = [], []
-            for i, (text, starts, ends, words) in enumerate(_per_document(utf8(batch, "text"))):
+            marked = batch.column("starts").is_valid()
+            part = batch.select(["text", "starts"]).filter(marked)
+            marks = part.column("starts")
+            removed, kept = np.zeros(batch.num_rows, dtype=np.int64), []
+            for i, (text, starts, ends, words) in enumerate(_per_document(utf8(part, "text")) if part.num_rows else ()):
                 edges = np.zeros(len(words) + 1, dtype=np.int64)
                 at = marks[i].values.to_numpy()
                 at = at[at + window <= len(words)]
                 np.add.at(edges, at, 1)
                 np.add.at(edges, at + window, -1)
                 gone = np.cumsum(edges[:-1]) > 0
-                removed.append(int(gone.sum()))
-                kept.append(_kept_text(text, starts, ends, ~gone).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
+                kept.append((int(gone.sum()), _kept_text(text, starts, ends, ~gone).decode("utf-8")))
+            texts = batch.column("text")
+            if kept:
+                removed[marked.to_numpy(zero_copy_only=False)] = [n for n, _ in kept]
+                texts = pc.replace_with_mask(texts, marked, pa.array([k for _, k in kept], texts.type))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(removed), texts], names=schema.names)
 
     return df.select("row", "text", "starts").mapInArrow(run, schema)
 
@@ -250,12 +256,9 @@ def without_repeats(df: DataFrame, window: int = 50, text: str = "text", key: st
     """``df`` with repeated passages cut out of ``text``; rows that lose every word go, untouched ones keep their text as it is."""
     told = told_apart(df, text, key)
     rows, starts = judged(told, window)
-    copies = rows.where("copy").select("id").distinct()
-    touched = copies.unionByName(starts.select("id")).distinct()
-    if _is_pair(told):
-        same = told.join(touched, "id", "left_anti").select("row.*")
-    else:
-        same = df.join(touched.withColumnRenamed("id", key), key, "left_anti").select(df.columns)
-    cuts = _cut(told.join(starts, "id").join(copies, "id", "left_anti"), window).where("kept <> ''")
-    new = cuts.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])
-    return same.unionByName(new)
+    none = F.lit(None).cast(starts.schema["starts"].dataType)
+    found = starts.select("id", "starts", F.lit(False).alias("copy")).unionByName(rows.where("copy").select("id", none.alias("starts"), "copy"))
+    # A text travels once, whether it is cut or not.
+    left = told.join(found, "id", "left").where(~F.coalesce("copy", F.lit(False)))
+    cuts = _cut(left, window).where((F.col("n_removed") == 0) | (F.col("kept") != ""))
+    return cuts.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])

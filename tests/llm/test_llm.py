@@ -574,3 +574,22 @@ def test_rows_of_a_repeated_id_are_decided_one_by_one(spark):
     docs = docs.withColumn("doc_id", F.when(F.col("doc_id") == 2, 1).when(F.col("doc_id") == 5, None).otherwise(F.col("doc_id"))).withColumnRenamed("score", "fp")
     kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == [(0, " ".join(base)), (1, clean), (4, None), (None, clean)]
+
+
+def test_a_text_travels_once_to_be_cut(spark, tmp_path):
+    passage = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, passage, "a"), (2, "x " + passage, "b"), (3, passage, "c"), (4, " kept  as it is", "d"), (5, None, "e"), (6, "", "f"), (7, passage + " y z", "g")]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        cut = substrings.without_repeats(docs)
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        found = sorted(tuple(r) for r in cut.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert found == [(1, passage, "a"), (2, "x", "b"), (4, " kept  as it is", "d"), (5, None, "e"), (6, "", "f"), (7, "y z", "g")]
+    # One scan reads the texts, for one join, and they stand beside the row's other columns, not twice.
+    assert plan.count("ReadSchema: struct<doc_id:bigint,text:string") == 1 and plan.count("SortMergeJoin") == 1
+    assert "text" not in substrings.told_apart(docs, "text", "doc_id").schema["row"].dataType.names

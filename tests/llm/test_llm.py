@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -593,3 +594,24 @@ def test_a_text_travels_once_to_be_cut(spark, tmp_path):
     # One scan reads the texts, for one join, and they stand beside the row's other columns, not twice.
     assert plan.count("ReadSchema: struct<doc_id:bigint,text:string") == 1 and plan.count("SortMergeJoin") == 1
     assert "text" not in substrings.told_apart(docs, "text", "doc_id").schema["row"].dataType.names
+
+
+def test_texts_are_parted_and_spelled_once_for_all_passes(spark, monkeypatch):
+    texts = ["Ab ab\tÉté x", None, "", "漢字 ab", " \n", "x" * 3_000 + " Y"]
+    docs = documents(spark, texts).select("doc_id", "text")
+    learns = F.col("doc_id") < 5
+    spelling = lm.Spelling(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    whole = lm.stored(lm.encoded(docs, learns, spelling, "text", "doc_id"), "encoded")
+    sums = lm.tallies(lm.counted(whole)).toArrow()
+    spelling.learn(*(sums.column(c).to_numpy() for c in ("a", "b", "n", "words")))
+    model = lm.fit_layer(docs, learns, spelling, "text", "doc_id", whole)
+    model.learn(np.empty(0, np.int64), np.empty(0, np.int64))
+    # From here on nothing can be spelled.
+    monkeypatch.setattr(spelling, "path", "/nowhere")
+    lm.learned_by_all(whole, model.layer, spelling)
+    found = {r.doc_id: r for r in lm.first_scores(whole, model).collect()}
+    for i, text in enumerate(texts):
+        words = Counter(lm.tokens((text or "").encode()))
+        assert found[i].n_tokens == words.total() + 1 and {r.h: r.k for r in found[i].rare} == {lm.hashed(w): n for w, n in words.items()}
+    counted = {r.h: r.n for r in lm.counted(whole).collect()}
+    assert counted == {lm.hashed(w): n for w, n in Counter([b""] * 5 + [w for t in texts[:5] for w in lm.tokens((t or "").encode())]).items()}

@@ -615,3 +615,45 @@ def test_texts_are_parted_and_spelled_once_for_all_passes(spark, monkeypatch):
         assert found[i].n_tokens == words.total() + 1 and {r.h: r.k for r in found[i].rare} == {lm.hashed(w): n for w, n in words.items()}
     counted = {r.h: r.n for r in lm.counted(whole).collect()}
     assert counted == {lm.hashed(w): n for w, n in Counter([b""] * 5 + [w for t in texts[:5] for w in lm.tokens((t or "").encode())]).items()}
+
+
+def test_numbers_per_word_travel_as_bytes(spark):
+    docs = documents(spark, ["ab ab c", None, "d" * 70_000]).select("doc_id", "text")
+    spelling = lm.Spelling(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    whole = lm.encoded(docs, F.lit(True), spelling, "text", "doc_id")
+    assert all(dict(whole.dtypes)[name] == "binary" for name in ("places", "h", "n", "spelled", "ids"))
+    assert dict(lm.count_words(docs, spelling).dtypes)["ids"] == "binary"
+    ids = {r.h: np.frombuffer(r.ids, "<i4").tolist() for r in lm.count_words(docs, spelling).collect()}
+    words = [b"ab", b"c", b"d" * 70_000]
+    assert ids == {lm.hashed(b""): [], **{lm.hashed(w): i for w, i in zip(words, spelling.ids(words))}}
+    for numbers in ([], [0], [255, 1], [256], [65_536], [1 << 33, 3]):
+        assert lm.unpacked(lm.packed(np.array(numbers, dtype=np.int64))).tolist() == numbers
+
+
+def test_a_step_fills_the_same_arrays_again_and_knows_when_powers_fit():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    texts = [np.append(rng.integers(1, 300, 60), 1) for _ in range(64)]
+    model = attention.train(texts, 300, steps=3)
+    windows, targets, _ = attention.windowed(texts)
+    room = attention.Room()
+    first = model.step(windows, targets, room)
+    tracemalloc.start()
+    again = model.step(windows, targets, room)
+    taken = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert taken < 24 * windows.size * attention.WIDTH  # before, some 80 bytes for each number of the windows' ids
+    assert first[0] == again[0] and all((first[1][n] == again[1][n]).all() for n in first[1])
+    # A very low bias alone leaves the powers in bounds, high weights do not; either way the result is that of brute force.
+    for low, wide in ((-70, 1), (0, 400)):
+        model = attention.train(texts, 300, steps=3)
+        model.bias[5], model.out[:] = low, model.out * wide
+        o = rng.standard_normal((40, attention.WIDTH)).astype(np.float32)
+        wanted = rng.integers(1, 64, 40)
+        with_one = np.concatenate([o, np.ones((40, 1), np.float32)], axis=1)
+        assert model.bounded(model.weights(), with_one, 60)[0] == (wide == 1)
+        logits = o.astype(np.float64) @ np.concatenate([model.out[:, :64], model.turn], axis=1) + np.concatenate([model.bias[:64], model.turn_bias])
+        logits = np.clip(logits, -80, 80)
+        exact = logits[np.arange(40), wanted] - np.log(np.exp(logits).sum(axis=1))
+        assert model.log_probs(o, wanted) == pytest.approx(exact, rel=1e-4, abs=1e-4) and np.isfinite(model.step(windows, targets)[0])
